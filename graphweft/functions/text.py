@@ -11,7 +11,7 @@ def human_bytes(n: Column) -> Column:
     d = n.cast("double")
     out = F.when(d < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        text = F.format_string(f"%.1f {unit}", d / 1024.0**power)
+        text = F.format_string(f"%.1f {unit}", F.bround(d / 1024.0**power, 1))
         out = out.when(d < 1024.0 ** (power + 1), text) if power < 4 else out.otherwise(text)
     return out
 

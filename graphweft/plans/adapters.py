@@ -21,9 +21,9 @@ SQL = {
       SELECT concat('region:', r_regionkey) AS node FROM region UNION ALL SELECT concat('nation:', n_nationkey) FROM nation
       UNION ALL SELECT concat('customer:', c_custkey) FROM customer UNION ALL SELECT concat('supplier:', s_suppkey) FROM supplier
       UNION ALL SELECT concat('order:', o_orderkey) FROM orders UNION ALL SELECT concat('part:', p_partkey) FROM part""",
-    # src, dst: part keys that follow each other in an order, wrapping round a small key space: has cycles
+    # src, dst: customers that lead to each other, wrapping round a key space: has cycles
     "ring": """
-      SELECT DISTINCT CAST(l_partkey % 97 AS BIGINT) AS src, CAST((l_partkey * 7 + l_suppkey) % 97 AS BIGINT) AS dst FROM lineitem WHERE l_orderkey % 50 = 0""",
+      SELECT DISTINCT CAST(c_custkey % 997 AS BIGINT) AS src, CAST((c_custkey * 7 + c_nationkey) % 997 AS BIGINT) AS dst FROM customer""",
     # path, size, tests: addresses as paths
     "paths": r"""
       SELECT path, CAST(max(size) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS tests FROM (
@@ -34,7 +34,7 @@ SQL = {
       SELECT DISTINCT concat('pkg', p_partkey % 20, CASE p_partkey % 7 WHEN 0 THEN '/tests/' WHEN 1 THEN '/src/' WHEN 2 THEN '/docs/' WHEN 3 THEN '/src/deep/' WHEN 4 THEN '/benches/' WHEN 5 THEN '/' ELSE '/examples/' END,
         CASE p_partkey % 13 WHEN 0 THEN 'README.md' WHEN 1 THEN concat('m', p_partkey, '.rs') WHEN 2 THEN concat('test_', p_partkey, '.py') WHEN 3 THEN concat('i', p_partkey, '.PNG') WHEN 4 THEN concat('c', p_partkey, '.toml')
           WHEN 5 THEN 'build.rs' WHEN 6 THEN concat('x', p_partkey, '.spec.ts') WHEN 7 THEN concat('a', p_partkey, '.proto') WHEN 8 THEN concat('o', p_partkey, '.o') WHEN 9 THEN 'Makefile' WHEN 10 THEN concat('n', p_partkey) WHEN 11 THEN concat('s', p_partkey, '.sh') ELSE 'Cargo.lock' END) AS path FROM part
-      UNION SELECT concat('pkg', s_suppkey % 20, CASE WHEN s_suppkey % 3 = 0 THEN '/package.json' ELSE '/Cargo.toml' END) FROM supplier WHERE s_suppkey % 20 < 10
+      UNION SELECT concat('pkg', s_suppkey % 10, CASE WHEN s_suppkey % 3 = 0 THEN '/package.json' ELSE '/Cargo.toml' END) FROM supplier
       UNION SELECT '.github/workflows/ci.yml' UNION SELECT 'pkg3/.github/workflows/ci.yml' UNION SELECT '.ai/tickets/T-1.toml'""",
     # kind, name, detail, path, line, key
     "entries": r"""
@@ -64,7 +64,7 @@ SQL = {
       SELECT p_partkey AS id, CAST(p_size * 20 AS DOUBLE) AS x0, CAST(p_retailprice AS DOUBLE) AS y0, CAST(p_size * 20 + p_partkey % 90 AS DOUBLE) AS x1, CAST(p_retailprice + p_partkey % 70 AS DOUBLE) AS y1 FROM part""",
     "tickets": """
       SELECT concat('T-', l_orderkey, '.', l_linenumber) AS id, CASE l_linenumber WHEN 1 THEN 'ready' WHEN 2 THEN 'queued' WHEN 3 THEN 'done' ELSE 'draft' END AS status,
-        CASE WHEN l_orderkey % 4 > 0 THEN CAST(l_orderkey % 5 AS INT) END AS priority, CASE WHEN l_orderkey % 3 > 0 THEN CAST(l_orderkey % 7 AS INT) END AS "order" FROM lineitem WHERE l_orderkey % 10 = 0
+        CASE WHEN l_orderkey % 4 > 0 THEN CAST(l_orderkey % 5 AS INT) END AS priority, CASE WHEN l_orderkey % 3 > 0 THEN CAST(l_orderkey % 7 AS INT) END AS "order" FROM lineitem
       GROUP BY l_orderkey, l_linenumber""",
     # source, target, kind, tier, candidates, label, condition, seq
     "links": """
@@ -76,7 +76,7 @@ SQL = {
 
 def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The input of that name over the tables in sf_dir."""
-    sql = SQL[name].replace('"', "`")
+    sql = SQL[name].replace('"', "`").replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)

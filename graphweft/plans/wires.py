@@ -133,15 +133,15 @@ def member_lookup(spark, sf):
 
 
 @query(
-    """WITH p AS (SELECT o_orderkey AS ref, CASE WHEN o_orderkey % 4 = 0 THEN 'external' WHEN o_orderkey % 7 = 0 THEN 'unresolved' ELSE 'item' END AS tag, o_custkey % 10 AS target FROM orders WHERE o_orderkey % 3 > 0),
-    g AS (SELECT o_orderkey AS ref, o_custkey % 5 AS target FROM orders WHERE o_orderkey % 2 > 0)
+    """WITH p AS (SELECT o_orderkey AS ref, CASE WHEN o_orderkey % 4 = 0 THEN 'external' WHEN o_orderkey % 7 = 0 THEN 'unresolved' ELSE 'item' END AS tag, o_custkey % 10 AS target FROM orders WHERE o_orderstatus <> 'F'),
+    g AS (SELECT o_orderkey AS ref, o_custkey % 5 AS target FROM orders WHERE o_orderpriority > '2')
     SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN tag = 'item' AND p.target = g.target THEN 'upgraded' WHEN tag = 'item' AND g.target IS NOT NULL THEN 'retargeted' WHEN tag = 'item' THEN 'added'
       WHEN tag = 'external' AND g.target IS NOT NULL THEN 'dropped' WHEN tag = 'external' THEN 'external' ELSE 'unresolved' END AS outcome FROM p FULL JOIN g USING (ref)) u GROUP BY outcome"""
 )
 def edge_reconcile(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    proven = o.where("o_orderkey % 3 > 0").selectExpr("o_orderkey ref", "case when o_orderkey % 4 = 0 then 'external' when o_orderkey % 7 = 0 then 'unresolved' else 'item' end tag", "o_custkey % 10 target")
-    return E.reconcile(proven, o.where("o_orderkey % 2 > 0").selectExpr("o_orderkey ref", "o_custkey % 5 target")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    proven = o.where("o_orderstatus <> 'F'").selectExpr("o_orderkey ref", "case when o_orderkey % 4 = 0 then 'external' when o_orderkey % 7 = 0 then 'unresolved' else 'item' end tag", "o_custkey % 10 target")
+    return E.reconcile(proven, o.where("o_orderpriority > '2'").selectExpr("o_orderkey ref", "o_custkey % 5 target")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -177,7 +177,7 @@ def wire_bundles(spark, sf):
     return E.bundles(adapted(spark, sf, "edges"), adapted(spark, sf, "nodes").select("node", F.regexp_extract("node", "^([a-z]+)", 1).alias("shown")))
 
 
-HUB_PAIRS = "SELECT DISTINCT concat('i', CASE WHEN src % 5 < 3 THEN src % 6 ELSE src END) AS provider, concat('i', dst) AS consumer FROM ring"
+HUB_PAIRS = "SELECT DISTINCT concat('i', CASE WHEN src % 5 < 4 THEN 0 ELSE src END) AS provider, concat('i', dst) AS consumer FROM ring"
 
 
 @query(
@@ -192,7 +192,7 @@ def hub_items(spark, sf):
 
 
 def _hub_inputs(spark, sf):
-    pairs = adapted(spark, sf, "ring").selectExpr("concat('i', if(src % 5 < 3, src % 6, src)) provider", "concat('i', dst) consumer").distinct()
+    pairs = adapted(spark, sf, "ring").selectExpr("concat('i', if(src % 5 < 4, 0, src)) provider", "concat('i', dst) consumer").distinct()
     return pairs, pairs.select(F.col("provider").alias("node")).union(pairs.select("consumer")).distinct().withColumn("container", F.lit("all"))
 
 
@@ -245,12 +245,12 @@ def unresolved_reasons(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT p_brand, p_size FROM part WHERE p_partkey % 3 > 0), b AS (SELECT p_brand, p_size FROM part WHERE p_partkey % 4 > 0)
+    """WITH a AS (SELECT p_brand, p_size FROM part WHERE p_size > 10), b AS (SELECT p_brand, p_size FROM part WHERE p_size < 40)
     SELECT *, 'a' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) x UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) y"""
 )
 def graph_diff(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
-    return E.differences(p.where("p_partkey % 3 > 0").select("p_brand", "p_size"), p.where("p_partkey % 4 > 0").select("p_brand", "p_size"))
+    return E.differences(p.where("p_size > 10").select("p_brand", "p_size"), p.where("p_size < 40").select("p_brand", "p_size"))
 
 
 PORTS = """SELECT DISTINCT src AS node, src % 4 AS port, CASE WHEN src % 2 = 0 THEN 'out' ELSE 'in' END AS direction, CASE src % 3 WHEN 0 THEN 'Any' WHEN 1 THEN 'Int' ELSE 'Text' END AS data_type FROM ring"""
@@ -258,7 +258,7 @@ ASKED = "SELECT src * 1000 + dst AS id, src AS node_a, src % 4 AS port_a, dst AS
 
 
 @query(
-    f"""WITH ports AS ({PORTS}), asked AS ({ASKED}), wires AS (SELECT DISTINCT src AS out_node, src % 4 AS out_port, dst AS in_node, dst % 4 AS in_port FROM ring WHERE src % 5 = 0),
+    f"""WITH ports AS ({PORTS}), asked AS ({ASKED}), wires AS (SELECT DISTINCT src AS out_node, src % 4 AS out_port, dst AS in_node, dst % 4 AS in_port FROM ring WHERE src < 500),
     met AS (SELECT q.*, a.direction AS da, b.direction AS db, a.data_type AS ta, b.data_type AS tb, coalesce(a.direction = 'in' AND b.direction = 'out', false) AS flip FROM asked q
       LEFT JOIN ports a ON a.node = node_a AND a.port = port_a LEFT JOIN ports b ON b.node = node_b AND b.port = port_b),
     put AS (SELECT *, CASE WHEN flip THEN node_b ELSE node_a END AS on_, CASE WHEN flip THEN port_b ELSE port_a END AS op, CASE WHEN flip THEN node_a ELSE node_b END AS in_, CASE WHEN flip THEN port_a ELSE port_b END AS ip FROM met)
@@ -270,7 +270,7 @@ def connection_check(spark, sf):
     r = adapted(spark, sf, "ring")
     ports = r.selectExpr("src node", "src % 4 port", "if(src % 2 = 0, 'out', 'in') direction", "case src % 3 when 0 then 'Any' when 1 then 'Int' else 'Text' end data_type").distinct()
     asked = r.selectExpr("src * 1000 + dst id", "src node_a", "src % 4 port_a", "dst node_b", "dst % 4 port_b")
-    wires = r.where("src % 5 = 0").selectExpr("src out_node", "src % 4 out_port", "dst in_node", "dst % 4 in_port")
+    wires = r.where("src < 500").selectExpr("src out_node", "src % 4 out_port", "dst in_node", "dst % 4 in_port")
     return E.connection_errors(asked, ports, wires).select("id", "error")
 
 
@@ -305,7 +305,7 @@ def cycle_boxes(spark, sf):
 
 @query()
 def acyclic_order(spark, sf):
-    r = adapted(spark, sf, "ring").selectExpr("concat('c', src % 4) container", "cast(src as string) src", "cast(dst as string) dst").where("substr(container, 2) = cast(cast(dst as int) % 4 as string)")
+    r = adapted(spark, sf, "ring").selectExpr("'all' container", "cast(src as string) src", "cast(dst as string) dst")
     return G.acyclic_order(r)
 
 
