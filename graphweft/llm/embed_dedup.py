@@ -20,6 +20,8 @@ from graphweft.llm.vectors import rows_by_length, stacked
 CELLS_PER_EPS, LEAD = 4, 6
 #: The principal dimensions are fitted on so many vectors at most. They only order the sequence; links don't depend on them.
 FIT_ROWS = 2048
+#: The driver sees a box for each block and a number for each pair of near blocks: so many blocks at most.
+MAX_BLOCKS = 2048
 
 
 def _cleaned(batches):
@@ -73,6 +75,8 @@ def interval_pairs(boxes: list[tuple[int, ...]]) -> list[tuple[int, int]]:
     boxes: dim, then the least and greatest cell of each leading dimension, in sequence order.
     """
     n = len(boxes)
+    if not n:
+        return []
     low, high = np.array([b[: 1 + LEAD] for b in boxes]).reshape(n, -1), np.array([(b[0], *b[1 + LEAD :]) for b in boxes]).reshape(n, -1)
     cache: dict[tuple[int, int], tuple] = {}
 
@@ -81,7 +85,7 @@ def interval_pairs(boxes: list[tuple[int, ...]]) -> list[tuple[int, int]]:
             cache[a, b] = low[a:b].min(axis=0), high[a:b].max(axis=0)
         return cache[a, b]
 
-    pairs, todo = [], [(0, n, 0, n)] if n else []
+    pairs, todo = [], [(0, n, 0, n)]
     while todo:
         a, b, c, d = todo.pop()
         (l1, h1), (l2, h2) = box(a, b), box(c, d)
@@ -180,6 +184,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     reps = raw.where("key is not null and vec_id is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
     reps = settle(reps)
     n = reps.count()
+    block_rows = max(block_rows, -(-n // MAX_BLOCKS))
     eps = math.sqrt(max(2 - 2 * threshold, 1e-9)) + 1e-6
     bases = {}
     sample: dict[int, list[bytes]] = {}

@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
         counts = dealt(state).cogroup(candidates).applyInPandas(_histogram(k, float(bound), span, width), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         upto = counts.withColumn("upto", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-        kth = upto.join(state, "query_id").where("upto >= need and upto - n < need").select("query_id", (F.col("low") + F.col("bin").cast("long") * width).alias("low"), (F.col("need") - F.col("upto") + F.col("n")).alias("need"))
+        kth = upto.join(state, "query_id").where("upto >= need and upto - n < need").select("query_id", F.expr(f"cast(cast(low as decimal(20)) + cast(bin as decimal(10)) * cast({width} as decimal(20)) as long)").alias("low"), (F.col("need") - F.col("upto") + F.col("n")).alias("need"))
         # Fewer rows than k: all are taken. A query that no row of its length meets has none.
         state = settle(state.select("query_id", F.col("low").alias("was"), F.col("need").alias("want")).join(kth, "query_id", "left").select("query_id", F.coalesce("low", F.lit(-bound - 1)).cast("long").alias("low"), F.coalesce("need", "want").alias("need")))
         if width == 1:
