@@ -15,7 +15,7 @@ def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     base = root if "://" in root else f"file:{root}"
     cut = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     top = base.partition(":")[2].replace("//", "/") if "://" not in root else "/" + root.partition("://")[2]
-    return rows.select(F.regexp_replace(cut, "^" + "".join(f"[{c}]" if c in ".+()*?" else c for c in top.rstrip("/")) + "/", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select(F.regexp_replace(cut, "^" + "".join(f"[{c}]" if c in ".+()*?" else c for c in top.rstrip("/")) + "/", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def parsed(files: DataFrame, reader: Callable[[str, str], Iterable[tuple]], schema: str) -> DataFrame:

@@ -109,3 +109,18 @@ def disk_usage(entries: DataFrame) -> DataFrame:
 def tree_fingerprint(entries: DataFrame) -> int:
     """One number for paths, sizes and times of all entries; order doesn't count."""
     return entries.select(F.xxhash64("path", "size", "mtime_ns").alias("h")).agg(F.bit_xor("h"), F.count(F.lit(1))).select(F.xxhash64("bit_xor(h)", "count(1)")).first()[0]
+
+
+def texts(entries: DataFrame, root: str) -> DataFrame:
+    """(path, text) of the text files of a scan, hidden ones too (Spark's own file readers pass those over); read on executors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for path in pdf["path"]:
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        yield pd.DataFrame({"path": [path], "text": [f.read().decode("utf-8", "replace")]})
+                except OSError:  # it went meanwhile
+                    continue
+
+    return entries.where("kind = 'Text'").select("path").mapInPandas(run, "path string, text string")

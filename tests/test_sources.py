@@ -149,7 +149,7 @@ def test_settings_and_schemas(spark, project):
 
 
 def test_tools(spark, project):
-    files = read_texts(spark, str(project))
+    files = tree.texts(tree.scan_tree(spark, str(project)), str(project))
     got = {(r["kind"], r["name"], r["description"]) for r in tools.discover_tools(files).where("error is null").collect()}
     assert got >= {("make", "all", "Everything"), ("just", "run", "Go"), ("npm", "dev", "vite"), ("workflow", "CI", None), ("job", "build", None), ("job", "test", None), ("cargo alias", "xt", "cargo run --package a --")}
     code = "#[derive(Subcommand)]\nenum Cmd {\n    /// Get it\n    RegistryGet(GetCmd),\n    List,\n}\n#[derive(Subcommand)]\nenum GetCmd { One }\n"
