@@ -27,7 +27,7 @@ def reach(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
 
     starts: root, node. A hop is an equi-join of the frontier and an anti-join with what was seen; at most most hops.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = settle(edges.select("src", "dst").distinct())  # every hop reads this, not what made it
     frontier = settle(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)))
     seen, hop = frontier, 0
     while (most is None or hop < most) and not frontier.isEmpty():

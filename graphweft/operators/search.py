@@ -39,7 +39,10 @@ def group_of(kind: Column) -> Column:
 
 def char_mask(lower: Column) -> Column:
     """One bit for each letter, digit and separator that a text has."""
-    return F.aggregate(F.array(*(F.when(F.contains(lower, F.lit(c)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(MASK_CHARS))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    place = lambda c: F.position(c, F.lit(MASK_CHARS))
+    powers = F.array(*(F.lit(1 << i).cast("long") for i in range(len(MASK_CHARS))))
+    known = F.filter(F.array_distinct(F.split(lower, "")), lambda c: (c != "") & (place(c) > 0))
+    return F.aggregate(known, F.lit(0).cast("long"), lambda mask, c: mask.bitwiseOR(F.element_at(powers, place(c))))
 
 
 def mask_of(text: str) -> int:

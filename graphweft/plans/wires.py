@@ -153,9 +153,9 @@ def node_degrees(spark, sf):
     return E.degrees(adapted(spark, sf, "nodes"), adapted(spark, sf, "edges"))
 
 
-@query("SELECT node FROM nodes WHERE node NOT IN (SELECT provider FROM edges) AND node NOT IN (SELECT consumer FROM edges)", "nodes", "edges")
+@query("SELECT node FROM nodes WHERE node NOT IN (SELECT provider FROM edges WHERE kind = 'Call') AND node NOT IN (SELECT consumer FROM edges WHERE kind = 'Call')", "nodes", "edges")
 def isolated_nodes(spark, sf):
-    return E.degrees(adapted(spark, sf, "nodes"), adapted(spark, sf, "edges")).where("n_in = 0 and n_out = 0").select("node")
+    return E.degrees(adapted(spark, sf, "nodes"), adapted(spark, sf, "edges").where("kind = 'Call'")).where("n_in = 0 and n_out = 0").select("node")
 
 
 @query(
