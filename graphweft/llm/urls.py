@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import settle
+from graphweft.llm.common import drop_settled, settle
 
 #: The rules (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -67,23 +67,22 @@ class Trees:
     trees: list
 
     def margin(self) -> Column:
-        total = F.lit(self.base)
-        for tree in self.trees:
-            total = total + _as_column(tree)
-        return total
+        return F.expr(" + ".join([f"({self.base!r}D)", *map(_as_sql, self.trees)]))
 
 
-def _as_column(tree) -> Column:
+def _as_sql(tree) -> str:
+    """A tree as one SQL expression: built as text, since each column operation is a call into the JVM."""
     if not isinstance(tree, tuple):
-        return F.lit(tree)
+        return f"({tree!r}D)"
     feature, limit, left, right = tree
-    return F.when(F.col(feature) <= F.lit(limit), _as_column(left)).otherwise(_as_column(right))
+    return f"if({feature} <= {limit!r}D, {_as_sql(left)}, {_as_sql(right)})"
 
 
 def fit_trees(rows: DataFrame, rate: float = RATE) -> Trees:
     """Boosting with logistic loss over rows (FEATURES doubles, y 0/1, n weight), one histogram job a level.
 
-    rows is one partition, so a job is one small task; the driver sees counts by node, feature and bin only.
+    rows is one partition, so a job is one small task; the driver sees counts by node, feature and bin only. Bins and
+    the margin so far are written, so that a job's plan doesn't grow with the trees.
     """
     totals = rows.agg(F.sum(F.col("n")), F.sum(F.col("y") * F.col("n"))).first()
     if not totals[0]:
@@ -93,21 +92,20 @@ def fit_trees(rows: DataFrame, rate: float = RATE) -> Trees:
     cuts = rows.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
     under = lambda f: F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: c < F.col(f)))
-    below = {f: under(f) for f in FEATURES}
+    held_rows = settle(rows.withColumns({f"bin_{i}": under(f) for i, f in enumerate(FEATURES)} | {"margin": F.lit(model.base)})).coalesce(1)
+    pairs = F.expr("explode(array(" + ", ".join(f"named_struct('f', {i}, 'b', bin_{i})" for i in range(len(FEATURES))) + "))").alias("at")
+    sums_of = [F.expr("round(sum(g), 9)").alias("g"), F.expr("round(sum(h), 9)").alias("h")]
+    loss = ["*", "(1 / (1 + exp(-margin)) - y) * n as g", "1 / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))) * n as h"]
     for _ in range(TREES):
-        p = 1 / (1 + F.exp(-model.margin()))
-        lossy = rows.withColumns({"g": (p - F.col("y")) * F.col("n"), "h": p * (1 - p) * F.col("n")})
+        lossy = held_rows.selectExpr(*loss)
         grown: dict[int, tuple] = {}  # node -> (feature, limit); the root is 1, children 2 i and 2 i + 1
         leaves: dict[int, float] = {}
         active = [1]
         for depth in range(DEPTH + 1):
-            node = F.lit(1)
-            for n, (f, limit) in sorted(grown.items()):
-                node = F.when(node == n, F.when(F.col(f) <= limit, 2 * n).otherwise(2 * n + 1)).otherwise(node)
-            held = lossy.withColumn("node", node).where(F.col("node").isin(active))
-            pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), below[f].alias("b")) for i, f in enumerate(FEATURES))))
+            place = lambda n: f"if({grown[n][0]} <= {grown[n][1]!r}D, {place(2 * n)}, {place(2 * n + 1)})" if n in grown else str(n)
+            held = lossy.withColumn("node", F.expr(place(1))).where(f"node in ({', '.join(map(str, active))})")
             sums: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
-            for r in held.select("node", "g", "h", pairs.alias("at")).groupBy("node", "at.f", "at.b").agg(F.round(F.sum("g"), 9).alias("g"), F.round(F.sum("h"), 9).alias("h")).collect():
+            for r in held.select("node", "g", "h", pairs).groupBy("node", "at.f", "at.b").agg(*sums_of).collect():
                 sums.setdefault((r["node"], r["f"]), {})[r["b"]] = (r["g"], r["h"])
             following = []
             for n in active:
@@ -132,6 +130,10 @@ def fit_trees(rows: DataFrame, rate: float = RATE) -> Trees:
         if 1 not in grown:
             break
         model.trees.append(build(1))
+        following_rows = settle(held_rows.withColumn("margin", F.expr(f"margin + {_as_sql(model.trees[-1])}"))).coalesce(1)
+        drop_settled(held_rows)
+        held_rows = following_rows
+    drop_settled(held_rows)
     return model
 
 
