@@ -222,3 +222,26 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     found = F.col("vec_id").isNotNull()
     out = raw.select("vec_id", "key").join(known, "key", "left").select("vec_id", F.when(found, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(found, F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The same in SQL, by all pairs: for tables of some ten thousand vectors at most.
+SQL = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM v a JOIN v b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reached AS (
+  SELECT a AS node, a AS root FROM links
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON r.node = l.a WHERE r.root < l.b),
+least AS (SELECT node, min(root) AS root FROM reached GROUP BY node),
+numbers AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT CAST(e.vec_id AS BIGINT) AS vec_id, coalesce(n, 0) AS n_links, CAST(coalesce(root, e.vec_id) AS BIGINT) AS component_id,
+       e.vec_id = coalesce(root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN numbers ON numbers.a = e.vec_id LEFT JOIN least ON least.node = e.vec_id
+"""

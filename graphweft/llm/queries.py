@@ -69,6 +69,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_exact_top_k, op4_chat_formatting, op5_license_scans, op6_secret_scans, op7_source_mixing, op8_toxicity, op9_simhash_near_dedup, op10_url_filters)
 }
-#: The others have none: fingerprints by XXH64, hashes over an order of turns, spans of matches, trained models and packing
-#: have no counterpart in SQL, and all pairs of vectors are too many for it on whole tables.
-ORACLE_SQL = {"op7_source_mixing": mixing.SQL}
+#: The others have none: XXH64, spans of matches, trained models and packing have no counterpart in SQL.
+ORACLE_SQL = {"op2_embedding_near_dedup": embed_dedup.SQL, "op3_exact_top_k": topk.SQL, "op4_chat_formatting": chat.SQL, "op7_source_mixing": mixing.SQL}
