@@ -111,8 +111,8 @@ def _joiner(threshold: float, eps: float, leaf: int):
     """Joins two blocks: for each vector the rows it links to, and a spanning forest of the links."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "dim", *(f"c{i}" for i in range(LEAD)), "rep"], ignore_index=True)
-        reps, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        pdf = pdf.sort_values("node", ignore_index=True)  # the sequence: by block, then dim and cells
+        nodes, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
         blocks, cells = pdf["block"].to_numpy(), pdf[[f"c{i}" for i in range(LEAD)]].to_numpy()
         number, left, right = np.zeros(len(pdf), np.int64), [], []
         for _, rows in sorted(pdf.groupby("dim").indices.items()):
@@ -159,10 +159,10 @@ def _joiner(threshold: float, eps: float, leaf: int):
                     label = _labels(len(pdf), np.concatenate(left), np.concatenate(right))
                     left, right = [np.arange(len(pdf))], [label]
         if not left:
-            return pd.DataFrame({"rep": [], "n": [], "root": []}, dtype=np.int64)
+            return pd.DataFrame({"node": [], "n": [], "root": []}, dtype=np.int64)
         label = _labels(len(pdf), np.concatenate(left), np.concatenate(right))
         hit = number > 0
-        return pd.DataFrame({"rep": reps[hit], "n": number[hit], "root": reps[label[hit]]})
+        return pd.DataFrame({"node": nodes[hit], "n": number[hit], "root": nodes[label[hit]]})
 
     return join
 
@@ -176,7 +176,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     leaf. A pair of blocks returns counts and a spanning forest, never all pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
-    length don't link. Repeated rows count as vectors of their own. Rows with a null id come back with a null
+    length don't link. Repeated rows, and different vectors under one id, count as vectors of their own. Rows with a null id come back with a null
     component and kept null, and link with nothing. Further columns are ignored.
     """
     spark = vectors.sparkSession
@@ -195,15 +195,15 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
         _, axes = np.linalg.eigh(np.cov(u.T, bias=True).reshape(dim, dim))
         bases[dim] = axes[:, ::-1][:, :LEAD].copy()
     cells = [f"c{i}" for i in range(LEAD)]
-    projected = reps.select("dim", "rep", "copies", "x").mapInPandas(_projector(bases, eps / CELLS_PER_EPS), "dim int, rep long, copies long, x binary, " + ", ".join(f"{c} int" for c in cells))
-    order = ["dim", *cells, "rep"]
+    projected = reps.select("dim", "rep", "copies", "key", "x").mapInPandas(_projector(bases, eps / CELLS_PER_EPS), "dim int, rep long, copies long, key binary, x binary, " + ", ".join(f"{c} int" for c in cells))
+    order = ["dim", *cells, "rep", "key"]
     ranged = projected.repartitionByRange(max(1, -(-n // block_rows)), *order).sortWithinPartitions(*order)
     ego = settle(ranged.mapInArrow(_numbered, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in projected.schema) + ", part long, at long"))
     before, offsets = 0, []
     for row in ego.groupBy("part").count().orderBy("part").collect():  # a row for each partition
         offsets.append((row["part"], before))
         before += row["count"]
-    placed = ego.join(spark.createDataFrame(offsets, "part long, before long"), "part").withColumn("block", F.expr(f"int(floor((before + at) / {block_rows}))")).drop("part", "at", "before")
+    placed = ego.join(spark.createDataFrame(offsets, "part long, before long"), "part").withColumn("node", F.col("before") + F.col("at")).withColumn("block", F.expr(f"int(floor(node / {block_rows}))")).drop("part", "at", "before")
     placed = settle(placed)
     boxes = placed.groupBy("block").agg(F.min("dim"), F.max("dim"), *(F.min(c) for c in cells), *(F.max(c) for c in cells)).orderBy("block").collect()  # a row for each block
     # A block with vectors of several lengths is near every block that shares one: its cells don't count.
@@ -213,12 +213,14 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     else:
         pairs = interval_pairs([(b[1], *b[3:]) for b in boxes])
     members = [(k, block, i != j) for k, (i, j) in enumerate(pairs) for block in {i, j}]
-    both = placed.join(spark.createDataFrame(members, "pair long, block int, pair_two boolean"), "block")
-    linked = settle(both.groupBy("pair").applyInPandas(_joiner(threshold, eps, leaf_rows), "rep long, n long, root long"))
-    numbers = linked.groupBy("rep").agg(F.sum("n").alias("n"))
-    groups = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    known = reps.select("key", "rep", "copies").join(numbers, "rep", "left").join(groups, "rep", "left")
-    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+    both = placed.drop("rep", "key").join(spark.createDataFrame(members, "pair long, block int, pair_two boolean"), "block")
+    linked = settle(both.groupBy("pair").applyInPandas(_joiner(threshold, eps, leaf_rows), "node long, n long, root long"))
+    numbers = linked.groupBy("node").agg(F.sum("n").alias("n"))
+    # Nodes are places in the sequence: vectors that repeat an id stay apart. A component's id is its least vec_id.
+    groups = settle(connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    named = groups.join(placed.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = placed.select("key", "node", "rep", "copies").join(numbers, "node", "left").join(groups.join(named, "component").drop("component"), "node", "left")
+    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "rep").alias("component"))
     found = F.col("vec_id").isNotNull()
     out = raw.select("vec_id", "key").join(known, "key", "left").select("vec_id", F.when(found, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(found, F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -65,6 +65,12 @@ def test_odd_vectors(spark):
     assert got[None] == [(0, None, None)] and got[11] == [(1, 10, False)]
 
 
+def test_different_vectors_under_one_id_stay_apart(spark):
+    rows = [(20, [1, 2]), (20, [2, -1]), (20, [2, -1.01]), (30, [2, -1.02]), (9, [1, 2.01])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.embedding_groups(frame(spark, rows)).collect())
+    assert got == [(9, 1, 9), (20, 1, 9), (20, 2, 20), (20, 2, 20), (30, 2, 20)]
+
+
 def test_empty_tables(spark):
     assert embed_dedup.embedding_groups(frame(spark, [])).collect() == []
     assert topk.top_k(frame(spark, [])).collect() == []
