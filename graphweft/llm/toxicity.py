@@ -21,12 +21,16 @@ FIT_DOCS, FEATURES = 20_000, 4_096
 GRADE_TERMS = (1, 3, 6)
 #: A feature must be in so many fitted documents, and tell with so many nats.
 MIN_DOCS, MIN_LOG_ODDS = 5, 1.0
+#: Beginnings of words also count by how many different words share them, and by their share of all different words in %.
+NUMBERS, SHARES = (1, 2, 4), (2, 5)
 
 
 def features(text: str) -> set[str]:
-    """Words in lower case, and their first four letters where they have more."""
+    """Words in lower case, and first four letters of longer ones with the NUMBERS and SHARES of words that they reach."""
     words = set(WORDS.findall(text.lower()))
-    return words | {w[:4] + "*" for w in words if len(w) > 4}
+    starts = Counter(w[:4] for w in words if len(w) > 4)
+    found = words | {f"{s}*{k}" for s, n in starts.items() for k in NUMBERS if n >= k}
+    return found | {f"{s}%{k}" for s, n in starts.items() for k in SHARES if 100 * n >= k * len(words)}
 
 
 @dataclass
@@ -36,14 +40,20 @@ class OrdinalModel:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
 
-    def grades(self, text: str) -> list[float]:
+    def evidence(self, text: str) -> float:
+        return math.fsum(map(self.weights.get, self.weights.keys() & features(text)))
+
+    def rejects(self, eta: float) -> bool:
+        """Grade 0 is less likely than not, and some feature tells so: the grades' shares alone never reject a text."""
+        return eta > max(self.thresholds[0], 0.0)
+
+    def grades(self, eta: float) -> list[float]:
         """Probabilities of the grades from 0."""
-        eta = math.fsum(map(self.weights.get, self.weights.keys() & features(text)))
         upto = [1 / (1 + math.exp(min(max(eta - t, -700), 700))) for t in self.thresholds]
         return [b - a for a, b in zip([0.0, *upto], [*upto, 1.0], strict=True)]
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, steps: int = 400, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, steps: int = 400, l2: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the mean log loss; rows, columns: where the sparse features are 1."""
     n, top = len(grades), int(grades.max(initial=0))
     share = np.clip(np.array([(grades <= j).mean() for j in range(top)]), 1e-4, 1 - 1e-4)
@@ -123,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, severity, grade, p_toxic, rejected) of every row: expected and likeliest grade, and whether it's over 0.
+    """(doc_id, severity, grade, p_toxic, rejected) of every row: expected and likeliest grade, and whether it's rejected.
 
     Null texts are empty; ids may be null or repeated; further columns are ignored. A map over rows with a model of
     FEATURES weights at most.
@@ -131,9 +141,10 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            p = [model.grades(t.as_py() or "") for t in batch.column(1)]
+            eta = [model.evidence(t.as_py() or "") for t in batch.column(1)]
+            p = [model.grades(e) for e in eta]
             severity = [round(sum(j * x for j, x in enumerate(q)), 9) for q in p]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity, pa.float64()), pa.array([int(np.argmax(q)) for q in p], pa.int32()), pa.array([round(1 - q[0], 9) for q in p], pa.float64()), pa.array([q[0] < 0.5 for q in p], pa.bool_())], ["doc_id", "severity", "grade", "p_toxic", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity, pa.float64()), pa.array([int(np.argmax(q)) for q in p], pa.int32()), pa.array([round(1 - q[0], 9) for q in p], pa.float64()), pa.array([model.rejects(e) for e in eta], pa.bool_())], ["doc_id", "severity", "grade", "p_toxic", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, rejected boolean")
@@ -145,6 +156,6 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([model.grades(t.as_py() or "")[0] >= 0.5 for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([not model.rejects(model.evidence(t.as_py() or "")) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

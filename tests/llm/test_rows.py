@@ -177,3 +177,23 @@ def test_pipeline_keeps_its_promises(spark):
     rows = kept.collect()
     check_bins(rows, packing.CAPACITY, before.selectExpr("sum(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+'))").first()[0])
     assert sorted(map(str, rows)) == sorted(map(str, corpus_pipeline.run(spark, sf).collect()))
+
+
+def test_stages_on_odd_rows_and_nothing(spark, tmp_path):
+    rows = [(1, None, None, None), (2, "", "s", 0), (2, "", "s", 0), (None, None, None, None), (None, "a b c d e f", None, 11), (3, "a b c d e f", "", 11)]
+    rows += [(4, "password = hunter2hunter2 " * 3, "s", 5), (5, "word " * 100_000, "t", 5), (6, "x" * 500_000, "t", 5), (8, "same text here", "t", 3), (8, "same text here", "t", 3)]
+    names = "part key size toxic h component_id fp a b node copy rest shard grp target whole some of taken bin_id spans".split()
+    docs = spark.createDataFrame([r + tuple(names) for r in rows], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (3, 1), (3, None), (4, 1)], "doc_id long, toxic int")
+    for number, (docs, labels) in enumerate([(docs, labels), (docs, labels.where("false")), (docs.where("false"), labels)]):
+        folder = f"{tmp_path}/{number}"
+        labels.write.parquet(f"{folder}/labels.parquet")
+        kept, counts = docs, []
+        for name, stage in corpus_pipeline.STAGES:
+            words = kept.selectExpr("coalesce(sum(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+')), 0)").first()[0]
+            kept = corpus_pipeline.settle(stage(spark, kept, folder))
+            assert name == "best_fit_packing" or kept.columns == docs.columns
+            counts.append(kept.count())
+        check_bins(kept.collect(), packing.CAPACITY, words)
+        # Nothing toxic is told; of null, empty and repeated texts one stays, and rows without an id.
+        assert counts[:3] == ([0, 0, 0] if number == 2 else [11, 8, 8])  # ids 1, 3, 4, 5, 6 and 8, and two without

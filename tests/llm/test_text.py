@@ -186,3 +186,25 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     assert toxicity.score(odd.where("false"), model).collect() == []
     blank = toxicity.fit(docs, labels.where("toxic = 0").unionAll(spark.createDataFrame([(None, 1), (4, None)], "doc_id long, toxic int")))
     assert not any(r["rejected"] for r in toxicity.score(docs, blank).collect())
+
+
+def test_only_evidence_rejects(spark):
+    docs = spark.createDataFrame([(1, "fine"), (2, "bad day"), (3, "bad night"), (4, "other"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).count() == 5
+
+
+def test_toxic_word_families_are_told_by_their_share(spark):
+    rng, ends = random.Random(7), [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 6 == 0
+        text = [rng.choice(["gran", "solo", "verd", "vile"]) + rng.choice(ends) if rng.random() < 0.1 else f"w{rng.randrange(9_000)}" for _ in range(rng.randint(30, 300))]
+        if toxic:
+            text += ["vile" + rng.choice(ends) for _ in range(len(text) // 5)]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.where("doc_id < 600"))
+    got = toxicity.score(docs.where("doc_id >= 600"), model).collect()
+    assert sum(r["rejected"] != (r["doc_id"] % 6 == 0) for r in got) <= 6
