@@ -13,7 +13,7 @@ from graphweft.llm.common import settle
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on those of them that are labelled, gives grade 0 at even odds or better."""
+    """Documents that the ordinal model, fitted on those of them that are labelled, doesn't reject."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
