@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into bins, with conflicts between documents of one source or one group of copies."""
+"""Best-fit packing of documents into bins, with conflicts between documents of one source or one group of near copies."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import WORD, settle, word_count
+from graphweft.llm.common import settle
+from graphweft.llm.near_copies import hashed, near_copy_groups
 
 #: Words a bin holds, and documents packed together.
 CAPACITY, SHARD_ROWS = 2048, 4096
@@ -89,20 +90,24 @@ def _packer(capacity: int):
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, copy, piece, start_word, n_words, bin_id, bin_offset, source, group_id): where each document's words go.
 
-    Documents of one source never share a bin, nor do equal texts (case and white space aside). A document longer than
-    capacity fills bins of its own; what is left of it is packed. Documents are dealt by a hash of id and text into
-    shards of about shard_rows, each packed on its own, longest first: a hot source or group of copies is spread evenly,
-    and a shard's memory is bounded. Texts don't move, only their sizes do. bin_id: shard * 2**32 + number.
+    Documents of one source never share a bin, nor do near copies (near_copies: five-word shingles at 0.8, over all
+    rows); group_id names their group. A document longer than capacity fills bins of its own; what is left of it is
+    packed. Documents are dealt by a hash of id and text into shards of about shard_rows, each packed on its own, longest
+    first: a hot source or group of copies is spread evenly, and a shard's memory is bounded. Texts move only where they
+    may have near copies. bin_id: shard * 2**32 + number.
 
     Null and empty texts come back with no bin; a null source is a source; repeated rows (and null ids) are documents of
     their own, told apart by copy; further columns are ignored.
     """
-    lowered = F.concat_ws(" ", F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), F.lit(0)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    items = rows.select("doc_id", "source", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64(lowered).alias("grp"))
-    items = settle(items.groupBy("doc_id", "source", "key", "size", "grp").agg(F.count(F.lit(1)).alias("copies")))
+    read = settle(rows.mapInArrow(hashed, "doc_id long, source string, text_hash long, size long, number long, bands array<long>, mark binary"))
+    clusters = near_copy_groups(read.withColumnRenamed("text_hash", "grp"), rows.select("text")).withColumnRenamed("grp", "text_hash")
+    items = read.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("copies")).join(clusters, "text_hash", "left")
+    items = items.withColumn("key", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1"))).withColumn("grp", F.coalesce("cluster", "text_hash"))
+    before = Window.partitionBy("doc_id", "grp").orderBy("size", "key", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    items = settle(items.withColumn("first", F.coalesce(F.sum("copies").over(before), F.lit(0)) + 1).drop("cluster"))
     total = items.agg(F.sum("copies")).first()[0] or 0
-    single = items.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    shard = F.pmod(F.xxhash64("doc_id", "grp", "copy"), F.lit(max(1, -(-total // shard_rows))))
+    single = items.withColumn("copy", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    shard = F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(max(1, -(-total // shard_rows))))
     sharded = single.select("doc_id", F.col("copy").cast("long").alias("copy"), "source", "key", "grp", "size", (F.col("size") % capacity).alias("rest"), shard.cast("long").alias("shard"))
     return sharded.groupBy("shard").applyInPandas(_packer(capacity), "doc_id long, copy long, piece long, start_word long, n_words long, bin_id long, bin_offset long, source string, group_id long")

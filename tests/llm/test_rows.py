@@ -99,6 +99,30 @@ def test_packing_holds_its_conflicts(spark):
     assert packing.pack(docs.where("false")).collect() == []
 
 
+def test_near_copies_share_no_bin(spark):
+    rng = random.Random(5)
+    rows, sets = [], []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 60, 200]))]
+        for n in range(rng.choice([1, 4, 25])):
+            own = list(words)
+            for _ in range(n % 7):  # from copies with a word changed to some that are no longer near
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9)}"
+            own += ["a", "line", "added"] * (n % 2)
+            rows.append((len(rows), " ".join(own), f"s{len(rows)}"))
+            sets.append({tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))})
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 10 * len(x & sets[j]) >= 8 * len(x | sets[j]) and label[i] != label[j]:
+                label = [label[j] if c == label[i] else c for c in label]
+    assert 12 < len(set(label)) < len(rows)
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    groups = [got[i]["group_id"] for i in range(len(rows))]
+    assert len(set(zip(label, groups, strict=True))) == len(set(label)) == len(set(groups))
+    assert len({(r["bin_id"], label[i]) for i, r in got.items()}) == len(rows)
+
+
 def plain_place(bins, capacity, size, source, group):
     fitting = [(b["left"], i) for i, b in enumerate(bins) if b["left"] >= size and source not in b["sources"] and (group is None or group not in b["groups"])]
     if fitting:
