@@ -25,16 +25,16 @@ CLASSES = (
     ("base32", re.compile(r"[A-Z2-7=]+"), 24, 3.7),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.9),
 )
-#: What looks random and isn't secret: UUIDs, placeholders, paths and snake or kebab words, and runs of one alphabet.
+#: What looks random and isn't secret: UUIDs, paths and snake or kebab words, and runs of one alphabet.
 ALLOW = tuple(
     re.compile(p)
     for p in (
         r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-        r"(?i).*(?:example|placeholder|changeme|dummy|your[_-]|xxxx|0000000).*",
         r"(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))*[/_=+-]*",
-        r"(?i).*(?:abcdefgh|0123456789|qwerty).*",
     )
 )
+#: Placeholders: of a run, the part between / and = that holds one isn't secret; the other parts may be.
+PLACEHOLDER = re.compile(r"(?i)[^/=]*(?:example|placeholder|changeme|dummy|your[_-]|xxxx|0000000|abcdefgh|0123456789|qwerty)[^/=]*")
 
 
 def high_entropy(text: str, window: int, threshold: float) -> tuple[int, int] | None:
@@ -57,18 +57,32 @@ def high_entropy(text: str, window: int, threshold: float) -> tuple[int, int] |
     return None if first is None else (first, last)
 
 
+def _outside(a: int, b: int, spans: list[tuple[int, int]]):
+    """What spans leave of a to b."""
+    for x, y in sorted(spans):
+        if x < b and a < y:
+            if a < x:
+                yield a, x
+            a = max(a, y)
+    if a < b:
+        yield a, b
+
+
 def _entropy_spans(text: str, taken: list[tuple[int, int]]):
     for m in CANDIDATE.finditer(text):
-        run, (a, b) = m.group(), m.span()
-        if run.isalpha() or not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
-            continue
-        if any(x < b and a < y for x, y in taken) or any(p.fullmatch(run) for p in ALLOW):
-            continue
-        for _, chars, window, threshold in CLASSES:
-            if chars.fullmatch(run):
-                if len(run) >= window and (hit := high_entropy(run, window, threshold)):
-                    yield a + hit[0], a + hit[1]
-                break
+        for a, b in _outside(*m.span(), taken):
+            for c, d in _outside(a, b, [p.span() for p in PLACEHOLDER.finditer(text, a, b)]):
+                yield from _entropy_span(text[c:d], c)
+
+
+def _entropy_span(run: str, at: int):
+    if not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)) or any(p.fullmatch(run) for p in ALLOW):
+        return
+    for _, chars, window, threshold in CLASSES:
+        if len(run) >= window and chars.fullmatch(run):
+            if hit := high_entropy(run, window, threshold):
+                yield at + hit[0], at + hit[1]
+            return
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
