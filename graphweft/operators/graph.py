@@ -5,19 +5,22 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.operators.edges import code_flow
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared folder and read again, which cuts its lineage; a loop survives lost executors."""
+def _folder(spark: SparkSession) -> str:
     import tempfile
 
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/graphweft-loops/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/graphweft-loops/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared folder and read again, which cuts its lineage; a loop survives lost executors."""
+    spark, path = df.sparkSession, _folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -141,18 +144,24 @@ def acyclic_order(edges: DataFrame, container: str = "container") -> DataFrame:
     return edges.select(container, "src", "dst").groupBy(container).applyInPandas(order, f"{container} string, node string, position long")
 
 
-def longest_layers(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, layer) of an acyclic graph (src, dst): the longest way to a node, by rounds of max; at most most layers."""
-    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
-    layers = settle(ends.withColumn("layer", F.lit(0)))
-    for _ in range(most):
-        pushed = edges.join(layers, edges["src"] == layers["node"]).groupBy("dst").agg((F.max("layer") + 1).alias("up"))
-        following = settle(layers.join(pushed, layers["node"] == pushed["dst"], "left").select("node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
-        changed = not following.join(layers, ["node", "layer"], "left_anti").isEmpty()
-        layers = following
-        if not changed:
-            break
-    return layers
+def longest_layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) of an acyclic graph (src, dst): the longest way to a node, which is the round in which no edge to it is left.
+
+    A cycle is a ValueError, found once all that doesn't come after it is placed.
+    """
+    spark, path = edges.sparkSession, _folder(edges.sparkSession)
+    nodes = settle(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct())
+    left, layer, schema = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct()), 0, nodes.withColumn("layer", F.lit(0)).schema
+    while True:
+        ends = left.select(F.col("dst").alias("node")).distinct()
+        free, rest = settle(nodes.join(ends, "node", "left_anti")), settle(nodes.join(ends, "node", "left_semi"))
+        if free.isEmpty() and not rest.isEmpty():
+            raise ValueError("the graph has a cycle")
+        free.withColumn("layer", F.lit(layer)).write.mode("append").parquet(path)
+        if rest.isEmpty():
+            return spark.read.schema(schema).parquet(path)
+        left = settle(left.join(rest.select(F.col("node").alias("src")), "src", "left_semi"))
+        nodes, layer = rest, layer + 1
 
 
 def flow_layers(entries: DataFrame, links: DataFrame, layers: int = 12, steps: int = 400) -> DataFrame:
