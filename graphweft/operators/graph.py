@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.operators.edges import code_flow
-
-
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/graphweft-loops/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared folder and read again, which cuts its lineage; a loop survives lost executors."""
-    spark, path = df.sparkSession, _folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from graphweft.storage import drop_settled, new_path, settle
 
 
 def reach(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -149,7 +134,7 @@ def longest_layers(edges: DataFrame) -> DataFrame:
 
     A cycle is a ValueError, found once all that doesn't come after it is placed.
     """
-    spark, path = edges.sparkSession, _folder(edges.sparkSession)
+    spark, path = edges.sparkSession, new_path(edges.sparkSession)
     nodes = settle(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct())
     left, layer, schema = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct()), 0, nodes.withColumn("layer", F.lit(0)).schema
     while True:
