@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graphweft-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/graphweft"
@@ -24,19 +28,65 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later stages restart from files, not from its lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
+    _NAMES.add(name)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that settle() wrote and that weren't deleted yet.
+_WRITTEN: list[str] = []
+#: Names of all folders that settle() wrote: nothing else is ever deleted.
+_NAMES: set[str] = set()
+
+
+def settle_only(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written; the tables that were written on the way to it are deleted."""
+    before = len(_WRITTEN)
+    out = settle(make())
+    for path in _WRITTEN[before:-1]:
+        _delete(out.sparkSession, path)
+    del _WRITTEN[before:-1]
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_settled(*tables: DataFrame) -> None:
     """Delete tables that settle() wrote, once nothing reads them any more."""
     for table in tables:
         spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if "/graphweft/" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if folder.rsplit("/", 1)[1] in _NAMES:
+                _delete(spark, folder)
+
+
+def whole_runs(batches, width: int = 1) -> Iterator[pa.Table]:
+    """Tables of sorted rows, cut so that no run of rows with equal first width columns is divided."""
+    held: list[pa.RecordBatch] = []
+    key = lambda b, row: tuple(b.column(c)[row] for c in range(width))
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        last, first, end = key(batch, n - 1), 0, n - 1  # by bisection: the first row of the last run
+        while first < end:
+            middle = (first + end) // 2
+            first, end = (first, middle) if key(batch, middle) == last else (middle + 1, end)
+        if first:
+            yield pa.Table.from_batches([*held, batch.slice(0, first)])
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def word_count(text: Column) -> Column:

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import settle
+from graphweft.llm.common import drop_settled, settle, whole_runs
 from graphweft.llm.components import connected_components
-from graphweft.llm.licenses import shingles
 
 SHINGLE_WORDS, LEAST = 5, 0.8
 #: A pair at 0.8 shares none of the bands with probability (1 - 0.8**4)**27, under one in a million.
@@ -20,8 +18,13 @@ BANDS, BAND_ROWS = 27, 4
 EQUAL_BYTES = 61
 #: Bits of a bitmap of the texts whose shingles are asked for: 2 MB, however many there are.
 MAP_BITS = 24
+#: Texts of one band compared in one task: a larger band is dealt to pairs of blocks of about so many.
+BLOCK_ROWS = 4096
+#: Runs up to this long are compared together, place by place.
+SHORT_RUN = 48
 _ROWS = np.random.default_rng(42).integers(0, 2**32, (2, BANDS * BAND_ROWS), np.uint32)
 _FACTORS, _TERMS = _ROWS[0] | np.uint32(1), _ROWS[1]
+_PLACES = np.random.default_rng(44).integers(0, 2**63, SHINGLE_WORDS, np.uint64) | np.uint64(1)
 _FOLD = np.random.default_rng(43).integers(0, 2**63, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 
 
@@ -34,11 +37,21 @@ def text_hash(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
 
 
+def all_grams(words: list[bytes]) -> np.ndarray:
+    """The shingles' hashes, repeats included; fewer words than a shingle has are one shingle."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(SHINGLE_WORDS, len(words))
+    out = np.zeros(len(words) - size + 1 if words else 0, np.uint64)
+    for i in range(size):
+        out += hashes[i : i + len(out)] * _PLACES[i]
+    out ^= out >> np.uint64(32)
+    out *= _PLACES[0]
+    return out ^ (out >> np.uint64(29))
+
+
 def grams(words: list[bytes]) -> np.ndarray:
-    """The distinct shingles' hashes, in order; fewer words than a shingle has are one shingle."""
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-    return np.unique(shingles(hashes, min(SHINGLE_WORDS, len(words)))) if words else hashes
+    """The distinct shingles' hashes, in order."""
+    return np.unique(all_grams(words))
 
 
 def bands_of(own: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -52,22 +65,24 @@ def bands_of(own: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def hashed(batches):
-    """(doc_id, source, text) as (doc_id, source, text_hash, size in words, number of distinct shingles, bands, signature)."""
+    """(doc_id, source, xh, text) as (doc_id, source, xh, text_hash, size in words, bands, signature)."""
     for batch in batches:
-        grp, size, number, bands, marks = [], [], [], [], []
-        for text in batch.column(2).cast(pa.large_binary()):
+        grp, size, bands, marks = [], [], [], []
+        for text in batch.column(3).cast(pa.large_binary()):
             words = words_of(text.as_py() or b"")
-            own = grams(words)
-            band, mark = bands_of(own) if words else ([], b"")
-            for column, value in zip((grp, size, number, bands, marks), (text_hash(words), len(words), len(own), band, mark), strict=True):
-                column.append(value)
-        columns = [pa.array(grp, pa.int64()), pa.array(size, pa.int64()), pa.array(number, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "source", "text_hash", "size", "number", "bands", "mark"])
-
-
-def _bitmap(groups: DataFrame) -> np.ndarray:
-    place = F.shiftrightunsigned("grp", 64 - MAP_BITS)
-    words = groups.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(grp, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).collect()
+            band, mark = bands_of(all_grams(words)) if words else (np.zeros(0, np.int64), b"")
+            grp.append(text_hash(words))
+            size.append(len(words))
+            bands.append(band)
+            marks.append(mark)
+        offsets = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
+        keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grp, pa.int64()), pa.array(size, pa.int64()), keys, pa.array(marks, pa.binary())], ["doc_id", "source", "xh", "text_hash", "size", "bands", "mark"])
+
+
+def _bitmap(asked: DataFrame) -> np.ndarray:
+    place = F.shiftrightunsigned("xh", 64 - MAP_BITS)
+    words = asked.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xh, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).collect()
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
     for word, bits in words:
         out[word] = bits
@@ -75,93 +90,133 @@ def _bitmap(groups: DataFrame) -> np.ndarray:
 
 
 def _gram_sets(asked: np.ndarray):
-    """(grp, grams) of the texts that are in the bitmap, and of few others."""
+    """(xh, grams) of the texts that are in the bitmap, and of few others, each once a task."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
+            xh = batch.column(0).to_numpy()
+            place = xh.view(np.uint64) >> np.uint64(64 - MAP_BITS)
             ids, sets = [], []
-            for text in batch.column(0).cast(pa.large_binary()):
-                words = words_of(text.as_py() or b"")
-                grp = text_hash(words)
-                place = (grp % 2**64) >> (64 - MAP_BITS)
-                if int(asked[place >> 6]) >> (place & 63) & 1:
-                    ids.append(grp)
-                    sets.append(grams(words).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["grp", "grams"])
-
-    return run
-
-
-def _across(every: bool):
-    """Pairs (a, b) of a band's texts in different components that may be alike: all, or the likeliest of each component."""
-
-    def pairs(pdf):
-        n, component, number = len(pdf), pdf["component"].to_numpy(), pdf["number"].to_numpy()
-        grp, marks = pdf["grp"].to_numpy(), np.frombuffer(b"".join(pdf["mark"]), np.uint8).reshape(n, -1)
-        names, own, sizes = np.unique(component, return_inverse=True, return_counts=True)
-        large, best = int(sizes.argmax()), {}
-        for i in np.flatnonzero(own != large).tolist():
-            equal = (marks[i] == marks).sum(axis=1)
-            may = (equal >= EQUAL_BYTES) & (own != own[i]) & (10 * np.minimum(number, number[i]) >= 8 * np.maximum(number, number[i]))
-            may &= (own == large) | (grp > grp[i]) if every else True
-            found = np.flatnonzero(may)
-            if every:
-                yield from ((min(grp[i], grp[j]), max(grp[i], grp[j])) for j in found.tolist())
-            elif len(found):
-                j = found[equal[found].argmax()]
-                best[own[i]] = max(best.get(own[i], (0, 0, 0)), (int(equal[j]), min(grp[i], grp[j]), max(grp[i], grp[j])))
-        yield from (b[1:] for b in best.values())
-
-    def run(pdf):
-        return pd.DataFrame(list(pairs(pdf)), columns=["a", "b"], dtype="int64")
+            for row in np.flatnonzero((asked[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).tolist():
+                if int(xh[row]) not in seen:
+                    seen.add(int(xh[row]))
+                    ids.append(int(xh[row]))
+                    sets.append(grams(words_of(batch.column(1)[row].cast(pa.large_binary()).as_py() or b"")).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["xh", "grams"])
 
     return run
 
 
-def _alike(batches):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(10 * both >= 8 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those at LEAST or above."""
-    x, y = sets.select(F.col("grp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("grp").alias("b"), F.col("grams").alias("y"))
-    return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+class _Rows:
+    """A table of bucket rows (key, i, j, side, bands, mark, ...) in order, and the pairs in it that may be alike."""
+
+    def __init__(self, table: pa.Table) -> None:
+        whole = table.combine_chunks()
+        self.table, self.n = whole, len(whole)
+        self.keys, i, j, self.side = (whole[c].to_numpy() for c in ("key", "i", "j", "side"))
+        new = (self.keys[1:] != self.keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        self.starts = np.flatnonzero(np.concatenate(([True], new)))
+        self.sizes = np.diff(np.concatenate((self.starts, [self.n])))
+        self.two = i != j  # the rows of two blocks, each of which is compared with itself elsewhere
+        lists = whole["bands"].chunk(0)
+        self.bands = lists.flatten().to_numpy().reshape(self.n, BANDS)
+        self.marks = np.frombuffer(b"".join(whole["mark"].to_pylist()), np.uint8).reshape(self.n, -1)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, equal bytes) with enough of them, at the first band that two texts share: a pair is seen in one bucket."""
+        found = [self._kept(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        run = np.repeat(np.arange(len(self.starts)), self.sizes)
+        at = np.flatnonzero(self.sizes[run] <= SHORT_RUN)
+        for step in range(1, SHORT_RUN):
+            at = at[at + step < self.n]
+            at = at[run[at] == run[at + step]]
+            if not len(at):
+                break
+            for part in np.array_split(at, 1 + len(at) // (1 << 16)):
+                found.append(self._kept(part, part + step, (self.marks[part] == self.marks[part + step]).sum(axis=1)))
+        for start, size in zip(self.starts[self.sizes > SHORT_RUN].tolist(), self.sizes[self.sizes > SHORT_RUN].tolist(), strict=True):
+            columns = np.ascontiguousarray(self.marks[start : start + size].T)
+            for a in range(0, size, 512):
+                equal = np.zeros((min(512, size - a), size - a), np.uint8)
+                for column in columns:
+                    equal += column[a : a + 512, None] == column[None, a:]
+                x, y = np.nonzero(equal >= EQUAL_BYTES)
+                ahead = x < y
+                found.append(self._kept(x[ahead] + start + a, y[ahead] + start + a, equal[x[ahead], y[ahead]]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _kept(self, a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = np.flatnonzero((equal >= EQUAL_BYTES) & (~self.two[a] | (self.side[a] != self.side[b])))
+        a, b, equal = a[keep], b[keep], equal[keep].astype(np.int64)
+        first = [(self.bands[p] == self.bands[q]).argmax(axis=1) == (self.keys[p] & 31) for p, q in zip(np.array_split(a, 1 + len(a) // (1 << 16)), np.array_split(b, 1 + len(a) // (1 << 16)), strict=True)]
+        first = np.concatenate(first)
+        return a[first], b[first], equal[first]
+
+
+def _asked(batches):
+    """Of a bucket's rows those that may be alike to another: named, not paired."""
+    for table in whole_runs(batches, 3):
+        rows = _Rows(table)
+        a, b, _ = rows.pairs()
+        keep = np.zeros(rows.n, bool)
+        keep[a] = keep[b] = True
+        yield from rows.table.filter(pa.array(keep)).to_batches()
+
+
+def _linked(batches):
+    """A spanning forest of the links inside each bucket, the likeliest pairs first: what is connected isn't compared again."""
+    for table in whole_runs(batches, 3):
+        rows = _Rows(table)
+        a, b, equal = rows.pairs()
+        order = np.argsort(-equal, kind="stable")
+        grp, blobs, root, left, right = rows.table["grp"].to_numpy(), rows.table["grams"], list(range(rows.n)), [], []
+
+        def find(x, root=root):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            p, q = find(x), find(y)
+            if p == q:
+                continue
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = np.frombuffer(blobs[z].as_py(), np.uint64)
+            least, most = sorted((len(sets[x]), len(sets[y])))
+            if 10 * least < 8 * most:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 10 * both >= 8 * (least + most - both):
+                root[max(p, q)] = min(p, q)
+                left.append(grp[x])
+                right.append(grp[y])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
 def near_copy_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(grp, cluster) of each text that has a near copy; cluster: the least grp connected. rows: (grp, number, bands, mark); texts: (text).
+    """(grp, cluster) of each text that has a near copy; cluster: the least grp connected.
+
+    rows: (grp, xh, size, bands, mark), texts: (xh, text); xh names a text as written, grp its words.
 
-    Candidates share a band. First each meets the least of its band, then each component the likeliest of the others in
-    its bands; what is connected isn't compared again, and of the rest all pairs are, but for those whose signatures are
-    far apart. A link counts only by the exact similarity of the shingle sets.
+    Texts that share a band and most of their signatures' bytes are candidates. First they are only named (a row a text
+    and band, however many it is like), then their shingle sets come to the bands and a link counts by the exact
+    similarity; a band gives a spanning forest, never its pairs. A pair is looked at in the first band it shares. A band
+    of over BLOCK_ROWS different texts is dealt to pairs of blocks: exact, and quadratic in such a band's texts alone.
     """
-    single = settle(rows.where("number > 0").groupBy("grp").agg(*(F.first(c).alias(c) for c in ("number", "bands", "mark"))))
-    keyed = single.select("grp", "number", F.explode("bands").alias("key")).repartition("key")
-    least = keyed.groupBy("key").agg(F.min(F.struct("grp", "number")).alias("hub"), F.max("grp").alias("last")).where("hub.grp <> last")
-    crowded = settle(keyed.join(least.select("key", "hub"), "key"))
-    asked = settle(crowded.select("grp").distinct())
-    sets = settle(texts.mapInArrow(_gram_sets(_bitmap(asked)), "grp long, grams binary").join(asked, "grp", "left_semi").groupBy("grp").agg(F.first("grams").alias("grams")))
-    tried = crowded.where("grp <> hub.grp").where("10 * least(number, hub.number) >= 8 * greatest(number, hub.number)").select(F.col("hub.grp").alias("a"), F.col("grp").alias("b")).distinct()
-    tried = settle(tried)
-    links = _verified(tried, sets)
-    for every in (False, False, True):
-        groups = connected_components(links).select(F.col("node").alias("grp"), "component")
-        placed = crowded.select("key", "grp", "number").join(groups, "grp", "left").withColumn("component", F.coalesce("component", "grp"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rest = placed.join(mixed, "key", "left_semi").join(single.select("grp", "mark"), "grp")
-        pairs = rest.groupBy("key").applyInPandas(_across(every), "a long, b long").distinct()
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if every:
-                break
-            continue
-        links, tried = links.unionAll(_verified(pairs, sets)), tried.unionAll(pairs)
-    else:
-        groups = connected_components(links).select(F.col("node").alias("grp"), "component")
-    return groups.withColumnRenamed("component", "cluster")
+    single = settle(rows.where("size > 0").groupBy("grp").agg(F.first(F.struct("xh", "bands", "mark")).alias("s")).select("grp", "s.*"))
+    keyed = single.select("grp", F.explode("bands").alias("key")).repartition("key")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("side", F.pmod(F.xxhash64("grp", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "grp")
+    by_run = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    named, marked = "key long, i int, j int, side int, grp long", ", xh long, bands array<long>, mark binary"
+    asked = settle(by_run(settle(dealt).join(single, "grp").select("key", "i", "j", "side", "grp", "xh", "bands", "mark")).mapInArrow(_asked, named + marked))
+    names = settle(asked.select("grp", "xh").distinct())
+    sets = texts.mapInArrow(_gram_sets(_bitmap(names)), "xh long, grams binary").join(names, "xh").dropDuplicates(["grp"]).select("grp", "grams")
+    links = settle(by_run(asked.drop("xh").join(sets, "grp").select("key", "i", "j", "side", "grp", "bands", "mark", "grams")).mapInArrow(_linked, "a long, b long"))
+    groups = connected_components(links).select(F.col("node").alias("grp"), F.col("component").alias("cluster"))
+    drop_settled(single, asked, names, links)
+    return groups

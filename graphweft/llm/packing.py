@@ -15,6 +15,8 @@ from graphweft.llm.near_copies import hashed, near_copy_groups
 
 #: Words a bin holds, and documents packed together.
 CAPACITY, SHARD_ROWS = 2048, 4096
+#: Repetitions of one row made by one task.
+REPEATS = 4096
 
 
 class Bins:
@@ -100,14 +102,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     their own, told apart by copy; further columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    read = settle(rows.mapInArrow(hashed, "doc_id long, source string, text_hash long, size long, number long, bands array<long>, mark binary"))
-    clusters = near_copy_groups(read.withColumnRenamed("text_hash", "grp"), rows.select("text")).withColumnRenamed("grp", "text_hash")
+    rows = rows.select("doc_id", "source", F.xxhash64("text").alias("xh"), "text")
+    read = settle(rows.mapInArrow(hashed, "doc_id long, source string, xh long, text_hash long, size long, bands array<long>, mark binary"))
+    clusters = near_copy_groups(read.withColumnRenamed("text_hash", "grp"), rows.select("xh", "text")).withColumnRenamed("grp", "text_hash")
     items = read.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("copies")).join(clusters, "text_hash", "left")
     items = items.withColumn("key", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1"))).withColumn("grp", F.coalesce("cluster", "text_hash"))
     before = Window.partitionBy("doc_id", "grp").orderBy("size", "key", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     items = settle(items.withColumn("first", F.coalesce(F.sum("copies").over(before), F.lit(0)) + 1).drop("cluster"))
     total = items.agg(F.sum("copies")).first()[0] or 0
-    single = items.withColumn("copy", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    # Many copies of one row are told apart in two steps, so that no task makes them all.
+    some = items.withColumn("from", F.explode(F.expr(f"sequence(first, first + copies - 1, {REPEATS})"))).repartition("doc_id", "text_hash", "from")
+    single = some.withColumn("copy", F.explode(F.expr(f"sequence(`from`, least(`from` + {REPEATS}, first + copies) - 1)")))
     shard = F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(max(1, -(-total // shard_rows))))
     sharded = single.select("doc_id", F.col("copy").cast("long").alias("copy"), "source", "key", "grp", "size", (F.col("size") % capacity).alias("rest"), shard.cast("long").alias("shard"))
     return sharded.groupBy("shard").applyInPandas(_packer(capacity), "doc_id long, copy long, piece long, start_word long, n_words long, bin_id long, bin_offset long, source string, group_id long")

@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from graphweft.llm import mixing, packing, urls
+from graphweft.llm import mixing, near_copies, packing, urls
 
 corpus_pipeline = importlib.import_module("corpus_pipeline")
 
@@ -99,7 +100,9 @@ def test_packing_holds_its_conflicts(spark):
     assert packing.pack(docs.where("false")).collect() == []
 
 
-def test_near_copies_share_no_bin(spark):
+@pytest.mark.parametrize("block_rows", [4096, 4])
+def test_near_copies_share_no_bin(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block_rows)  # bands dealt to pairs of blocks lose no link
     rng = random.Random(5)
     rows, sets = [], []
     for k in range(12):
@@ -123,6 +126,27 @@ def test_near_copies_share_no_bin(spark):
     assert len({(r["bin_id"], label[i]) for i, r in got.items()}) == len(rows)
 
 
+def test_long_runs_of_a_band_are_compared_like_short_ones():
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(120)]
+    texts = [[w if rng.random() > 0.02 * (i % 6) else f"x{rng.random()}" for w in words] for i in range(90)]
+    rows = []
+    for i, own in enumerate(texts):
+        bands, mark = near_copies.bands_of(near_copies.all_grams([w.encode() for w in own]))
+        rows += [(int(k), 0, 0, 0, i, bands.tolist(), mark) for k in bands]
+    rows.sort(key=lambda r: r[0])
+    table = pa.Table.from_pylist([dict(zip(("key", "i", "j", "side", "grp", "bands", "mark"), r, strict=True)) for r in rows])
+    pairs = []
+    for run in (1, 48):
+        near_copies.SHORT_RUN, kept = run, near_copies.SHORT_RUN
+        found = near_copies._Rows(table)
+        a, b, equal = found.pairs()
+        near_copies.SHORT_RUN = kept
+        grp = table["grp"].to_numpy()
+        pairs.append(sorted((min(grp[x], grp[y]), max(grp[x], grp[y]), int(e)) for x, y, e in zip(a, b, equal, strict=True)))
+    assert pairs[0] == pairs[1] and len({p[:2] for p in pairs[0]}) == len(pairs[0]) > 100
+
+
 def plain_place(bins, capacity, size, source, group):
     fitting = [(b["left"], i) for i, b in enumerate(bins) if b["left"] >= size and source not in b["sources"] and (group is None or group not in b["groups"])]
     if fitting:
