@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,10 @@ SEED = 42
 MAX_BITS = 4
 #: Bits of the three segments. Of three segments with 4 errors together, two have 2 errors at most each.
 SEGMENTS = (22, 21, 21)
-#: Larger buckets aren't compared pair by pair; their members meet at points between them instead (see _between).
+#: Larger buckets aren't compared pair by pair; their members get longer keys instead (see fingerprint_links).
 BUCKET_ROWS = 2048
+#: The most fingerprints that are kept out of a join by broadcast; beyond it the join moves texts.
+BROADCAST_ROWS = 1 << 19
 
 
 def fingerprint(text: bytes) -> int:
@@ -49,6 +51,13 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
 
+def _kept_fingerprints(batches):
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_binary())
+        fps = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), np.uint64, len(texts))
+        yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), pa.array(fps.view(np.int64))], ["_own_id", "_own_hash", "fp"])
+
+
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The perfect [23,12,7] code by its generator polynomial: syndrome -> error; syndrome -> offsets of keys; their number.
 
@@ -103,14 +112,39 @@ def bucket_keys(fps: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keyed(batches):
-    tables = golay_tables()
-    for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        for at in range(0, len(fps), 8192):
-            part = fps[at : at + 8192]
-            rows, keys = bucket_keys(part, tables)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
+def finer_keys(fps: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): keys of all three segments for members of hot buckets, 182 a fingerprint on average.
+
+    Of 4 errors either no segment has over 2, and the three share a codeword index each; or one has 3 or 4 and the other
+    two 1 at most together: one of them is equal and the other shares an index.
+    """
+    shift, words, found = 0, [], []
+    for bits in SEGMENTS:
+        words.append(((fps >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64))
+        found.append(golay_keys(words[-1], tables))
+        shift += bits
+    (k0, o0), (k1, o1), (k2, o2) = found
+    every = o0[:, :, None, None] & o1[:, None, :, None] & o2[:, None, None, :]
+    key = (k0[:, :, None, None] << 24) | (k1[:, None, :, None] << 12) | k2[:, None, None, :]
+    rows, keys = [np.nonzero(every)[0]], [key[every]]
+    for p, (same, near) in enumerate(permutations(range(len(SEGMENTS)), 2), 1):
+        k, holds = found[near]
+        rows.append(np.nonzero(holds)[0])
+        keys.append(((p << 36) | (words[same][:, None] << 12) | k)[holds])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _keyed(keys_of):
+    def run(batches):
+        tables = golay_tables()
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            for at in range(0, len(fps), 4096):
+                part = fps[at : at + 4096]
+                rows, keys = keys_of(part, tables)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
+
+    return run
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,7 +193,7 @@ def _linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[label[moved]]
 
 
-def _runs(batches, names, limit):
+def _runs(batches, limit):
     """Batches of (key, fp) in key order, cut so that no run is divided; a run beyond limit comes in pieces, marked."""
     held, hot = None, None
     for batch in batches:
@@ -187,20 +221,24 @@ def _runs(batches, names, limit):
         yield *held, False
 
 
-def _verified(batches):
-    """Links (a, b) inside buckets; members of buckets over BUCKET_ROWS come with a null b."""
+def _verified(limit: int):
+    """Links (a, b) inside buckets; members of buckets over limit come with a null b."""
     out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b if isinstance(b, pa.Array) else pa.array(b.view(np.int64))], ["a", "b"])
-    for keys, fps, hot in _runs(batches, ("key", "fp"), BUCKET_ROWS):
-        if hot:
-            yield out(fps, pa.nulls(len(fps), pa.int64()))
-            continue
-        sizes = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)])))
-        large = np.repeat(sizes > BUCKET_ROWS, sizes)
-        if large.any():
-            yield out(fps[large], pa.nulls(int(large.sum()), pa.int64()))
-            keys, fps = keys[~large], fps[~large]
-        if len(keys):
-            yield out(*_linked(keys, fps))
+
+    def run(batches):
+        for keys, fps, hot in _runs(batches, limit):
+            if hot:
+                yield out(fps, pa.nulls(len(fps), pa.int64()))
+                continue
+            sizes = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)])))
+            large = np.repeat(sizes > limit, sizes)
+            if large.any():
+                yield out(fps[large], pa.nulls(int(large.sum()), pa.int64()))
+                keys, fps = keys[~large], fps[~large]
+            if len(keys):
+                yield out(*_linked(keys, fps))
+
+    return run
 
 
 def _between(batches):
@@ -216,7 +254,7 @@ def _between(batches):
 
 def _stars(batches):
     """All fingerprints at a point are links of each other: the first stands for them."""
-    for keys, fps, _ in _runs(batches, ("key", "fp"), 0):
+    for keys, fps, _ in _runs(batches, 0):
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         first = np.repeat(fps[starts], np.diff(np.concatenate((starts, [len(keys)]))))
         other = fps != first
@@ -226,16 +264,28 @@ def _stars(batches):
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints fps (fp long) that differ in MAX_BITS bits or fewer.
 
-    Keys of two Golay-decoded segments each put candidates into buckets; a bucket gives a spanning forest of its
-    verified links, never all pairs. Buckets beyond BUCKET_ROWS are dealt again, each member to the 2081 points within
-    two bits, at which no more than 2081 members can meet: linear in the bucket, and exact.
+    Keys of two Golay-decoded segments each put candidates into buckets (85 keys a fingerprint); a bucket gives a
+    spanning forest of its verified links, never all pairs. Members of buckets beyond BUCKET_ROWS get keys of all three
+    segments (182 keys of 33 bits and more), so that full buckets stay the exception at any number of fingerprints.
+    Only if a bucket of these is over the limit too, which takes thousands of fingerprints close to each other, its
+    members are dealt to the 2081 points within two bits, at which no more than 2081 can meet: linear, and exact.
     """
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "fp")
-    found = settle(by_key(fps.mapInArrow(_keyed, "key long, fp long")).mapInArrow(_verified, "a long, b long"))
-    links, hot = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    if hot.isEmpty():
-        return links
-    return links.unionAll(by_key(hot.mapInArrow(_between, "key long, fp long")).mapInArrow(_stars, "a long, b long"))
+    links, left = None, fps
+    for keys_of in (bucket_keys, finer_keys):
+        found = settle(by_key(left.mapInArrow(_keyed(keys_of), "key long, fp long")).mapInArrow(_verified(BUCKET_ROWS), "a long, b long"))
+        own = found.where("b is not null")
+        links = own if links is None else links.unionAll(own)
+        left = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+        if left.isEmpty():
+            return links
+        left = settle(left)
+    return links.unionAll(by_key(left.mapInArrow(_between, "key long, fp long")).mapInArrow(_stars, "a long, b long"))
+
+
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, component) of the distinct fingerprints in fps that are linked to another."""
+    return connected_components(fingerprint_links(fps)).select(F.col("node").alias("fp"), "component")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,8 +296,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
     first = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = connected_components(fingerprint_links(first.select("fp"))).select(F.col("node").alias("fp"), "component")
-    linked = first.join(groups, "fp")
+    linked = first.join(_components(first.select("fp")), "fp")
     least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = settle(linked.join(least, "component").select("fp", "component_id"))
     ids = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
@@ -255,16 +304,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group: the one with the smallest id. Rows with a null id all stay.
+    """docs with one document of each group of near copies: the one with the smallest id. Rows with a null id all stay.
 
-    Repeated rows of a kept document collapse to one.
+    Documents are rows, not ids: rows that share an id but have texts that are no copies of each other all stay. Of
+    rows of one group with the smallest id the one with the least hash of its columns stays, equal rows once. Decisions
+    are made on ids and hashes; texts are only filtered, by a broadcast of the rows to leave out where these are
+    BROADCAST_ROWS at most, else by a join.
     """
-    groups = settle(simhash_groups(docs, id_col, text_col))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    gone = repeated.where("doc_id <> c").select(F.col("doc_id").alias("_gone_id"))
-    twice = settle(repeated.where("n > 1 and doc_id = c").select(F.col("doc_id").alias("_twice_id")))
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
-    if twice.isEmpty():
-        return left
-    same = F.col(id_col).cast("long") == F.col("_twice_id")
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([id_col]))
+    hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    own = docs.withColumn("_own_id", F.col(id_col).cast("long")).withColumn("_own_hash", F.xxhash64(*hashable))
+    fps = settle(own.where("_own_id is not null").select(F.struct("_own_id", "_own_hash").alias("own"), F.col(text_col).cast("string").alias("text")).mapInArrow(_kept_fingerprints, "_own_id long, _own_hash long, fp long"))
+    distinct = settle(fps.groupBy("fp").agg(F.min(F.struct("_own_id", "_own_hash")).alias("own")))
+    groups = _components(distinct.select("fp"))
+    stay = distinct.join(groups, "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("own").alias("own")).select("own.*")
+    rows = fps.groupBy("_own_id", "_own_hash").agg(F.count(F.lit(1)).alias("n"))
+    judged = rows.join(stay.withColumn("stays", F.lit(True)), ["_own_id", "_own_hash"], "left")
+    odd = settle(judged.where("stays is null or n > 1").select(F.col("_own_id").alias("_odd_id"), F.col("_own_hash").alias("_odd_hash"), F.col("stays").isNotNull().alias("_odd_stays")))
+    told = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    met = own.join(told, (F.col("_own_id") == F.col("_odd_id")) & (F.col("_own_hash") == F.col("_odd_hash")), "left")
+    once = met.where("_odd_stays").dropDuplicates(["_own_id", "_own_hash"]).select(*docs.columns) if not odd.where("_odd_stays").isEmpty() else None
+    left = met.where("_odd_id is null").select(*docs.columns)
+    return left if once is None else left.unionByName(once)

@@ -60,6 +60,20 @@ def test_all_errors_of_four_bits_meet_in_a_bucket():
     assert all(x & y for x, y in zip(*keys, strict=True))
 
 
+def test_all_errors_of_four_bits_meet_by_all_segments():
+    tables, rng = simhash.golay_tables(), np.random.default_rng(2)
+    a = rng.integers(0, 2**64, 1000, dtype=np.uint64)
+    wide = [rng.choice(range(lo, hi), rng.integers(3, 5), replace=False) for lo, hi in ((0, 22), (22, 43), (43, 64)) for _ in range(200)]
+    wide += [rng.choice(64, rng.integers(1, 5), replace=False) for _ in range(400)]
+    flips = np.array([sum(1 << int(b) for b in bits) for bits in wide], np.uint64)
+    keys = [[set() for _ in a] for _ in range(2)]
+    for side, fps in enumerate((a, a ^ flips)):
+        for row, key in zip(*simhash.finer_keys(fps, tables), strict=True):
+            keys[side][row].add(int(key))
+    assert all(x & y for x, y in zip(*keys, strict=True))
+    assert np.mean([len(k) for k in keys[0]]) < 200  # keys a fingerprint, whatever the bucket
+
+
 def near(rng, n, centre):
     return [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(n)]
 
@@ -93,7 +107,7 @@ def test_runs_cut_across_batches():
     keys = np.repeat([1, 2, 3], [2, 9, 3])
     fps = np.arange(len(keys))
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 3]), pa.array(fps[i : i + 3])], ["key", "fp"]) for i in range(0, len(keys), 3)]
-    whole = [(k.tolist(), hot) for k, _, hot in simhash._runs(batches, ("key", "fp"), 4)]
+    whole = [(k.tolist(), hot) for k, _, hot in simhash._runs(batches, 4)]
     assert sum(len(k) for k, _ in whole) == 14
     assert {k for ks, hot in whole if hot for k in ks} == {2}
 
@@ -122,3 +136,26 @@ def test_components_of_chains_stars_and_nothing(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[100 + i] for i in range(30)} == {100} and got[201] == 200
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_are_decided_not_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"{n}{rng.randrange(999)}" for _ in range(40)) for n in "abcd")
+    rows = [(3, b, 1), (8, a, 2), (8, b, 3), (9, c, 4), (9, d, 5), (9, d, 5), (9, d, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other long")
+    kept = sorted(tuple(r) for r in simhash.keep_first(docs).collect())
+    assert [(i, t) for i, t, _ in kept] == sorted([(3, b), (8, a), (9, c), (9, d)])
+    assert kept == sorted(tuple(r) for r in simhash.keep_first(docs.repartition(3)).collect())
+
+
+def test_rows_are_left_out_by_a_join_too(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one text of {i % 3} many words that all rows like it have", i) for i in range(30)], "doc_id long, text string, own_id long")
+    few = sorted(map(str, simhash.keep_first(docs).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert few == sorted(map(str, simhash.keep_first(docs).collect()))
+
+
+def test_a_text_of_over_65536_shingles():
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(70_000))
+    assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
