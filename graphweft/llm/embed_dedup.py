@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import settle
+from graphweft.llm.common import drop_settled, settle
 from graphweft.llm.components import connected_components
 from graphweft.llm.simhash import _labels
 from graphweft.llm.vectors import rows_by_length, stacked
@@ -20,8 +20,11 @@ from graphweft.llm.vectors import rows_by_length, stacked
 CELLS_PER_EPS, LEAD = 4, 6
 #: The principal dimensions are fitted on so many vectors at most. They only order the sequence; links don't depend on them.
 FIT_ROWS = 2048
-#: The driver sees a box for each block and a number for each pair of near blocks: so many blocks at most.
-MAX_BLOCKS = 2048
+#: Bytes of a block's vectors, the most rows and the least of it, and into how many blocks a table large enough is cut at least.
+BLOCK_BYTES, BLOCK_ROWS, LEAST_ROWS, LEAST_BLOCKS = 1 << 24, 1 << 15, 2048, 8
+#: The driver sees boxes of so many intervals of the sequence at most for a vector length, and their pairs; the blocks inside
+#: are paired by a join.
+INTERVALS = 512
 
 
 def _cleaned(batches):
@@ -45,16 +48,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _projector(bases: dict, cell: float):
-    def project(frames):
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            cells = np.zeros((len(pdf), LEAD), np.int32)
-            for dim, at in pdf.groupby("dim").indices.items():
-                u = _unit(stacked(pdf["x"].to_numpy()[at]))
-                basis = bases.get(int(dim), np.eye(int(dim))[:, :LEAD])
-                cells[at, : basis.shape[1]] = np.floor(u @ basis / cell)
-            yield pdf.assign(**{f"c{i}": cells[:, i] for i in range(LEAD)})
+    def project(batches):
+        for batch in batches:
+            dims, x = batch.column("dim").to_numpy(), batch.column("x").to_pylist()
+            cells = np.zeros((len(dims), LEAD), np.int32)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                basis = bases.get(dim, np.eye(dim)[:, :LEAD])
+                cells[at, : basis.shape[1]] = np.floor(_unit(stacked([x[i] for i in at.tolist()])) @ basis / cell)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in cells.T)], [*batch.schema.names, *(f"c{i}" for i in range(LEAD))])
 
     return project
 
@@ -107,84 +109,99 @@ def interval_pairs(boxes: list[tuple[int, ...]]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def _joiner(threshold: float, eps: float, leaf: int):
-    """Joins two blocks: for each vector the rows it links to, and a spanning forest of the links."""
+def _joiner(threshold: float, leaf: int):
+    """Joins two blocks of vectors of one length: for each vector the rows it links to, and a spanning forest of the links."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)  # the sequence: by block, then dim and cells
-        nodes, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-        blocks, cells = pdf["block"].to_numpy(), pdf[[f"c{i}" for i in range(LEAD)]].to_numpy()
+        pdf = pdf.sort_values("node", ignore_index=True)  # the sequence: by cells
+        nodes, copies, blocks = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+        cells = pdf[[f"c{i}" for i in range(LEAD)]].to_numpy()
         number, left, right = np.zeros(len(pdf), np.int64), [], []
-        for _, rows in sorted(pdf.groupby("dim").indices.items()):
-            x = stacked(pdf["x"].to_numpy()[rows])
-            scaled = x / np.abs(x).max(axis=1, keepdims=True)
-            norm = np.linalg.norm(scaled, axis=1)
-            single = (scaled / norm[:, None]).astype(np.float32)
-            slack = np.float32(threshold - 1e-5 - x.shape[1] * 2e-7)
-            first = blocks[rows] == blocks[rows[0]]
-            n = int(first.sum())
-            two = blocks[rows[0]] != blocks[rows[-1]]
-            if pdf["pair_two"].iloc[0] and not two:
-                continue  # of this length only one block has vectors
-            todo = [(0, n, n, len(rows))] if two else [(0, n, 0, n)]
-            while todo:
-                a, b, c, d = todo.pop()
-                own, others = cells[rows[a:b]], cells[rows[c:d]]
-                gap = np.maximum(0, np.maximum(others.min(axis=0) - own.max(axis=0), own.min(axis=0) - others.max(axis=0)))
-                if (np.maximum(0, gap - 1) ** 2).sum() > CELLS_PER_EPS**2:
-                    continue
-                if b - a > leaf or d - c > leaf:
-                    if (a, b) == (c, d):
-                        m = (a + b) // 2
-                        todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
-                    elif b - a >= d - c:
-                        m = (a + b) // 2
-                        todo += [(a, m, c, d), (m, b, c, d)]
-                    else:
-                        m = (c + d) // 2
-                        todo += [(a, b, c, m), (a, b, m, d)]
-                    continue
-                i, j = np.nonzero(single[a:b] @ single[c:d].T >= slack)  # float32 never misses: slack covers its error
+        x = stacked(pdf["x"].to_numpy())
+        del pdf
+        scaled = x / np.abs(x).max(axis=1, keepdims=True)
+        norm = np.linalg.norm(scaled, axis=1)
+        single = (scaled / norm[:, None]).astype(np.float32)
+        slack = np.float32(threshold - 1e-5 - x.shape[1] * 2e-7)
+        n = int((blocks == blocks[0]).sum())
+        todo = [(0, n, n, len(blocks))] if n < len(blocks) else [(0, n, 0, n)]
+        while todo:
+            a, b, c, d = todo.pop()
+            gap = np.maximum(0, np.maximum(cells[c:d].min(axis=0) - cells[a:b].max(axis=0), cells[a:b].min(axis=0) - cells[c:d].max(axis=0)))
+            if (np.maximum(0, gap - 1) ** 2).sum() > CELLS_PER_EPS**2:
+                continue
+            if b - a > leaf or d - c > leaf:
                 if (a, b) == (c, d):
-                    i, j = i[i < j], j[i < j]
-                for at in range(0, len(i), 1 << 15):
-                    p, q = i[at : at + (1 << 15)] + a, j[at : at + (1 << 15)] + c
-                    cosine = np.einsum("ij,ij->i", scaled[p], scaled[q]) / (norm[p] * norm[q])
-                    p, q = rows[p[cosine >= threshold]], rows[q[cosine >= threshold]]
-                    np.add.at(number, p, copies[q])
-                    np.add.at(number, q, copies[p])
-                    left.append(p)
-                    right.append(q)
-                if sum(map(len, left)) > 1 << 20:  # a forest stands for the links so far
-                    label = _labels(len(pdf), np.concatenate(left), np.concatenate(right))
-                    left, right = [np.arange(len(pdf))], [label]
+                    m = (a + b) // 2
+                    todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
+                elif b - a >= d - c:
+                    m = (a + b) // 2
+                    todo += [(a, m, c, d), (m, b, c, d)]
+                else:
+                    m = (c + d) // 2
+                    todo += [(a, b, c, m), (a, b, m, d)]
+                continue
+            i, j = np.nonzero(single[a:b] @ single[c:d].T >= slack)  # float32 never misses: slack covers its error
+            if (a, b) == (c, d):
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 1 << 15):
+                p, q = i[at : at + (1 << 15)] + a, j[at : at + (1 << 15)] + c
+                cosine = np.einsum("ij,ij->i", scaled[p], scaled[q]) / (norm[p] * norm[q])
+                p, q = p[cosine >= threshold], q[cosine >= threshold]
+                np.add.at(number, p, copies[q])
+                np.add.at(number, q, copies[p])
+                left.append(p)
+                right.append(q)
+            if sum(map(len, left)) > 1 << 20:  # a forest stands for the links so far
+                label = _labels(len(nodes), np.concatenate(left), np.concatenate(right))
+                left, right = [np.arange(len(nodes))], [label]
         if not left:
             return pd.DataFrame({"node": [], "n": [], "root": []}, dtype=np.int64)
-        label = _labels(len(pdf), np.concatenate(left), np.concatenate(right))
+        label = _labels(len(nodes), np.concatenate(left), np.concatenate(right))
         hit = number > 0
         return pd.DataFrame({"node": nodes[hit], "n": number[hit], "root": nodes[label[hit]]})
 
     return join
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, block_rows: int = 4096, leaf_rows: int = 1024) -> DataFrame:
+def near_pairs(boxes: DataFrame) -> DataFrame:
+    """(dim, i, j), i <= j: blocks of one vector length that may hold close vectors. boxes: dim, block, lo0.., hi0.. in sequence order.
+
+    Intervals of many blocks are joined recursively on the driver, INTERVALS a length; the blocks inside the near ones
+    meet in a join.
+    """
+    spark, cells = boxes.sparkSession, range(LEAD)
+    counts = boxes.groupBy("dim").agg(F.max("block").alias("last"))
+    held = boxes.join(counts, "dim").withColumn("part", F.expr(f"block div (last div {INTERVALS} + 1)"))
+    wide = held.groupBy("dim", "part").agg(*(F.min(f"lo{c}") for c in cells), *(F.max(f"hi{c}") for c in cells)).orderBy("dim", "part").collect()
+    by_dim: dict[int, list] = {}
+    for row in wide:
+        by_dim.setdefault(row[0], []).append(row)
+    pairs = [(dim, rows[a][1], rows[b][1]) for dim, rows in by_dim.items() for a, b in interval_pairs([(dim, *r[2:]) for r in rows])]
+    near = spark.createDataFrame(pairs, "dim int, p long, q long")
+    end = lambda name, part: held.select("dim", F.col("part").alias(part), F.col("block").alias(name), *(F.col(f"{s}{c}").alias(f"{name}_{s}{c}") for c in cells for s in ("lo", "hi")))
+    apart = " + ".join(f"pow(greatest(0, greatest(j_lo{c} - i_hi{c}, i_lo{c} - j_hi{c}) - 1), 2)" for c in cells)
+    return near.join(end("i", "p"), ["dim", "p"]).join(end("j", "q"), ["dim", "q"]).where(f"i <= j and {apart} <= {CELLS_PER_EPS**2}").select("dim", "i", "j")
+
+
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, block_rows: int = BLOCK_ROWS, leaf_rows: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row, links being cosine >= threshold in double precision.
 
     Equal vectors collapse to one with a number of copies first, so a vector that a third of all rows share is one row.
-    The others are sorted by grid cells on the leading principal dimensions and cut into blocks of block_rows; pairs of
-    blocks that aren't provably distant are joined by further recursion down to leaf_rows, with one matrix product at a
-    leaf. A pair of blocks returns counts and a spanning forest, never all pairs.
+    The others are sorted by length and by grid cells on the leading principal dimensions and cut into blocks of one
+    length, of block_rows rows and BLOCK_BYTES bytes at most, whatever the table's size; pairs of blocks that aren't
+    provably distant are joined by further recursion down to leaf_rows, with one matrix product at a leaf. A pair of
+    blocks returns counts and a spanning forest, never all pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
-    length don't link. Repeated rows, and different vectors under one id, count as vectors of their own. Rows with a null id come back with a null
-    component and kept null, and link with nothing. Further columns are ignored.
+    length don't link. Repeated rows, different vectors under one id and rows with a null id count as vectors of their
+    own. A null id names no component: component_id is the least id reachable, null if there is none; kept is null for
+    a null id. Further columns are ignored.
     """
     spark = vectors.sparkSession
     raw = settle(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).mapInArrow(_cleaned, "vec_id long, dim int, key binary, x binary"))
-    reps = raw.where("key is not null and vec_id is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
-    reps = settle(reps)
-    n = reps.count()
-    block_rows = max(block_rows, -(-n // MAX_BLOCKS))
+    reps = settle(raw.where("key is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")))
+    n, size = reps.agg(F.count(F.lit(1)), F.sum(F.length("x"))).first()
     eps = math.sqrt(max(2 - 2 * threshold, 1e-9)) + 1e-6
     bases = {}
     sample: dict[int, list[bytes]] = {}
@@ -195,55 +212,53 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
         _, axes = np.linalg.eigh(np.cov(u.T, bias=True).reshape(dim, dim))
         bases[dim] = axes[:, ::-1][:, :LEAD].copy()
     cells = [f"c{i}" for i in range(LEAD)]
-    projected = reps.select("dim", "rep", "copies", "key", "x").mapInPandas(_projector(bases, eps / CELLS_PER_EPS), "dim int, rep long, copies long, key binary, x binary, " + ", ".join(f"{c} int" for c in cells))
+    projected = reps.select("dim", "rep", "copies", "key", "x").mapInArrow(_projector(bases, eps / CELLS_PER_EPS), "dim int, rep long, copies long, key binary, x binary, " + ", ".join(f"{c} int" for c in cells))
     order = ["dim", *cells, "rep", "key"]
-    ranged = projected.repartitionByRange(max(1, -(-n // block_rows)), *order).sortWithinPartitions(*order)
+    ranged = projected.repartitionByRange(max(8, -(-(size or 0) // (1 << 27))), *order).sortWithinPartitions(*order)
     ego = settle(ranged.mapInArrow(_numbered, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in projected.schema) + ", part long, at long"))
     before, offsets = 0, []
     for row in ego.groupBy("part").count().orderBy("part").collect():  # a row for each partition
         offsets.append((row["part"], before))
         before += row["count"]
-    placed = ego.join(spark.createDataFrame(offsets, "part long, before long"), "part").withColumn("node", F.col("before") + F.col("at")).withColumn("block", F.expr(f"int(floor(node / {block_rows}))")).drop("part", "at", "before")
-    placed = settle(placed)
-    boxes = placed.groupBy("block").agg(F.min("dim"), F.max("dim"), *(F.min(c) for c in cells), *(F.max(c) for c in cells)).orderBy("block").collect()  # a row for each block
-    # A block with vectors of several lengths is near every block that shares one: its cells don't count.
-    mixed = [b[1] != b[2] for b in boxes]
-    if any(mixed):
-        pairs = [(i, j) for i in range(len(boxes)) for j in range(i, len(boxes)) if boxes[i][1] <= boxes[j][2] and boxes[j][1] <= boxes[i][2]]
-    else:
-        pairs = interval_pairs([(b[1], *b[3:]) for b in boxes])
-    members = [(k, block, i != j) for k, (i, j) in enumerate(pairs) for block in {i, j}]
-    both = placed.drop("rep", "key").join(spark.createDataFrame(members, "pair long, block int, pair_two boolean"), "block")
-    linked = settle(both.groupBy("pair").applyInPandas(_joiner(threshold, eps, leaf_rows), "node long, n long, root long"))
+    whole = ego.join(spark.createDataFrame(offsets, "part long, before long"), "part").withColumn("node", F.col("before") + F.col("at")).drop("part", "at", "before")
+    rows_of = F.least(F.lit(block_rows), F.greatest(F.lit(256), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("n") / LEAST_BLOCKS)))
+    lengths = whole.groupBy("dim").agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("n")).withColumn("rows", rows_of).drop("n")
+    placed = settle(whole.join(lengths, "dim").withColumn("block", F.expr("(node - start) div rows")).drop("start", "rows"))
+    boxes = settle(placed.groupBy("dim", "block").agg(*(F.min(c).alias(f"lo{i}") for i, c in enumerate(cells)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(cells))))
+    pairs = settle(near_pairs(boxes))
+    members = pairs.select("dim", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    both = placed.drop("rep", "key").join(members, ["dim", "block"])
+    linked = settle(both.groupBy("dim", "i", "j").applyInPandas(_joiner(threshold, leaf_rows), "node long, n long, root long"))
     numbers = linked.groupBy("node").agg(F.sum("n").alias("n"))
     # Nodes are places in the sequence: vectors that repeat an id stay apart. A component's id is its least vec_id.
     groups = settle(connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = groups.join(placed.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     known = placed.select("key", "node", "rep", "copies").join(numbers, "node", "left").join(groups.join(named, "component").drop("component"), "node", "left")
-    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "rep").alias("component"))
-    found = F.col("vec_id").isNotNull()
-    out = raw.select("vec_id", "key").join(known, "key", "left").select("vec_id", F.when(found, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(found, F.coalesce("component", "vec_id")).alias("component_id"))
+    known = settle(known.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "rep").alias("component")))
+    drop_settled(reps, ego, placed, boxes, pairs, linked, groups)
+    out = raw.select("vec_id", "key").join(known, "key", "left")
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 #: The same in SQL, by all pairs: for tables of some ten thousand vectors at most.
 SQL = r"""
 WITH RECURSIVE v AS MATERIALIZED (
-  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
-  FROM embeddings
-  WHERE len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  SELECT row_number() OVER () AS k, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+  FROM embeddings),
+good AS MATERIALIZED (
+  SELECT * FROM v
+  WHERE len(list_filter(x, lambda c: coalesce(isfinite(c), false))) = len(x) AND len(list_filter(x, lambda c: c <> 0)) > 0),
 links AS MATERIALIZED (
-  SELECT a.vec_id AS a, b.vec_id AS b
-  FROM v a JOIN v b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  SELECT a.k AS a, a.vec_id AS va, b.k AS b, b.vec_id AS vb
+  FROM good a JOIN good b ON len(a.x) = len(b.x) AND a.k <> b.k
   WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
 reached AS (
-  SELECT a AS node, a AS root FROM links
+  SELECT a AS node, va AS root FROM links WHERE va IS NOT NULL
   UNION
-  SELECT l.b, r.root FROM reached r JOIN links l ON r.node = l.a WHERE r.root < l.b),
+  SELECT l.b, r.root FROM reached r JOIN links l ON r.node = l.a WHERE l.vb IS NULL OR r.root < l.vb),
 least AS (SELECT node, min(root) AS root FROM reached GROUP BY node),
 numbers AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT CAST(e.vec_id AS BIGINT) AS vec_id, coalesce(n, 0) AS n_links, CAST(coalesce(root, e.vec_id) AS BIGINT) AS component_id,
-       e.vec_id = coalesce(root, e.vec_id) AS kept
-FROM embeddings e LEFT JOIN numbers ON numbers.a = e.vec_id LEFT JOIN least ON least.node = e.vec_id
+SELECT v.vec_id, coalesce(n, 0) AS n_links, CAST(coalesce(root, v.vec_id) AS BIGINT) AS component_id, v.vec_id = coalesce(root, v.vec_id) AS kept
+FROM v LEFT JOIN numbers ON numbers.a = v.k LEFT JOIN least ON least.node = v.k
 """

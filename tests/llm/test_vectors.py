@@ -59,10 +59,33 @@ def test_odd_vectors(spark):
     got = {}
     for r in embed_dedup.embedding_groups(frame(spark, rows)).collect():
         got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"], r["kept"]))
-    assert got[1] == [(4, 1, True)] and got[2] == [(4, 1, False)] * 2 and got[12] == [(4, 1, False)] and got[13] == [(4, 1, False)]
+    assert got[1] == [(5, 1, True)] and got[2] == [(5, 1, False)] * 2 and got[12] == [(5, 1, False)] and got[13] == [(5, 1, False)]
     for i in (3, 4, 5, 6, 7, 8, 9):
         assert got[i] == [(0, i, True)]
-    assert got[None] == [(0, None, None)] and got[11] == [(1, 10, False)]
+    assert got[None] == [(5, 1, None)] and got[11] == [(1, 10, False)]
+
+
+def test_rows_without_an_id_link_like_others(spark):
+    rows = [(None, [1, 0]), (1, [1, 0.01]), (2, [1, -0.01]), (None, [0, 1]), (None, [0, 1]), (None, [0, -1]), (5, [-1, 0])]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.embedding_groups(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 2, 1, None), (1, 2, 1, True), (2, 2, 1, False), (None, 1, None, None), (None, 1, None, None), (None, 0, None, None), (5, 0, 5, True)], key=str)
+
+
+def test_lengths_have_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "INTERVALS", 3)
+    x, y = clustered(400, 5, 21), clustered(40, 2, 22)
+    rows = [*zip(range(400), x.tolist(), strict=True), *zip(range(1000, 1040), y.tolist(), strict=True)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.embedding_groups(frame(spark, rows), block_rows=16, leaf_rows=4).collect()}
+    assert got == plain_groups(list(range(400)), x) | plain_groups(list(range(1000, 1040)), y)
+
+
+def test_blocks_far_apart_are_no_pair(spark, monkeypatch):
+    lead = range(embed_dedup.LEAD)
+    boxes = spark.createDataFrame([(2, b, *[3 * b] * embed_dedup.LEAD, *[3 * b] * embed_dedup.LEAD) for b in range(20)], "dim int, block long, " + ", ".join([f"lo{c} int" for c in lead] + [f"hi{c} int" for c in lead]))
+    want = {tuple(r) for r in embed_dedup.near_pairs(boxes).collect()}
+    assert {(2, b, b) for b in range(20)} <= want and len(want) < 60
+    monkeypatch.setattr(embed_dedup, "INTERVALS", 4)
+    assert {tuple(r) for r in embed_dedup.near_pairs(boxes).collect()} == want
 
 
 def test_different_vectors_under_one_id_stay_apart(spark):
@@ -77,16 +100,14 @@ def test_empty_tables(spark):
 
 
 def plain_top(rows, k, every):
-    q = {}
-    for i, v in rows:
-        q.setdefault(i, []).append([math.floor(64 * float(np.float32(x))) for x in v])
+    """By rows: every row with a divisible id asks, every other row answers; null ids last among ties."""
+    v = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
     out = []
-    for i in sorted(q):
-        if i % every == 0:
-            v = min(q[i])
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j in q for w in q[j] if j != i and len(w) == len(v))
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
-    return out
+    for n, (i, q) in enumerate(v):
+        if i is not None and i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, w, strict=True)), j is None, j or 0) for m, (j, w) in enumerate(v) if m != n and len(w) == len(q))
+            out += [(i, place + 1, None if none else j, -s) for place, (s, none, j) in enumerate(scores[:k])]
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("scale", [1.0, 3000.0, 1e7])
@@ -96,11 +117,22 @@ def test_top_k_is_the_plain_one(spark, monkeypatch, scale):
     x = clustered(150, 5, 9) * scale
     x[40:90] = x[40]  # ties
     rows = list(zip(range(10, 160), x.tolist(), strict=True))
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame(spark, rows), k=7, every=10).collect())
-    assert got == plain_top(rows, 7, 10)
+    assert sorted(map(tuple, topk.top_k(frame(spark, rows), k=7, every=10).collect()), key=str) == plain_top(rows, 7, 10)
+
+
+def test_top_k_by_rows_with_repeats_nulls_and_ties_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    x = clustered(120, 3, 31)
+    x[10:70] = x[10]
+    rows = [(None if i % 11 == 3 else i % 60, v) for i, v in enumerate(x.tolist())]
+    df = frame(spark, rows).selectExpr("*", "1 as row", "2 as low", "3 as no_id", "4 as bin")
+    assert sorted(map(tuple, topk.top_k(df, k=9, every=10).collect()), key=str) == plain_top(rows, 9, 10)
+    three = [(0, [1.0, 2.0]), (0, [2.0, 1.0]), (20, [1.0, 1.0])]
+    assert sorted(map(tuple, topk.top_k(frame(spark, three)).collect()), key=str) == plain_top(three, 20, 20) and len(plain_top(three, 20, 20)) == 6
 
 
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1, 2]), (1, [1, 1]), (2, None), (3, [float("nan"), 1]), (4, [1, 1, 1]), (None, [5, 5]), (20, [0, 0]), (40, [3e38, 3e38]), (60, [None, 1])]
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(frame(spark, rows)).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 40), (0, 2, 1), (0, 3, 20), (20, 1, 0), (20, 2, 1), (20, 3, 40), (40, 1, 0), (40, 2, 1), (40, 3, 20)]
+    assert got == [(0, 1, 40), (0, 2, None), (0, 3, 1), (0, 4, 20), (20, 1, 0), (20, 2, 1), (20, 3, 40), (20, 4, None), (40, 1, 0), (40, 2, 1), (40, 3, None), (40, 4, 20)]
