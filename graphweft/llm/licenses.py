@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
         ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,'
@@ -52,6 +56,47 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
         " that the above copyright notice and this permission notice appear in all copies."
     ),
+    "mit-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF'
+        " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE"
+        " FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN"
+        " CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT'
+        " LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE"
+        " COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+    ),
+    "isc-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES'
+        " OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES"
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with"
+        " this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as"
+        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,"
+        " or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,"
+        " and by any means."
+    ),
+    "zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and"
+        " redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must"
+        " not claim that you wrote the original software."
+    ),
+    "cc0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to"
+        " the public domain worldwide. This software is distributed without any warranty."
+    ),
 }
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -105,13 +150,17 @@ class Index:
     """Templates by number of words a shingle, window size and band value."""
 
     def __init__(self, templates: dict[str, str]) -> None:
-        self.names, self.words, self.sets, self.classes = list(templates), [], [], {}
+        self.names, self.words, self.sets, self.places, self.classes = list(templates), [], [], [], {}
         for t, name in enumerate(self.names):
             words, _, _ = words_of(templates[name].encode())
             size = min(SHINGLE_WORDS, len(words))
             own = np.unique(shingles(words, size)) if size else np.zeros(0, np.uint64)
+            places: dict[int, int] = {}
+            for place, gram in enumerate(shingles(words, size).tolist()):
+                places[gram] = -1 if gram in places else place  # only what stands once tells an order
             self.words.append(words)
             self.sets.append(own)
+            self.places.append(places)
             if not len(own):
                 continue
             count = len(words) - size + 1
@@ -156,37 +205,94 @@ class Index:
         words, starts, ends = words_of(b"\n".join(texts))
         bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         first = np.searchsorted(starts, bounds)  # first word of each text
-        spans: dict[tuple[int, int], set[tuple[int, int, float]]] = {}
+        out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
         for size in self.classes:
-            reach = 2 * max(self.classes[size])
+            reach, near = 2 * max(self.classes[size]), {}
             for base in range(0, max(len(words) - size + 1, 0), CHUNK_WORDS):
                 grams = shingles(words[base : base + CHUNK_WORDS + reach + size], size)
                 for t, a, b in self.retrieve(grams, size):
-                    n = len(self.words[t]) - size + 1
-                    a, b = max(0, a - n), min(len(grams), b + n)
-                    hits = np.flatnonzero(np.isin(grams[a:b], self.sets[t])) + a
-                    for doc in range(int(np.searchsorted(first, base + a, "right")) - 1, int(np.searchsorted(first, base + b - 1, "right"))):
-                        own = hits[(hits >= first[doc] - base) & (hits + size <= first[doc + 1] - base)] if doc < len(texts) else hits[:0]
-                        if best := self._fullest(grams, own, t, n):
-                            spans.setdefault((doc, t), set()).add((base + best[0], base + best[1] + size, best[2]))
-        out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-        for (doc, t), own in spans.items():
-            last = -1
-            for a, b, share in sorted(own, key=lambda s: (s[0], -s[2], s[1])):
-                if a >= last:
-                    out[doc].append((self.names[t], int(starts[a] - bounds[doc]), int(ends[b - 1] - bounds[doc]), share))
-                    last = b
+                    near.setdefault(t, []).append((base + a, base + min(b, len(grams))))
+            for t, windows in near.items():
+                n, hits = len(self.words[t]) - size + 1, []
+                for a, b in _merged([(max(0, a - n), min(b + n, len(words) - size + 1)) for a, b in windows]):
+                    grams = shingles(words[a : b + size - 1], size)
+                    at = np.flatnonzero(np.isin(grams, self.sets[t]))
+                    hits += zip((at + a).tolist(), grams[at].tolist(), strict=True)
+                docs = np.searchsorted(first, [h[0] for h in hits], "right") - 1
+                for doc in np.unique(docs).tolist():
+                    own = [h for h in hits[np.searchsorted(docs, doc) : np.searchsorted(docs, doc, "right")] if h[0] + size <= first[doc + 1]]
+                    for a, b, share in self._copies(own, t, n):
+                        out[doc].append((self.names[t], int(starts[a] - bounds[doc]), int(ends[b + size - 1] - bounds[doc]), share))
         return [sorted(own, key=lambda m: (m[1], m[2], m[0])) for own in out]
 
-    def _fullest(self, grams: np.ndarray, hits: np.ndarray, t: int, n: int) -> tuple[int, int, float] | None:
-        """(first, last shingle, containment) of the fullest stretch, no longer than the template and a quarter, if it's enough."""
-        best = (0.0, 0, 0)
-        if len(hits) >= CONTAINMENT * len(self.sets[t]):
-            for i, h in enumerate(hits.tolist()):
-                j = int(np.searchsorted(hits, h + n + n // 4, "left"))
-                share = len(np.unique(grams[hits[i:j]])) / len(self.sets[t])
-                best = max(best, (share, -h, -int(hits[j - 1])))
-        return (-best[1], -best[2], best[0]) if best[0] >= CONTAINMENT else None
+    def _copies(self, hits: list[tuple[int, int]], t: int, n: int) -> list[tuple[int, int, float]]:
+        """(first, last shingle, containment) of all disjoint copies of t among hits (place, shingle).
+
+        Copies one after another are told apart where the template's order starts anew; then what lies between the
+        copies found so is searched without regard to order.
+        """
+        parts, part, before = [], [], -n
+        for hit in hits:
+            place = self.places[t][hit[1]]
+            if part and (hit[0] - part[-1][0] > n or 0 <= place < before - n // 4):
+                parts.append(part)
+                part, before = [], -n
+            part.append(hit)
+            before = max(before, place) if place >= 0 else before
+        found = [best for p in [*parts, part] if (best := self._fullest(p, t, n))]
+        gaps, at = [], 0
+        for a, b, _ in found:
+            upto = bisect_left(hits, (a,))
+            gaps.append(hits[at:upto])
+            at = bisect_left(hits, (b + 1,))
+        gaps.append(hits[at:])
+        while gaps:
+            gap = gaps.pop()
+            if best := self._fullest(gap, t, n):
+                found.append(best)
+                gaps += [gap[: bisect_left(gap, (best[0],))], gap[bisect_left(gap, (best[1] + 1,)) :]]
+        return sorted(found)
+
+    def _fullest(self, hits: list[tuple[int, int]], t: int, n: int) -> tuple[int, int, float] | None:
+        """The fullest stretch of hits no longer than the template and a quarter, the first of equals, if it's enough.
+
+        Both ends move over the hits once; at its ends a stretch has no shingle that it also has elsewhere.
+        """
+        need = CONTAINMENT * len(self.sets[t])
+        if len(hits) < need:
+            return None
+        counts: dict[int, int] = {}
+        best, j = (0, 0, 0), 0
+        for i, (place, gram) in enumerate(hits):
+            while j < len(hits) and hits[j][0] < place + n + n // 4:
+                counts[hits[j][1]] = counts.get(hits[j][1], 0) + 1
+                j += 1
+            if len(counts) > best[0]:
+                best = (len(counts), i, j)
+            counts[gram] -= 1
+            if not counts[gram]:
+                del counts[gram]
+        if best[0] < need:
+            return None
+        inside = Counter(h[1] for h in hits[best[1] : best[2]])
+        i, j = best[1], best[2] - 1
+        while inside[hits[j][1]] > 1:
+            inside[hits[j][1]] -= 1
+            j -= 1
+        while inside[hits[i][1]] > 1:
+            inside[hits[i][1]] -= 1
+            i += 1
+        return hits[i][0], hits[j][0], best[0] / len(self.sets[t])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _code_points(text: bytes, places: list[int]) -> list[int]:
