@@ -34,7 +34,8 @@ ALLOW = tuple(
     )
 )
 #: Placeholders: of a run, the part between / and = that holds one isn't secret; the other parts may be.
-PLACEHOLDER = re.compile(r"(?i)[^/=]*(?:example|placeholder|changeme|dummy|your[_-]|xxxx|0000000|abcdefgh|0123456789|qwerty)[^/=]*")
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|dummy|your[_-]|xxxx|0000000|abcdefgh|0123456789|qwerty")
+DIVIDER = re.compile(r"[/=]")
 
 
 def high_entropy(text: str, window: int, threshold: float) -> tuple[int, int] | None:
@@ -57,22 +58,50 @@ def high_entropy(text: str, window: int, threshold: float) -> tuple[int, int] |
     return None if first is None else (first, last)
 
 
-def _outside(a: int, b: int, spans: list[tuple[int, int]]):
-    """What spans leave of a to b."""
-    for x, y in sorted(spans):
-        if x < b and a < y:
-            if a < x:
-                yield a, x
-            a = max(a, y)
-    if a < b:
-        yield a, b
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _placeholders(text: str, a: int, b: int):
+    """The parts of a to b, between / and =, that hold a placeholder; each character is looked at a fixed number of times."""
+    at = a
+    while m := PLACEHOLDER.search(text, at, b):
+        start = max(text.rfind("/", at, m.start()), text.rfind("=", at, m.start()), at - 1) + 1
+        end = d.start() if (d := DIVIDER.search(text, m.end(), b)) else b
+        yield start, end
+        at = end
 
 
 def _entropy_spans(text: str, taken: list[tuple[int, int]]):
+    """Spans in what base spans and placeholders leave of the candidates. taken: sorted and disjoint, passed over once."""
+    k = 0
     for m in CANDIDATE.finditer(text):
-        for a, b in _outside(*m.span(), taken):
-            for c, d in _outside(a, b, [p.span() for p in PLACEHOLDER.finditer(text, a, b)]):
-                yield from _entropy_span(text[c:d], c)
+        at, end = m.span()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        free = []
+        while k < len(taken) and taken[k][0] < end:
+            if at < taken[k][0]:
+                free.append((at, taken[k][0]))
+            at = max(at, taken[k][1])
+            if at > end:
+                break  # it reaches into what follows
+            k += 1
+        if at < end:
+            free.append((at, end))
+        for a, b in free:
+            for c, d in _placeholders(text, a, b):
+                if a < c:
+                    yield from _entropy_span(text[a:c], a)
+                a = d
+            if a < b:
+                yield from _entropy_span(text[a:b], a)
 
 
 def _entropy_span(run: str, at: int):
@@ -91,7 +120,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     found += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= ASSIGN_CHARS]
     found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m.group()) >= ACCESS_CHARS]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    found += [(a, b, "entropy") for a, b in list(_entropy_spans(text, [s[:2] for s in found]))]
+    found += [(a, b, "entropy") for a, b in list(_entropy_spans(text, _merged([s[:2] for s in found])))]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
