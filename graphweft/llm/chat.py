@@ -38,14 +38,68 @@ class TemplateError(ValueError):
     """A template that doesn't parse, or one that asks for what the sandbox doesn't hold."""
 
 
+#: The longest string that + makes, the largest number, and how deep loops and expressions stand in each other.
+MAX_CHARS, MAX_NUMBER, MAX_LOOPS, MAX_DEPTH = 1 << 24, 2**63 - 1, 3, 60
+
+
+def _number(x) -> int:
+    if isinstance(x, bool) or not isinstance(x, int):
+        raise TemplateError(f"a number is needed, not a {type(x).__name__}")
+    return x
+
+
+def _bounded(x: int) -> int:
+    if abs(x) > MAX_NUMBER:
+        raise TemplateError("a number is too large")
+    return x
+
+
+def _plus(a, b):
+    if isinstance(a, str) and isinstance(b, str):
+        if len(a) + len(b) > MAX_CHARS:
+            raise TemplateError("a string is too long")
+        return a + b
+    return _bounded(_number(a) + _number(b))
+
+
+def _rest(a, b) -> int:
+    if _number(b) == 0:
+        raise TemplateError("a division by zero")
+    return _number(a) % b
+
+
+def _before(a, b) -> bool:
+    if isinstance(a, str) and isinstance(b, str):
+        return a < b
+    return _number(a) < _number(b)
+
+
+def _within(a, b) -> bool:
+    if isinstance(b, str) and not isinstance(a, str) or not isinstance(b, (str, dict, list, tuple)):
+        raise TemplateError("nothing can be in this")
+    return a in b
+
+
+def _length(x) -> int:
+    if not isinstance(x, (str, dict, list, tuple)):
+        raise TemplateError(f"a {type(x).__name__} has no length")
+    return len(x)
+
+
+def _text(value) -> str:
+    if value is None or isinstance(value, (str, int)):
+        return "" if value is None else str(value)
+    raise TemplateError(f"a {type(value).__name__} is no text")
+
+
 #: All that templates can call. Names starting with an underscore, calls and Python attributes don't exist.
 FILTERS: dict[str, Callable] = {
-    "escape": escape, "escape_role": escape_role, "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(),
-    "lower": lambda x: str(x).lower(), "length": len, "string": str,
+    "escape": lambda x: escape(_text(x)), "escape_role": lambda x: escape_role(_text(x)), "trim": lambda x: _text(x).strip(),
+    "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "length": _length, "string": _text,
 }
 OPERATORS: dict[str, Callable] = {
-    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
-    ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "%": lambda a, b: a % b,
+    "+": _plus, "-": lambda a, b: _bounded(_number(a) - _number(b)), "%": _rest, "in": _within, "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
+    "<": _before, ">": lambda a, b: _before(b, a), "<=": lambda a, b: not _before(b, a), ">=": lambda a, b: not _before(a, b),
 }
 BINDING = (("or",), ("and",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "%"))
 TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z]\w*)|(?P<op>==|!=|<=|>=|[-+%<>|.()\[\]=]))""")
@@ -68,7 +122,7 @@ class Expression:
     """Recursive descent to a tree of tuples; a node whose parts are all constant becomes a constant."""
 
     def __init__(self, code: str) -> None:
-        self.tokens, self.at = _tokens(code), 0
+        self.tokens, self.at, self.depth = _tokens(code), 0, 0
 
     def peek(self, *values: str) -> bool:
         return self.at < len(self.tokens) and self.tokens[self.at][0] != "str" and self.tokens[self.at][1] in values
@@ -87,7 +141,12 @@ class Expression:
 
     def binary(self, level: int) -> tuple:
         if level == len(BINDING):
-            return self.unary()
+            self.depth += 1
+            if self.depth > MAX_DEPTH:
+                raise TemplateError("an expression is nested too deep")
+            tree = self.unary()
+            self.depth -= 1
+            return tree
         left = self.binary(level + 1)
         while op := self.take(*BINDING[level]):
             left = fold((op, left, self.binary(level + 1)))
@@ -95,7 +154,7 @@ class Expression:
 
     def unary(self) -> tuple:
         if self.take("not"):
-            return fold(("not", self.unary()))
+            return fold(("not", self.binary(len(BINDING))))
         tree = self.atom()
         while True:
             if self.take("."):
@@ -132,6 +191,8 @@ class Expression:
         if kind == "str":
             return ("const", re.sub(r"\\(.)", lambda m: ESCAPES.get(m.group(1), m.group(1)), value[1:-1], flags=re.DOTALL))
         if kind == "int":
+            if len(value) > 18:
+                raise TemplateError("a number is too large")
             return ("const", int(value))
         if kind == "name" and value in CONSTANTS:
             return ("const", CONSTANTS[value])
@@ -150,9 +211,9 @@ def fold(tree: tuple) -> tuple:
 
 def _item(holder, key):
     """Keys of mappings and places of sequences; never an attribute of an object."""
-    if isinstance(holder, dict):
+    if isinstance(holder, dict) and isinstance(key, (str, int)):
         return holder.get(key)
-    if isinstance(holder, (list, tuple, str)) and isinstance(key, int):
+    if isinstance(holder, (list, tuple, str)) and isinstance(key, int) and -len(holder) <= key < len(holder):
         return holder[key]
     raise TemplateError(f"no item {key!r}")
 
@@ -182,33 +243,63 @@ def evaluator(tree: tuple) -> Callable[[dict], object]:
     return lambda names, f=OPERATORS[kind]: f(a(names), b(names))
 
 
-PIECE = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.DOTALL)
+#: A tag ends at the first closing mark outside string literals. A dash inside a mark trims the text beside it.
+_CODE = r"""(?P<{0}>(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?)"""
+PIECE = re.compile(r"\{\{(?P<l1>-?)" + _CODE.format("out") + r"(?P<r1>-?)\}\}|\{%(?P<l2>-?)" + _CODE.format("tag") + r"(?P<r2>-?)%\}|\{#(?P<l3>-?).*?(?P<r3>-?)#\}", re.DOTALL)
+
+
+def _pieces(template: str) -> list[tuple[str, str]]:
+    """(kind, content) of text, out and tag pieces, trimmed as their neighbours ask; comments are gone."""
+    out, at, trim = [], 0, False
+    for m in [*PIECE.finditer(template), None]:
+        text = template[at : m.start() if m else len(template)]
+        if re.search(r"\{[{%#]", text):
+            raise TemplateError("a tag isn't closed")
+        text = text.lstrip() if trim else text
+        if m and (m["l1"] or m["l2"] or m["l3"]):
+            text = text.rstrip()
+        if text:
+            out.append(("text", text))
+        if m:
+            at, trim = m.end(), bool(m["r1"] or m["r2"] or m["r3"])
+            if m["out"] is not None:
+                out.append(("out", m["out"]))
+            elif m["tag"] is not None:
+                out.append(("tag", m["tag"].strip()))
+    return out
 
 
 def parse(template: str) -> list[tuple]:
     """The syntax tree: text, out, if, for, set and generation nodes; constants folded, dead branches gone, texts joined."""
-    pieces, at = [p for p in PIECE.split(template) if p], 0
+    pieces, at, loops, depth = _pieces(template), 0, 0, 0
 
     def block(*ends: str) -> tuple[list[tuple], str]:
-        nonlocal at
+        nonlocal at, loops, depth
         nodes: list[tuple] = []
+        depth += 1
+        if depth > MAX_DEPTH:
+            raise TemplateError("tags are nested too deep")
         while at < len(pieces):
-            piece = pieces[at]
+            piece, code = pieces[at]
             at += 1
-            if piece.startswith("{{"):
-                tree = Expression(piece[2:-2]).whole()
+            if piece == "out":
+                tree = Expression(code).whole()
                 nodes.append(("text", _text(tree[1])) if tree[0] == "const" else ("out", tree))
-            elif piece.startswith("{%"):
-                code = piece[2:-2].strip().strip("-").strip()
+            elif piece == "tag":
                 word, _, rest = code.partition(" ")
                 if word in ends:
+                    depth -= 1
                     return nodes, code
                 if word == "if":
                     nodes += branch(rest)
                 elif word == "for":
                     if not (m := re.fullmatch(r"([A-Za-z]\w*)\s+in\s+(.+)", rest, re.DOTALL)):
                         raise TemplateError(f"bad loop {rest!r}")
+                    loops += 1
+                    if loops > MAX_LOOPS:
+                        raise TemplateError("loops are nested too deep")
                     nodes.append(("for", m[1], Expression(m[2]).whole(), block("endfor")[0]))
+                    loops -= 1
                 elif word == "generation":
                     nodes.append(("generation", block("endgeneration")[0]))
                 elif word == "set":
@@ -218,7 +309,7 @@ def parse(template: str) -> list[tuple]:
                 else:
                     raise TemplateError(f"unknown tag {word!r}")
             else:
-                nodes.append(("text", piece))
+                nodes.append(("text", code))
         if ends:
             raise TemplateError(f"{ends[0]!r} is missing")
         return nodes, ""
@@ -248,10 +339,6 @@ def _joined(nodes: list[tuple]) -> list[tuple]:
     return out
 
 
-def _text(value) -> str:
-    return "" if value is None else str(value)
-
-
 Renderer = Callable[[dict, bool], Iterator[tuple[str, bool]]]
 
 
@@ -291,7 +378,10 @@ def _compiled(node: tuple) -> Renderer:
         return lambda names, mark: (then if test(names) else other)(names, mark)
 
     def loop(names, mark, name=node[1], over=evaluator(node[2]), body=compile_nodes(node[3])):
-        stream, index = iter(over(names)), 0
+        held = over(names)
+        if not isinstance(held, (list, tuple, str, dict, Iterator)):
+            raise TemplateError(f"a {type(held).__name__} is no sequence")
+        stream, index = iter(held), 0
         item = next(stream, stream)
         while item is not stream:
             following = next(stream, stream)
