@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import drop_settled, settle
+from graphweft.llm.common import settle
 
 #: The rules (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -79,61 +80,50 @@ def _as_sql(tree) -> str:
 
 
 def fit_trees(rows: DataFrame, rate: float = RATE) -> Trees:
-    """Boosting with logistic loss over rows (FEATURES doubles, y 0/1, n weight), one histogram job a level.
+    """Boosting with logistic loss over rows (FEATURES doubles, y 0/1, n weight), which come to the driver once.
 
-    rows is one partition, so a job is one small task; the driver sees counts by node, feature and bin only. Bins and
-    the margin so far are written, so that a job's plan doesn't grow with the trees.
+    rows is the bounded sample of training_rows: FIT_ROWS distinct rows of eleven numbers at most. Candidate limits are
+    quantiles; a level's splits are chosen from sums by node, feature and bin.
     """
-    totals = rows.agg(F.sum(F.col("n")), F.sum(F.col("y") * F.col("n"))).first()
-    if not totals[0]:
+    held = sorted(map(tuple, rows.select(*FEATURES, F.col("y").cast("double"), F.col("n").cast("double")).collect()))
+    if not held:
         return Trees(-50.0, [])
-    share = min(max(totals[1] / totals[0], 1e-3), 1 - 1e-3)
+    table = np.array(held)
+    x, y, weight = table[:, : len(FEATURES)], table[:, -2], table[:, -1]
+    share = min(max((y * weight).sum() / weight.sum(), 1e-3), 1 - 1e-3)
     model = Trees(math.log(share / (1 - share)), [])
-    cuts = rows.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
-    cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
-    under = lambda f: F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: c < F.col(f)))
-    held_rows = settle(rows.withColumns({f"bin_{i}": under(f) for i, f in enumerate(FEATURES)} | {"margin": F.lit(model.base)})).coalesce(1)
-    pairs = F.expr("explode(array(" + ", ".join(f"named_struct('f', {i}, 'b', bin_{i})" for i in range(len(FEATURES))) + "))").alias("at")
-    sums_of = [F.expr("round(sum(g), 9)").alias("g"), F.expr("round(sum(h), 9)").alias("h")]
-    loss = ["*", "(1 / (1 + exp(-margin)) - y) * n as g", "1 / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))) * n as h"]
+    cuts = [np.unique(np.quantile(column, [i / BINS for i in range(1, BINS)], method="inverted_cdf")) for column in x.T]
+    bins = np.stack([np.searchsorted(c, column, "left") for c, column in zip(cuts, x.T, strict=True)])
+    margin = np.full(len(x), model.base)
     for _ in range(TREES):
-        lossy = held_rows.selectExpr(*loss)
-        grown: dict[int, tuple] = {}  # node -> (feature, limit); the root is 1, children 2 i and 2 i + 1
+        p = 1 / (1 + np.exp(-margin))
+        g, h = (p - y) * weight, p * (1 - p) * weight
+        node, active = np.ones(len(x), np.int64), [1]  # the root is 1, children are 2 i and 2 i + 1
+        grown: dict[int, tuple[int, int]] = {}  # node -> (feature, place of its limit)
         leaves: dict[int, float] = {}
-        active = [1]
         for depth in range(DEPTH + 1):
-            place = lambda n: f"if({grown[n][0]} <= {grown[n][1]!r}D, {place(2 * n)}, {place(2 * n + 1)})" if n in grown else str(n)
-            held = lossy.withColumn("node", F.expr(place(1))).where(f"node in ({', '.join(map(str, active))})")
-            sums: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
-            for r in held.select("node", "g", "h", pairs).groupBy("node", "at.f", "at.b").agg(*sums_of).collect():
-                sums.setdefault((r["node"], r["f"]), {})[r["b"]] = (r["g"], r["h"])
             following = []
             for n in active:
-                g, h = (sum(x[i] for x in sums.get((n, 0), {}).values()) for i in (0, 1))
-                leaves[n] = round(-rate * g / (h + L2), 9)
+                own = node == n
+                all_g, all_h = g[own].sum(), h[own].sum()
+                leaves[n] = round(float(-rate * all_g / (all_h + L2)), 9)
                 best = (1e-6, None)
-                for i, f in enumerate(FEATURES):
-                    gl = hl = 0.0
-                    for b, limit in enumerate(cuts[f]):
-                        dg, dh = sums.get((n, i), {}).get(b, (0.0, 0.0))
-                        gl, hl = gl + dg, hl + dh
-                        gain = gl**2 / (hl + L2) + (g - gl) ** 2 / (h - hl + L2) - g**2 / (h + L2)
-                        if depth < DEPTH and min(hl, h - hl) * 4 >= MIN_WEIGHT and gain > best[0] + 1e-9:
-                            best = (gain, (f, limit))
+                for f, c in enumerate(cuts):
+                    gl, hl = (np.cumsum(np.bincount(bins[f, own], v[own], len(c) + 1))[:-1] for v in (g, h))
+                    gain = gl**2 / (hl + L2) + (all_g - gl) ** 2 / (all_h - hl + L2) - all_g**2 / (all_h + L2)
+                    gain = np.where(np.minimum(hl, all_h - hl) * 4 >= MIN_WEIGHT, np.round(gain, 9), 0.0)
+                    if depth < DEPTH and len(gain) and gain.max() > best[0] + 1e-9:
+                        best = (float(gain.max()), (f, int(gain.argmax())))
                 if best[1]:
                     grown[n] = best[1]
+                    node[own] = 2 * n + (bins[best[1][0], own] > best[1][1])
                     following += [2 * n, 2 * n + 1]
             active = following
-            if not active:
-                break
-        build = lambda n: (*grown[n], build(2 * n), build(2 * n + 1)) if n in grown else leaves[n]
         if 1 not in grown:
             break
+        build = lambda n: (FEATURES[grown[n][0]], float(cuts[grown[n][0]][grown[n][1]]), build(2 * n), build(2 * n + 1)) if n in grown else leaves[n]  # noqa: E731, B023
         model.trees.append(build(1))
-        following_rows = settle(held_rows.withColumn("margin", F.expr(f"margin + {_as_sql(model.trees[-1])}"))).coalesce(1)
-        drop_settled(held_rows)
-        held_rows = following_rows
-    drop_settled(held_rows)
+        margin += np.array([leaves[n] for n in node.tolist()])
     return model
 
 
@@ -147,12 +137,12 @@ def labelled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") ->
 
 
 def training_rows(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """About fit_rows labelled rows by hash, equal ones as one with weight n, in one partition."""
+    """About fit_rows labelled rows by hash, equal ones as one with weight n."""
     known = rows.where("ruled is not null")
     share = min(1.0, fit_rows / max(1, known.count()))
     kept = known.where(F.pmod(F.xxhash64("page_id", F.lit(10)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     y = (F.col("ruled") == "block").cast("int").alias("y")
-    return settle(kept.select(*FEATURES, y).groupBy(*FEATURES, "y").agg(F.count(F.lit(1)).alias("n")).coalesce(1)).coalesce(1)
+    return kept.select(*FEATURES, y).groupBy(*FEATURES, "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", fit_rows: int = FIT_ROWS) -> DataFrame:
