@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.llm.common import settle, word_count
+from graphweft.operators.order import running
 
 #: Weights of the sources in their order, repeating. Fixed by the contract.
 WEIGHTS = (1, 2, 3)
 #: A source is taken so many times at most.
 MAX_EPOCHS = 3
+#: Rows of the plan (a source and part each) that go along with the documents by broadcast at most.
+BROADCAST_ROWS = 1 << 18
 #: Parts of a source by a seeded hash (three hex digits). All of a part but one per source is taken or left as a whole.
 PARTS = 4096
 
@@ -29,17 +32,16 @@ def water_filled(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
 
     Clamping the sources that exceed their cap and sharing the excess by weight until none does ends at one level:
     target = min(cap, level * weight). With sources in order of cap / weight, the clamped ones come first, and the level
-    is that of the first source whose share fits. One row a source; windows over sources only.
+    is that of the first source whose share fits. Sources may be many: their order and running sums are made by ranges.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(Window.orderBy("key")) - 1) % len(weights) + 1).cast("long")
-    capped = sources.withColumn("w", w).withColumn("cap", F.col("source_size") * epochs)
-    every, before = Window.partitionBy(), Window.orderBy(F.col("cap") / F.col("w"), "key").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    rest = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    shared = capped.withColumn("left", left).withColumn("rest", rest)
-    fits = F.col("left") * F.col("w") <= F.col("cap") * F.col("rest")
-    level = F.min_by(F.when(fits, F.col("left").cast("double") / F.col("rest")), F.when(fits, F.struct(F.col("cap") / F.col("w"), F.col("key")))).over(every)
-    return shared.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("w"))).select("key", "source_size", "target")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int")).cast("long")
+    capped = running(sources, "key").select("key", "source_size", w.alias("w"), (F.col("source_size") * epochs).alias("cap")).withColumn("filled", F.col("cap") / F.col("w"))
+    shared = settle(running(capped, "filled", "key", sums=("cap", "w")))
+    size, weight = shared.agg(F.sum("source_size"), F.sum("w")).first()
+    left, rest = F.lit(size) - F.col("before_cap"), F.lit(weight) - F.col("before_w")
+    fits = shared.where(left * F.col("w") <= F.col("cap") * rest)
+    level = fits.agg(F.min_by(left.cast("double") / rest, F.struct("filled", "key"))).first()[0]
+    return shared.select("key", "source_size", F.least(F.col("cap").cast("double"), F.lit(level).cast("double") * F.col("w")).alias("target"))
 
 
 def plan_mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -79,10 +81,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text
     """docs as the mix takes them: a row for each whole repetition, and one with the first words of a fractional one.
 
     Columns are those of docs; chars_col, where there is one, is counted anew on cut texts. Documents of which nothing
-    is taken go.
+    is taken go. Texts stay where they are: the plan comes to them where it is BROADCAST_ROWS rows at most (PARTS a
+    source), and by a join beyond.
     """
     sized = settle(_sized(docs, seed, id_col, text_col, source_col).groupBy("key", "part").agg(F.sum("size").alias("size")))
     plan = plan_mix(sized).select(F.col("key").alias("_mix_key"), F.col("part").alias("_mix_part"), F.col("whole").alias("_mix_whole"), F.col("some").alias("_mix_some"), F.col("of").alias("_mix_of"))
+    plan = settle(plan)
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     keyed = docs.withColumn("_mix_size", word_count(F.col(text_col))).withColumn("_mix_part_of", seeded_part(F.col(id_col), seed)).withColumn("_mix_key_of", source_key(F.col(source_col)))
     met = keyed.join(plan, (F.col("_mix_key_of") == F.col("_mix_key")) & (F.col("_mix_part_of") == F.col("_mix_part")))
     met = met.withColumn("_mix_words", F.expr("int(_mix_size * _mix_some div _mix_of)"))

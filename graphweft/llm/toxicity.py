@@ -94,13 +94,13 @@ def _sparse(known: dict[str, int]):
     def run(batches):
         for batch in batches:
             found = [sorted(known[x] for x in known.keys() & features(t.as_py() or "")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["toxic", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["h", "toxic", "at"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> OrdinalModel:
-    """The model from at most fit_docs labelled documents, equal texts once.
+    """The model from about fit_docs labelled documents at most, equal texts once; the same one on every run.
 
     Labels are 0 or 1; a toxic document's grade is by the number of its features that tell toxic documents. Null labels,
     ids and texts are passed over. With no toxic or no other document, the model gives all documents grade 0.
@@ -110,6 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = settle(sample.select("h", "text", "toxic"))
+    number = sample.count()
+    if number > fit_docs:  # ids with several texts
+        sample = sample.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(fit_docs / number * 1_000_000))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = told.where(F.abs("odds") >= MIN_LOG_ODDS).orderBy(F.desc("weight"), "feature").limit(FEATURES).collect()
     known = {r["feature"]: i for i, r in enumerate(best)}
     telling = np.array([r["odds"] > math.log(10) for r in best], bool)
-    fitted = sample.mapInArrow(_sparse(known), "toxic int, at array<int>").toPandas()
+    fitted = sample.mapInArrow(_sparse(known), "h long, toxic int, at array<int>").toPandas().sort_values("h", ignore_index=True)  # fit_docs rows of feature numbers
     lengths = fitted["at"].map(len).to_numpy()
     rows = np.repeat(np.arange(len(fitted)), lengths)
     columns = np.concatenate([np.asarray(x, np.int64) for x in fitted["at"]]) if len(rows) else np.zeros(0, np.int64)
