@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphweft.llm import mixing, packing, secrets, simhash, toxicity
-from graphweft.llm.common import settle
+from graphweft.llm.common import drop_settled, settle, settle_only  # noqa: F401
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
+    """One row of each SimHash component: the one with the smallest id."""
     return simhash.keep_first(docs)
 
 
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages from documents; what a stage returns is written to the shared folder and read again by the next."""
+    """All stages from documents; what a stage returns is written to the shared folder and read again by the next.
+
+    A stage's own tables and its input go once its result is written; those of the last stay, as its result reads them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        drop_settled(before)
     return STAGES[-1][1](spark, docs, sf_dir)
