@@ -102,10 +102,9 @@ def merge_links(links: DataFrame) -> DataFrame:
     """
     ranked = links.withColumn("rank", F.struct(rank("tier", TIERS).alias("t"), F.col("candidates").alias("n")))
     keys = ["source", "target", "kind"]
-    best = ranked.groupBy(*keys).agg(F.min("rank").alias("best"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    best = ranked.withColumn("proof", F.explode_outer("evidence")).groupBy(*keys).agg(F.min("rank").alias("best"), F.array_sort(F.collect_set("proof")).alias("evidence"))
     own = ranked.join(best.select(*keys, "best"), keys).where(F.col("rank") == F.col("best"))
-    pieces = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("condition", r" \|\| ")))))
-    told = own.groupBy(*keys).agg(F.min_by("label", "seq").alias("label"), F.bool_or(F.col("condition").isNull()).alias("always"), pieces.alias("alternatives"))
+    told = own.withColumn("piece", F.explode_outer(F.split("condition", r" \|\| "))).groupBy(*keys).agg(F.min_by("label", "seq").alias("label"), F.bool_or(F.col("condition").isNull()).alias("always"), F.array_sort(F.collect_set("piece")).alias("alternatives"))
     return best.join(told, keys).select(*keys, named("best.t", TIERS).alias("tier"), F.col("best.n").alias("candidates"), "label", F.when(~F.col("always"), F.array_join("alternatives", " || ")).alias("condition"), "evidence")
 
 
@@ -123,16 +122,16 @@ def pair_kinds(edges: DataFrame) -> DataFrame:
 
 
 def bundles(edges: DataFrame, end: DataFrame) -> DataFrame:
-    """Wires by the visible ends of both sides: pairs, wires, and the commonest kind (the earlier of equals).
+    """Wires by the visible ends of both sides: pairs, wires, and the commonest kind (the earlier of equals). One aggregate a pair, one after the ends.
 
     end: node, shown; pairs whose ends show as one go.
     """
     a, b = end.select(F.col("node").alias("provider"), F.col("shown").alias("from_end")), end.select(F.col("node").alias("consumer"), F.col("shown").alias("to_end"))
-    met = edges.groupBy("provider", "consumer", "kind").agg(F.count(F.lit(1)).alias("n")).join(a, "provider").join(b, "consumer").where("from_end <> to_end")
-    by_kind = met.groupBy("from_end", "to_end", "kind").agg(F.sum("n").alias("n"))
-    kinds = by_kind.groupBy("from_end", "to_end").agg(F.sum("n").alias("wires"), F.max_by("kind", F.struct("n", -rank("kind", EDGE_KINDS))).alias("main_kind"))
-    pairs = met.select("from_end", "to_end", "provider", "consumer").distinct().groupBy("from_end", "to_end").agg(F.count(F.lit(1)).alias("pairs"))
-    return kinds.join(pairs, ["from_end", "to_end"])
+    met = pair_kinds(edges).join(a, "provider").join(b, "consumer").where("from_end <> to_end")
+    summed = met.groupBy("from_end", "to_end").agg(F.count(F.lit(1)).alias("pairs"), *(F.sum(k).alias(k) for k in EDGE_KINDS))
+    wires = sum((F.col(k) for k in EDGE_KINDS), F.lit(0))
+    most = F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(-i).alias("r"), F.lit(k).alias("kind")) for i, k in enumerate(EDGE_KINDS))))
+    return summed.select("from_end", "to_end", wires.cast("long").alias("wires"), most["kind"].alias("main_kind"), "pairs")
 
 
 def hubs(pairs: DataFrame, container: DataFrame, least: int = 8) -> DataFrame:

@@ -278,30 +278,55 @@ def test_counts(files: DataFrame) -> DataFrame:
     return files.select("path", F.coalesce(count, F.lit(0)).alias("tests"))
 
 
-TAG = "tag string, line int, methods array<string>, templates array<string>, file_ref string, pointer string, partial boolean, malformed string, inner boolean"
+TAG = "tag string, line int, methods array<string>, templates array<string>, file_ref string, pointer string, partial boolean, malformed string, inner boolean, own_from int, own_to int"
 
 
-def read_tags(path: str, text: str):
-    """@route and @contract, where they are the first word of a comment line of a code file; what breaks their syntax is kept with its reason."""
-    family = family_of(path, text)
-    if family in (None, "markdown") or not ("@route" in text or "@contract" in text):
-        return
-    code = blanked(text, family)
+def _comment_lines(text: str, family: str) -> tuple[list[str], list[str], list[bool], list[str]]:
+    """(lines, their code, which hold a comment and nothing else, the comment's body of each) of a text."""
     opened = "#" if family in ("python", "ruby", "shell") else "--" if family == "lua" else "//"
-    inside = False
-    for n, (line, bare) in enumerate(zip(text.split("\n"), code.split("\n"), strict=True), 1):
+    lines, code, alone, bodies, inside = text.split("\n"), blanked(text, family).split("\n"), [], [], False
+    for line, bare in zip(lines, code, strict=True):
         s = line.strip()
         if bare.strip():  # code: only a comment after it can hold a tag
-            at = len(line) - len(line[len(bare.rstrip()) :])
-            s = line[at:].strip()
+            s = line[len(bare.rstrip()) :].strip()
         starts = s.startswith("/*") and opened == "//"
-        body = s.lstrip("/#-*! ").strip() if s.startswith(opened) or starts or (inside and s.startswith("*")) or inside else ""
+        comment = s.startswith(opened) or starts or inside
+        alone.append(bool(comment and s and not bare.strip()))
+        bodies.append(s.lstrip("/#-*! ").strip() if comment else "")
         inside = (inside or starts) and "*/" not in s
-        body = body.removesuffix("*/").strip()
+    return lines, code, alone, [b.removesuffix("*/").strip() for b in bodies]
+
+
+def _owner_lines(path: str, n: int, lines: list[str], code: list[str], alone: list[bool]) -> tuple[int | None, int | None]:
+    """First and last line on which the item after the comment block of line n (from 0) may start; attributes in between are passed over."""
+    if code[n].strip():
+        return None, None
+    end = n + 1
+    while end < len(lines) and alone[end]:
+        end += 1
+    attributes, item = ("#[", "@", "[") if path.endswith(".cs") else ("#[", "#![", "@"), end
+    while item < len(lines) and code[item].strip() and lines[item].strip().startswith(attributes):
+        open_ = 0
+        while item < len(lines) and code[item].strip():
+            open_ += sum((c in "([{") - (c in ")]}") for c in lines[item])
+            item += 1
+            if open_ <= 0:
+                break
+    return end + 1, item + 1
+
+
+def read_tags(path: str, text: str):
+    """@route and @contract, where they are the first word of a comment line of a code file; what breaks their syntax is kept with its reason."""
+    family = family_of(path, text)
+    if family in (None, "markdown") or not ("@route" in text or "@contract" in text):
+        return
+    lines, code, alone, bodies = _comment_lines(text, family)
+    for n, body in enumerate(bodies, 1):
         m = re.match(r"@(route|contract)(?:\s+(.*))?$", body)
         if not m:
             continue
-        words, inner = (m[2] or "").split(), s.startswith(("//!", "/*!"))
+        s = lines[n - 1][len(code[n - 1].rstrip()) :].strip() if code[n - 1].strip() else lines[n - 1].strip()
+        words, inner, own = (m[2] or "").split(), s.startswith(("//!", "/*!")), _owner_lines(path, n - 1, lines, code, alone)
         if m[1] == "route":
             ok = lambda x: x.startswith("/") or re.match(r"[A-Za-z0-9+.-]+://", x)
             methods, templates = words[0].split("|") if words else [], words[1].split("|") if len(words) > 1 else []
@@ -314,13 +339,13 @@ def read_tags(path: str, text: str):
                 why = "bad method list"
             elif not templates or not all(map(ok, templates)):
                 why = "no template" if not templates else "bad template"
-            yield ("malformed", n, None, None, None, None, None, why, inner) if why else ("route", n, [x.upper() for x in methods], templates, None, None, None, None, inner)
+            yield ("malformed", n, None, None, None, None, None, why, inner, *own) if why else ("route", n, [x.upper() for x in methods], templates, None, None, None, None, inner, *own)
         elif not words:
-            yield "malformed", n, None, None, None, None, None, "no file", inner
+            yield "malformed", n, None, None, None, None, None, "no file", inner, *own
         else:
             ref, mark, pointer = words[0].partition("#")
             bad = "no file" if not ref else "pointer doesn't start with /" if mark and pointer and not pointer.startswith("/") else None
-            yield ("malformed", n, None, None, None, None, None, bad, inner) if bad else ("contract", n, None, None, ref, pointer if mark else None, "partial" in words[1:], None, inner)
+            yield ("malformed", n, None, None, None, None, None, bad, inner, *own) if bad else ("contract", n, None, None, ref, pointer if mark else None, "partial" in words[1:], None, inner, *own)
 
 
 def tags(files: DataFrame) -> DataFrame:
@@ -338,9 +363,15 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     return met.groupBy("path", "line").agg(F.min_by("name", F.struct(F.expr("b - a"), "name")).alias("name"))
 
 
-def tag_owners(found: DataFrame, spans: DataFrame, reach: int = 12) -> DataFrame:
-    """(path, line, owner): the next item that starts within reach lines below a tag, else the innermost around it."""
-    s = spans.select("path", F.col("line").alias("a"), F.col("name").alias("below"))
-    points = found.select("path", "line", "inner").distinct()
-    after = points.where("not inner").join(s, "path").where(f"a > line and a <= line + {reach}").groupBy("path", "line").agg(F.min_by("below", F.struct("a", "below")).alias("below"))
-    return points.join(after, ["path", "line"], "left").join(innermost(points, spans), ["path", "line"], "left").select("path", "line", F.coalesce("below", "name").alias("owner"))
+def tag_owners(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """(path, line, owner) of tags (see tags): null where the file itself owns one.
+
+    An inner documentation comment belongs to the smallest item around it (its first line above the tag's); any other
+    tag to the item that starts right after its comment block, attributes passed over, the longest of those on one
+    line; a tag beside code to the file.
+    """
+    s = spans.select("path", F.col("line").alias("a"), F.col("line_end").alias("b"), "name")
+    met = found.select("path", "line", "inner", "own_from", "own_to").distinct().join(s, "path")
+    after = met.where("not inner and a between own_from and own_to").groupBy("path", "line").agg(F.min_by("name", F.struct("a", -F.col("b"), "name")).alias("owner"))
+    around = met.where("inner and a < line and line <= b").groupBy("path", "line").agg(F.min_by("name", F.struct(F.expr("b - a"), "name", "a")).alias("owner"))
+    return found.select("path", "line").distinct().join(after.unionByName(around), ["path", "line"], "left")

@@ -3,35 +3,51 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.operators.edges import code_flow
 from graphweft.storage import drop_settled, new_path, settle
 
 
-def reach(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+#: Hops after which the files of a traversal's visited nodes are made one.
+MERGE_HOPS = 8
+
+
+def reach(starts: DataFrame, edges: DataFrame, most: int | None = None, full: int | None = None, settled: bool = False) -> DataFrame:
     """(root, node, hop) of all that each start reaches along (src, dst), itself at hop 0; cycles end.
 
-    starts: root, node. A hop is an equi-join of the frontier and an anti-join with what was seen; at most most hops.
+    starts: root, node. A hop is an equi-join of the frontier and an anti-join with what was seen, whose files are made
+    one now and then; at most most hops, and a root that has reached full nodes goes no further. settled: edges is a
+    written table and isn't written again.
     """
-    edges = settle(edges.select("src", "dst").distinct())  # every hop reads this, not what made it
+    edges = edges if settled else settle(edges.select("src", "dst"))  # every hop reads this, not what made it
     frontier = settle(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)))
-    seen, hop = frontier, 0
+    seen, hop, parts = frontier, 0, [frontier]
     while (most is None or hop < most) and not frontier.isEmpty():
         hop += 1
-        onward = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+        live = frontier
+        if full is not None:
+            done = seen.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= full).select("root")
+            live = frontier.join(done, "root", "left_anti")
+        onward = live.join(edges, live["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = settle(onward.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        seen = seen.unionAll(frontier)
+        parts.append(frontier)
+        if len(parts) > MERGE_HOPS:
+            whole = settle(seen.unionAll(frontier))
+            drop_settled(*parts[:-1])
+            parts, seen = [whole], whole
+        else:
+            seen = seen.unionAll(frontier)
     return seen
 
 
 def trace(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, direction, hop): everything up and down the code wires of the starts (node)."""
-    flow = code_flow(edges)
+    """(node, direction, hop): everything up and down the code wires of the starts (node). The wires are written once for both."""
+    flow = settle(code_flow(edges).select("provider", "consumer"))
     one = starts.select(F.lit(0).alias("root"), "node")
-    up = reach(one, flow.select(F.col("consumer").alias("src"), F.col("provider").alias("dst")))
-    down = reach(one, flow.select(F.col("provider").alias("src"), F.col("consumer").alias("dst")))
+    up = reach(one, flow.select(F.col("consumer").alias("src"), F.col("provider").alias("dst")), settled=True)
+    down = reach(one, flow.select(F.col("provider").alias("src"), F.col("consumer").alias("dst")), settled=True)
     return up.select("node", F.lit("up").alias("direction"), "hop").unionAll(down.where("hop > 0").select("node", F.lit("down").alias("direction"), "hop"))
 
 
@@ -42,15 +58,44 @@ def traced_edges(traced: DataFrame, edges: DataFrame) -> DataFrame:
     return own(side("up")).unionAll(own(side("down"))).distinct()
 
 
+def _bypassed(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(edges without some of the nodes with one way out, what was left out: node, onward, into array).
+
+    A wire to such a node leads on to the node behind it. A coin by hash keeps two nodes in a row from going at once, so
+    chains and long cycles shrink by a constant factor a round.
+    """
+    coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
+    ways = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("onward"))
+    single = ways.where("n = 1").select(F.col("src").alias("node"), "onward")
+    after = single.select(F.col("node").alias("onward"), F.lit(True).alias("chained"))
+    gone = settle(single.join(after, "onward", "left").where((coin("node") == 0) & (F.col("chained").isNull() | (coin("onward") == 1))).select("node", "onward"))
+    at = gone.select(F.col("node").alias("dst"), "onward")
+    kept = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(at, "dst", "left")
+    moved = kept.select("src", F.coalesce("onward", "dst").alias("dst"), F.when(F.col("onward").isNotNull(), F.col("dst")).alias("through"))
+    moved = settle(moved)
+    left_out = gone.join(moved.where("through is not null").select(F.col("through").alias("node"), F.col("src").alias("into")), "node", "left").select("node", "onward", "into")
+    return settle(moved.where("src <> dst").select("src", "dst").distinct()), settle(left_out)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each strongly connected component of (src, dst).
 
-    Nodes without a way in or out among the remaining go at once, each a component of its own. Then colours (the
-    largest ancestor) spread forwards, and what reaches its colour's root backwards inside the colour is a component.
+    Nodes without a way in or out among the remaining go at once, each a component of its own; nodes with one way out
+    are bypassed, until few are. On what is left colours (the largest ancestor) spread forwards, and what reaches its
+    colour's root backwards inside the colour is a component. A bypassed node belongs to the component behind it if a
+    node before it does. Rounds follow the logarithm of chains and cycles, and the width of what has many ways.
     """
     left = settle(edges.where("src <> dst").select("src", "dst").distinct())
     nodes = settle(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct())
-    found = []
+    found, levels, number = [], [], left.count()
+    while number:
+        kept = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        shorter, left_out = _bypassed(kept, len(levels))
+        levels.append(left_out)
+        drop_settled(left, kept)
+        before, left, number = number, shorter, shorter.count()
+        if number > 0.95 * before:
+            break
     while not left.isEmpty():
         while True:  # trim
             kept = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
@@ -65,6 +110,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
             spread = left.join(colour, left["src"] == colour["node"]).select(F.col("dst").alias("node"), "c").unionAll(colour)
             following = settle(spread.groupBy("node").agg(F.max("c").alias("c")))
             changed = not following.join(colour, ["node", "c"], "left_anti").isEmpty()
+            drop_settled(colour)
             colour = following
             if not changed:
                 break
@@ -75,11 +121,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.append(group)
         gone = group.select("node")
         left = settle(left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, left["dst"] == gone["node"], "left_anti"))
-    if not found:
-        return nodes.select("node", F.col("node").alias("component"))
-    groups = found[0]
-    for g in found[1:]:
+    groups = nodes.select("node", F.col("node").alias("c")).where("false")
+    for g in found:
         groups = groups.unionAll(g)
+    for level in reversed(levels):  # (node, c) of the nodes in components so far; others stand alone
+        own = lambda name, n: groups.select(F.col("node").alias(name), F.col("c").alias(n))  # noqa: E731, B023
+        met = level.where("into is not null").join(own("onward", "c"), "onward", "left").join(own("into", "d"), "into", "left")
+        behind, ahead = F.coalesce("c", "onward"), F.coalesce("d", "into")
+        joins = met.where(behind == ahead).select("node", behind.alias("c"), "onward").distinct()
+        groups = settle(groups.unionAll(joins.select("node", "c")).unionAll(joins.select(F.col("onward").alias("node"), "c")).distinct())
     least = groups.groupBy("c").agg(F.min("node").alias("component"))
     named = groups.join(least, "c").select("node", "component")
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -97,8 +147,10 @@ def cycle_boxes(edges: DataFrame, parent: DataFrame) -> DataFrame:
 def acyclic_order(edges: DataFrame, container: str = "container") -> DataFrame:
     """(container, node, position): a topological order of each container's items, cycles cut greedily.
 
-    Sources go first, sinks last; with neither, the item with most outgoing less incoming wires; ties by name. One
-    container's items are one group: containers are folders, whose size a person has to look at.
+    Whole passes over the items by name put sinks at the end and then sources at the front, as long as any is left; with
+    neither, the item with most outgoing less incoming wires comes next, the first by name of equals. Several wires
+    between two items count as one. One container's items are one group: containers are folders, whose size a person has
+    to look at.
     """
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,25 +162,52 @@ def acyclic_order(edges: DataFrame, container: str = "container") -> DataFrame:
             if a != b:
                 out[a].add(b)
                 into[b].add(a)
-        left, head, tail = sorted(out), [], []
-        while left:
-            sink = next((x for x in left if not out[x]), None)
-            source = next((x for x in left if not into[x]), None)
-            x = source if source is not None else sink
-            if x is None:
-                x = max(left, key=lambda y: (len(out[y]) - len(into[y]), [-ord(c) for c in str(y)]))
-            (tail if source is None and x == sink else head).append(x)
-            left.remove(x)
-            for y in out.pop(x):
+        head, tail, left = [], [], dict.fromkeys(sorted(out))
+
+        def put(x, line):
+            line.append(x)
+            del left[x]
+            for y in out[x]:
                 into[y].discard(x)
-            for y in into.pop(x):
+            for y in into[x]:
                 out[y].discard(x)
+
+        while left:
+            free = True
+            while free:
+                free = False
+                for ways, line in ((out, tail), (into, head)):
+                    for x in list(left):
+                        if not ways[x]:
+                            put(x, line)
+                            free = True
+            if left:
+                most = max(len(out[x]) - len(into[x]) for x in left)
+                put(next(x for x in left if len(out[x]) - len(into[x]) == most), head)
         nodes = head + tail[::-1]
         return pd.DataFrame({container: pdf[container].iloc[0], "node": nodes, "position": range(len(nodes))})
 
     return edges.select(container, "src", "dst").groupBy(container).applyInPandas(order, f"{container} string, node string, position long")
 
 
+def layer_order(layers: DataFrame, edges: DataFrame, sweeps: int = 4) -> DataFrame:
+    """(node, layer, pos): places inside layers, by sweeps of barycentres down and up; ties keep their places, at first by name.
+
+    layers: node, layer; edges: src, dst. A sweep is two joins and an average a node; the places of one layer are numbered
+    by a window over that layer.
+    """
+    place = lambda df: df.select("node", "layer", (F.row_number().over(Window.partitionBy("layer").orderBy("at", "pos", "node")) - 1).alias("pos"))
+    placed = settle(place(layers.select("node", "layer", F.lit(0.0).alias("at"), F.lit(0).alias("pos"))))
+    pairs = settle(edges.where("src <> dst").select("src", "dst").distinct())
+    for sweep in range(sweeps):
+        own, other = ("dst", "src") if sweep % 2 == 0 else ("src", "dst")
+        around = pairs.join(placed.select(F.col("node").alias(other), F.col("pos").alias("p")), other).groupBy(F.col(own).alias("node")).agg(F.avg("p").alias("mean"))
+        following = settle(place(placed.join(around, "node", "left").withColumn("at", F.coalesce("mean", F.col("pos").cast("double")))))
+        drop_settled(placed)
+        placed = following
+    return placed
+
+
 def longest_layers(edges: DataFrame) -> DataFrame:
     """(node, layer) of an acyclic graph (src, dst): the longest way to a node, which is the round in which no edge to it is left.
 
@@ -145,8 +224,9 @@ def longest_layers(edges: DataFrame) -> DataFrame:
         free.withColumn("layer", F.lit(layer)).write.mode("append").parquet(path)
         if rest.isEmpty():
             return spark.read.schema(schema).parquet(path)
-        left = settle(left.join(rest.select(F.col("node").alias("src")), "src", "left_semi"))
-        nodes, layer = rest, layer + 1
+        following = settle(left.join(rest.select(F.col("node").alias("src")), "src", "left_semi"))
+        drop_settled(left, nodes, free)
+        left, nodes, layer = following, rest, layer + 1
 
 
 def flow_layers(entries: DataFrame, links: DataFrame, layers: int = 12, steps: int = 400) -> DataFrame:
@@ -155,7 +235,7 @@ def flow_layers(entries: DataFrame, links: DataFrame, layers: int = 12, steps: i
     entries: flow, step; links: source, target, kind, tier. Only proven and possible links count; request links only
     lead to an entry. Past the caps expansion goes on for truncated counts (see flow_truncated).
     """
-    return _placed(entries, links, layers).where(f"layer < {layers} and pos < {steps}")
+    return _placed(entries, links, layers, steps).where(f"layer < {layers} and pos < {steps}")
 
 
 def flow_truncated(entries: DataFrame, links: DataFrame, layers: int = 12, steps: int = 400) -> DataFrame:
@@ -165,15 +245,13 @@ def flow_truncated(entries: DataFrame, links: DataFrame, layers: int = 12, steps
     return placed.groupBy("flow").agg((F.count(F.lit(1)) - cut).alias("kept"), cut.alias("truncated"))
 
 
-def _placed(entries: DataFrame, links: DataFrame, layers: int | None) -> DataFrame:
-    from pyspark.sql import Window
-
+def _placed(entries: DataFrame, links: DataFrame, layers: int | None, full: int | None = None) -> DataFrame:
     usable = links.where(F.col("tier").isin("Proven", "PossibleSet"))
     asked = usable.where("kind = 'Request'").select(F.col("target").alias("step"), "source").distinct()
     onward = usable.where("kind <> 'Request'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
     senders = entries.join(asked, "step").select("flow", F.col("source").alias("step")).distinct()
     senders = senders.join(entries, ["flow", "step"], "left_anti")
-    reached = reach(entries.select(F.col("flow").alias("root"), F.col("step").alias("node")), onward, None if layers is None else layers - 1)
+    reached = reach(entries.select(F.col("flow").alias("root"), F.col("step").alias("node")), onward, None if layers is None else layers - 1, full)
     reached = reached.select(F.col("root").alias("flow"), F.col("node").alias("step"), F.col("hop").alias("layer"), (F.col("hop") == 0).alias("entry"))
     first = senders.withColumns({"layer": F.lit(0), "entry": F.lit(False)})
     every = reached.join(senders, ["flow", "step"], "left_anti").unionByName(first)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,18 +120,37 @@ def treemap(sizes: DataFrame) -> DataFrame:
     return sizes.select("grp", "idx", "size").groupBy("grp").applyInPandas(lay, "grp string, idx long, x0 double, y0 double, x1 double, y1 double")
 
 
+#: Gaps below an item and between columns, the width over the height that is aimed at, and the slack of a column.
+ITEM_GAP, COLUMN_GAP, ASPECT, SLACK, BETTER = 18.0, 48.0, 1.6, 0.5, 1e-4
+
+
+def column_cuts(widths: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """Columns of a sequence: of all numbers of columns asked for, the one whose block is nearest to ASPECT (by ratio); the first of equals."""
+    n, below = len(heights), np.concatenate(([0.0], np.cumsum(heights + ITEM_GAP)))
+    best, kept = np.inf, np.zeros(n, np.int64)
+    for asked in range(1, n + 1):
+        limit, starts = below[-1] / asked + SLACK, [0]
+        while (upto := int(np.searchsorted(below, below[starts[-1]] + limit, "right")) - 1) < n:
+            starts.append(max(upto, starts[-1] + 1))
+            if starts[-1] >= n:
+                starts.pop()
+                break
+        tall = np.diff(below[[*starts, n]]).max()
+        wide = np.maximum.reduceat(widths, starts).sum() + COLUMN_GAP * (len(starts) - 1)
+        away = abs(np.log(max(wide, 1e-300) / max(tall, 1.0) / ASPECT))
+        if away < best - BETTER or asked == 1:
+            best, kept = away, np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
+        if len(starts) < asked:
+            break  # the items fill no more columns
+    return kept
+
+
 def packed_columns(items: DataFrame) -> DataFrame:
-    """(grp, idx, col): a sequence cut into columns of about the square root of its area. items: grp, idx, width, height."""
+    """(grp, idx, col): a sequence cut into columns (see column_cuts). items: grp, idx, width, height; a group is one folder's."""
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        target = max(float((pdf["width"] * pdf["height"]).sum()) ** 0.5, float(pdf["height"].max()))
-        at, held, out = 0, 0.0, []
-        for h in pdf["height"]:
-            if held and held + h > target:
-                at, held = at + 1, 0.0
-            held += float(h)
-            out.append(at)
-        return pd.DataFrame({"grp": pdf["grp"], "idx": pdf["idx"], "col": out})
+        columns = column_cuts(pdf["width"].to_numpy(np.float64), pdf["height"].to_numpy(np.float64))
+        return pd.DataFrame({"grp": pdf["grp"], "idx": pdf["idx"], "col": columns})
 
     return items.groupBy("grp").applyInPandas(cut, "grp string, idx long, col long")

@@ -32,15 +32,15 @@ def update_target(spark, sf):
 
 
 @query(
-    """WITH k AS (SELECT event_id % 40 AS log, concat('c', user_id) AS call_id, event_id AS "at", CASE event_id % 4 WHEN 0 THEN 'plan' ELSE 'edit' END AS kind FROM events WHERE event_type = 'view'),
-    r AS (SELECT event_id % 40 AS log, concat('c', user_id) AS call_id, event_id AS "at", event_id % 3 = 0 AS is_error FROM events WHERE event_type IN ('click', 'view')),
+    """WITH k AS (SELECT event_id // 250 AS log, concat('c', user_id) AS call_id, event_id AS "at", CASE event_id % 4 WHEN 0 THEN 'plan' ELSE 'edit' END AS kind FROM events WHERE event_type = 'view'),
+    r AS (SELECT event_id // 250 AS log, concat('c', user_id) AS call_id, event_id AS "at", event_id % 3 = 0 AS is_error FROM events WHERE event_type IN ('click', 'view')),
     g AS (SELECT log, call_id, arg_min(is_error, "at") AS e, max("at") AS m FROM r GROUP BY ALL)
     SELECT k.log, k.call_id, k."at", kind FROM k JOIN g USING (log, call_id) WHERE m >= k."at" AND (kind = 'plan' OR NOT coalesce(e, false))"""
 )
 def call_result_join(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    calls = e.where("event_type = 'view'").selectExpr("event_id % 40 log", "concat('c', user_id) call_id", "event_id at", "if(event_id % 4 = 0, 'plan', 'edit') kind")
-    results = e.where("event_type in ('click', 'view')").selectExpr("event_id % 40 log", "concat('c', user_id) call_id", "event_id at", "event_id % 3 = 0 is_error")
+    calls = e.where("event_type = 'view'").selectExpr("event_id div 250 log", "concat('c', user_id) call_id", "event_id at", "if(event_id % 4 = 0, 'plan', 'edit') kind")
+    results = e.where("event_type in ('click', 'view')").selectExpr("event_id div 250 log", "concat('c', user_id) call_id", "event_id at", "event_id % 3 = 0 is_error")
     return S.answered(calls, results).select("log", "call_id", "at", "kind")
 
 
@@ -82,12 +82,12 @@ def out_of_scope_top5(spark, sf):
 
 
 @query(
-    f"""WITH roots AS ({ROOTS}), l AS (SELECT log % 50 AS log, log AS pos, cwd FROM ({LOGS}) x), inside AS (SELECT * FROM l WHERE EXISTS (SELECT 1 FROM roots WHERE cwd = root OR starts_with(cwd, root || '/')))
+    f"""WITH roots AS ({ROOTS}), l AS (SELECT log // 200 AS log, log AS pos, cwd FROM ({LOGS}) x), inside AS (SELECT * FROM l WHERE EXISTS (SELECT 1 FROM roots WHERE cwd = root OR starts_with(cwd, root || '/')))
     SELECT log, arg_min(cwd, pos) AS cwd, min(pos) AS pos FROM inside GROUP BY log"""
 )
 def late_membership(spark, sf):
     logs, roots = _logs(spark, sf)
-    return S.late_membership(logs.selectExpr("log % 50 log", "log pos", "cwd"), roots)
+    return S.late_membership(logs.selectExpr("log div 200 log", "log pos", "cwd"), roots)
 
 
 @query("SELECT session, log, pos, uuid FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY started, log, pos) AS n FROM lines) l WHERE uuid IS NULL OR n = 1", "lines")

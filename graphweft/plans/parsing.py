@@ -73,15 +73,27 @@ def tag_scan(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT concat('f', p_partkey % 50) AS path, p_size AS a, p_size + p_partkey % 30 AS b, p_partkey AS n FROM part), p AS (SELECT concat('f', s_suppkey % 50) AS path, CAST(s_suppkey * 7 % 60 AS INT) AS line FROM supplier)
+    """WITH s AS (SELECT concat('f', p_partkey // 40) AS path, p_size AS a, p_size + p_partkey % 30 AS b, p_partkey AS n FROM part), p AS (SELECT concat('f', s_suppkey // 2) AS path, CAST(s_suppkey * 7 % 60 AS INT) AS line FROM supplier)
     SELECT DISTINCT p.path, line, arg_min(n, (b - a) * 100000 + n) OVER (PARTITION BY p.path, line) AS name FROM p JOIN s ON p.path = s.path AND line BETWEEN a AND b"""
 )
 def innermost_span(spark, sf):
-    spans = _part(spark, sf).selectExpr("concat('f', p_partkey % 50) path", "p_size line", "p_size + p_partkey % 30 line_end", "p_partkey name")
-    points = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('f', s_suppkey % 50) path", "int(s_suppkey * 7 % 60) line").distinct()
+    spans = _part(spark, sf).selectExpr("concat('f', p_partkey div 40) path", "p_size line", "p_size + p_partkey % 30 line_end", "p_partkey name")
+    points = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('f', s_suppkey div 2) path", "int(s_suppkey * 7 % 60) line").distinct()
     return X.innermost(points, spans)
 
 
+OWNED = "concat('fn a', p_partkey, '() {\n', case p_partkey % 3 when 0 then '}' else '  x();\n}' end, '\n/// @route GET /r\n', case p_partkey % 4 when 0 then '/// more\n' when 1 then '#[inline(\n  always)]\n' when 2 then '\n' else 'let x = 1; ' end, 'fn b', p_partkey, '() { let y = 1; } // @route GET /s\n')"
+
+
+@query(
+    """SELECT concat('p', p_partkey, '.rs') AS path, CAST(CASE WHEN k = 0 THEN 3 ELSE 4 + CASE WHEN p_partkey % 4 < 2 THEN p_partkey % 4 + 1 WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END END + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS INT) AS line,
+    CASE WHEN k = 0 AND p_partkey % 4 < 2 THEN concat('b', p_partkey) WHEN k = 0 AND p_partkey % 4 = 3 THEN concat('b', p_partkey) END AS owner FROM part, range(0, 2) t(k)"""
+)
+def tag_owner_rule(spark, sf):
+    files = _part(spark, sf).select(F.concat(F.lit("p"), "p_partkey", F.lit(".rs")).alias("path"), F.expr(OWNED).alias("text"))
+    return X.tag_owners(X.tags(files), X.items(files).where("kind = 'fn'"))
+
+
 @query(
     """SELECT c_custkey AS ref, CASE c_custkey % 5 WHEN 0 THEN 'item' WHEN 1 THEN 'item' WHEN 2 THEN 'external' WHEN 3 THEN 'unresolved' ELSE 'ambiguous' END AS tag,
     CASE c_custkey % 5 WHEN 0 THEN concat('c', c_custkey) WHEN 1 THEN concat('n', c_nationkey) WHEN 2 THEN 'external' END AS target FROM customer"""

@@ -72,14 +72,14 @@ def handler_tag_agreement(spark, sf):
 
 
 @query(
-    """WITH refs AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'build.rs' WHEN 1 THEN concat('pkg', p_partkey % 25, '/Cargo.toml') ELSE 'src/Makefile' END AS ref FROM part),
+    """WITH refs AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'build.rs' WHEN 1 THEN concat('pkg', CAST(floor(p_partkey / 80) AS BIGINT), '/Cargo.toml') ELSE 'src/Makefile' END AS ref FROM part),
     met AS (SELECT ref, path, path = ref AS w FROM refs JOIN sources ON path = ref OR ends_with(path, '/' || ref)),
     g AS (SELECT ref, CASE WHEN bool_or(w) THEN 1 ELSE count(DISTINCT path) END AS n FROM met GROUP BY ref)
     SELECT ref, CASE WHEN n IS NULL THEN 'Unresolved' WHEN n = 1 THEN 'Proven' ELSE 'PossibleSet' END AS tier, CAST(coalesce(n, 0) AS INT) AS candidates FROM refs LEFT JOIN g USING (ref)""",
     "sources",
 )
 def contract_candidates(spark, sf):
-    refs = spark.read.parquet(f"{sf}/part.parquet").selectExpr("case p_partkey % 3 when 0 then 'build.rs' when 1 then concat('pkg', p_partkey % 25, '/Cargo.toml') else 'src/Makefile' end ref")
+    refs = spark.read.parquet(f"{sf}/part.parquet").selectExpr("case p_partkey % 3 when 0 then 'build.rs' when 1 then concat('pkg', CAST(floor(p_partkey / 80) AS BIGINT), '/Cargo.toml') else 'src/Makefile' end ref")
     return R.contract_candidates(refs, adapted(spark, sf, "sources")).drop("files")
 
 

@@ -39,9 +39,13 @@ def path_normalise(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", P.normalised(raw).alias("folded"))
 
 
-@query("SELECT path, CASE len(path) % 3 WHEN 0 THEN regexp_replace(path, '^([^/]*).*$', '\\1') || '/readme.md' WHEN 1 THEN 'docs/a.md' END AS target FROM paths WHERE path LIKE '%/%/%' AND path NOT LIKE '%/%/%/%'", "paths")
+@query(
+    """WITH p AS (SELECT path, string_split(path, '/') AS s FROM paths)
+    SELECT path, CASE len(path) % 3 WHEN 0 THEN CASE WHEN len(s) = 2 THEN 'readme.md' WHEN len(s) > 2 THEN array_to_string(s[:len(s) - 2], '/') || '/readme.md' END WHEN 1 THEN 'docs/a.md' END AS target FROM p""",
+    "paths",
+)
 def link_targets(spark, sf):
-    p = adapted(spark, sf, "paths").where("path like '%/%/%' and path not like '%/%/%/%'")
+    p = adapted(spark, sf, "paths")
     link = F.expr("case length(path) % 3 when 0 then '../readme.md#top' when 1 then '/docs/./a.md?x' else 'https://x.org/a' end")
     return p.select("path", P.joined(P.parent(F.col("path")), link).alias("target"))
 
@@ -99,9 +103,12 @@ def language_names(spark, sf):
     return _t(spark, sf, "part").select(X.language(path, content).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, len(string_split(html, chr(10))) = 1 AND strlen(html) > 400 AS one_line FROM pages WHERE len(string_split(html, chr(10))) = 1")
+@query(
+    """WITH l AS (SELECT page_id, list_filter(string_split(replace(html, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '')[:10] AS lines FROM pages)
+    SELECT page_id, len(lines) > 0 AND floor(list_sum(list_transform(lines, lambda x: strlen(x))) / len(lines)) > 400 AS one_line FROM l"""
+)
 def minified_test(spark, sf):
-    return _t(spark, sf, "pages").where(F.size(F.split("html", "\n")) == 1).select("page_id", X.is_minified(F.col("html")).alias("one_line"))
+    return _t(spark, sf, "pages").select("page_id", X.is_minified(F.col("html")).alias("one_line"))
 
 
 @query(

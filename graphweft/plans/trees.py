@@ -150,13 +150,13 @@ def folder_last_commit_join(spark, sf):
 
 
 @query(
-    f"""WITH m AS (SELECT {PARENT.format('path')} AS folder FROM sources WHERE path LIKE '%/Cargo.toml'), t AS (SELECT p_partkey % 20 AS k, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+    f"""WITH m AS (SELECT {PARENT.format('path')} AS folder FROM sources WHERE path LIKE '%/Cargo.toml'), t AS (SELECT p_partkey // 100 AS k, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
     SELECT folder, folder AS package, CAST(coalesce(n, 0) AS BIGINT) AS binaries FROM m LEFT JOIN t ON folder = concat('pkg', k)""",
     "sources",
 )
 def package_folders(spark, sf):
     m = adapted(spark, sf, "sources").where("path like '%/Cargo.toml'").select(P.parent(F.col("path")).alias("path"))
-    targets = spark.read.parquet(f"{sf}/part.parquet").selectExpr("concat('pkg', p_partkey % 20) package", "if(p_partkey % 3 = 0, 'bin', 'lib') kind")
+    targets = spark.read.parquet(f"{sf}/part.parquet").selectExpr("concat('pkg', p_partkey div 100) package", "if(p_partkey % 3 = 0, 'bin', 'lib') kind")
     return T.packages_at_folders(m, m.selectExpr("path package", "path folder"), targets)
 
 
@@ -175,10 +175,10 @@ def heavy_folder_totals(spark, sf):
 
 @query(
     """SELECT concat('d', u) AS path, CASE WHEN u = 0 THEN 'ignored' WHEN u % 3 = 1 THEN 'dependencies' WHEN u % 3 = 2 AND u > 2 THEN 'build cache' END AS reason
-    FROM (SELECT DISTINCT user_id % 9 AS u FROM events) e WHERE u = 0 OR u % 3 = 1 OR (u % 3 = 2 AND u > 2)"""
+    FROM (SELECT DISTINCT user_id AS u FROM events) e WHERE u = 0 OR u % 3 = 1 OR (u % 3 = 2 AND u > 2)"""
 )
 def heavy_folders(spark, sf):
-    u = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id % 9 u").distinct()
+    u = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id u").distinct()
     files = u.where("u % 3 = 1").selectExpr("concat('d', u, '/pyvenv.cfg') path", "'' head").unionAll(u.where("u % 3 = 2").selectExpr("concat('d', u, '/CACHEDIR.TAG') path", f"if(u > 2, '{T.CACHEDIR_SIGNATURE}', 'x') head"))
     return T.heavy_folders(u.selectExpr("concat('d', u) path"), files, spark.createDataFrame([("d0/",)], "path string"))
 
