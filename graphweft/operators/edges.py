@@ -169,6 +169,69 @@ def connection_errors(asked: DataFrame, ports: DataFrame, wires: DataFrame) -> D
     return known.select("id", "out_node", "out_port", "in_node", "in_port", error.alias("error"))
 
 
+WIRE = ["out_node", "out_port", "in_node", "in_port"]
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes with those of new whose node isn't there yet."""
+    return nodes.unionByName(new.dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_anti").select(*nodes.columns))
+
+
+def connect(wires: DataFrame, asked: DataFrame, ports: DataFrame, tier: str = "Unresolved", basis: str = "Manual") -> DataFrame:
+    """wires (out_node, out_port, in_node, in_port, tier, basis) with the asked connections that nothing speaks against, each once. A port may hold many."""
+    fine = connection_errors(asked, ports, wires.select(*WIRE)).where("error is null").select(*WIRE).distinct()
+    return wires.unionByName(fine.withColumns({"tier": F.lit(tier), "basis": F.lit(basis)}))
+
+
+def disconnect(wires: DataFrame, gone: DataFrame) -> DataFrame:
+    """wires without those in gone: whole wires, or all at the ends that gone names (any of the four columns of a wire)."""
+    return wires.join(gone.select(*(c for c in WIRE if c in gone.columns)).distinct(), [c for c in WIRE if c in gone.columns], "left_anti")
+
+
+def disconnect_ports(wires: DataFrame, ports: DataFrame) -> DataFrame:
+    """wires without any at one of these ports (node, port), on either end."""
+    end = lambda side: ports.select(F.col("node").alias(f"{side}_node"), F.col("port").alias(f"{side}_port")).distinct()
+    return wires.join(end("out"), ["out_node", "out_port"], "left_anti").join(end("in"), ["in_node", "in_port"], "left_anti").select(*wires.columns)
+
+
+def set_provenance(wires: DataFrame, told: DataFrame) -> DataFrame:
+    """wires with the tier and basis that told (a wire, tier, basis) has for them."""
+    new = told.select(*WIRE, F.col("tier").alias("new_tier"), F.col("basis").alias("new_basis")).dropDuplicates(WIRE)
+    met = wires.join(new, WIRE, "left").withColumns({"tier": F.coalesce("new_tier", "tier"), "basis": F.coalesce("new_basis", "basis")})
+    return met.select(*wires.columns)
+
+
+def materialised(names: DataFrame, new_names: DataFrame, new_refs: DataFrame) -> DataFrame:
+    """Wires of new files into a graph that is there: their references (consumer, target, kind, proven) meet old and new names.
+
+    names, new_names: see resolve_files. Nothing that was wired before is resolved again.
+    """
+    found = resolve_files(new_refs.select("target"), names.unionByName(new_names))
+    return file_wires(new_refs.join(found.select("target", F.col("node").alias("provider")), "target"))
+
+
+def usable_links(links: DataFrame) -> DataFrame:
+    """Distinct (source, target) of links that are proven or possible."""
+    return links.where(rank("tier", TIERS) <= 1).select("source", "target").distinct()
+
+
+def project_stats(edges: DataFrame, shown: tuple[str, ...]) -> DataFrame:
+    """(kind, providers, consumers, wires) of the shown kinds, and of all others as 'other'."""
+    kind = F.when(F.col("kind").isin(*shown), F.col("kind")).otherwise("other")
+    return edges.groupBy(kind.alias("kind")).agg(F.count_distinct("provider").alias("providers"), F.count_distinct("consumer").alias("consumers"), F.count(F.lit(1)).alias("wires"))
+
+
+def pipeline_stats(links: DataFrame) -> DataFrame:
+    """One row: links, by tier, and requests from one source to another."""
+    c = lambda e: F.count_if(F.expr(e))
+    return links.agg(F.count(F.lit(1)).alias("links"), c("tier = 'Proven'").alias("proven"), c("tier = 'PossibleSet'").alias("possible"), c("tier = 'Unresolved'").alias("unresolved"), c("source <> target and kind = 'Request'").alias("crossings"))
+
+
+def unresolved_reasons(links: DataFrame) -> DataFrame:
+    """(label, n) of unresolved links, the commonest first."""
+    return links.where("tier = 'Unresolved'").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes and edges without the nodes gone and every wire at them."""
     ids = gone.select("node").distinct()

@@ -114,17 +114,40 @@ def touches_by_kind(touches: DataFrame) -> DataFrame:
     return touches.groupBy("kind").agg(F.count_if(~F.col("subagent")).alias("main"), F.count_if(F.col("subagent")).alias("subagent"))
 
 
+def _hunk_count(lines: Column, hunk: Column) -> Column:
+    """In how many places a hunk's new side stands: at its own lines, else its added block of whole lines anywhere."""
+    new, added = F.transform(hunk["lines"], lambda x: x["text"]), F.transform(hunk["lines"], lambda x: x["added"])
+    here = F.slice(lines, F.greatest(hunk["start"], F.lit(1)), F.size(new)) == new
+    first = F.array_position(added, True)
+    last = F.size(added) - F.array_position(F.reverse(added), True) + 1
+    block = F.slice(new, F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
+    at = F.sequence(F.lit(1), F.greatest(F.size(lines) - F.size(block) + 1, F.lit(1)))
+    found = F.size(F.filter(at, lambda i: F.slice(lines, i, F.size(block)) == block))
+    return F.when(F.size(new) == 0, 1).when(here, 1).when(first == 0, 0).otherwise(found)
+
+
 def match_touch(touches: DataFrame, files: DataFrame) -> DataFrame:
     """(touch, state, count): whether what a touch wrote is in the file's text now.
 
-    touches: touch, path, parts array<string>; files: path, text. A missing part is stale; else a part found several
-    times (overlapping ones count) leaves candidates; else the touch is lit.
+    touches: touch, path, parts array<string>, and where there are such columns every array<boolean> (a part that was put
+    in every place), hunks array<struct<start, lines array<struct<added, text>>>> (the lines a patch left; they count
+    before parts), deleted boolean; files: path, text, line ends as in the parts. A missing part is stale, and so is a
+    file that was deleted; else a part found several times (overlapping ones count, those of every place don't) leaves
+    candidates; else the touch is lit.
     """
     from graphweft.functions.text import occurrences
 
-    met = touches.join(files, "path", "left").withColumn("counts", F.transform("parts", lambda p: occurrences(F.coalesce("text", F.lit("")), p)))
-    stale, many = F.col("text").isNull() | F.exists("counts", lambda c: c == 0), F.exists("counts", lambda c: c > 1)
-    return met.select("touch", F.when(stale, "stale").when(many, "candidates").otherwise("lit").alias("state"), F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("count"))
+    has = lambda c, kind: F.col(c) if c in touches.columns else F.lit(None).cast(kind)
+    hunks, every = has("hunks", "array<struct<start:int,lines:array<struct<added:boolean,text:string>>>>"), has("every", "array<boolean>")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n")
+    met = touches.select("touch", "path", "parts", hunks.alias("hunks"), every.alias("every"), has("deleted", "boolean").alias("deleted")).join(files, "path", "left")
+    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    by_part = F.transform("parts", lambda p, i: F.struct(occurrences(text, F.regexp_replace(p, "\r\n", "\n")).alias("n"), F.coalesce(F.get("every", i), F.lit(False)).alias("every")))
+    by_hunk = F.transform("hunks", lambda h: F.struct(_hunk_count(lines, h).alias("n"), F.lit(False).alias("every")))
+    met = met.withColumn("counts", F.when(F.size("hunks") > 0, by_hunk).otherwise(by_part))
+    stale = F.col("text").isNull() | F.coalesce("deleted", F.lit(False)) | F.exists("counts", lambda c: c["n"] == 0)
+    many = F.exists("counts", lambda c: (c["n"] > 1) & ~c["every"])
+    return met.select("touch", F.when(stale, "stale").when(many, "candidates").otherwise("lit").alias("state"), F.aggregate("counts", F.lit(0), lambda a, c: a + c["n"]).alias("count"))
 
 
 def log_changes(found: DataFrame, known: DataFrame) -> DataFrame:

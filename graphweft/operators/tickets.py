@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.operators.order import running
+
 
 def id_key(ticket: Column) -> Column:
     """Sort key of an id: numeric by segment, text after numbers."""
@@ -55,5 +57,26 @@ def confirm_shipped(tickets: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def position(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with a dense index from 0 in a total order."""
-    return rows.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    """rows with a dense index from 0 in a total order, numbered by ranges of it."""
+    keys = {f"_key{i}": c for i, c in enumerate(order)}
+    return running(rows.withColumns(keys), *keys).withColumn("idx", F.col("before").cast("int")).drop("before", *keys)
+
+
+def worktree_rows(worktrees: DataFrame, branches: DataFrame, commits: DataFrame, changes: DataFrame, sessions: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(path, label, is_main, ahead, behind, commits, changes, sessions, tickets) of each work tree.
+
+    worktrees: path, head, branch (null: detached), is_main; branches: branch, upstream, ahead, behind; commits: pos,
+    commit of the history, newest first; changes: worktree, kind, path; sessions: session, root; tickets: id. A work
+    tree at the history's head has its commits, any other with a head has that one; tickets are those its branch
+    names, a guess by name. Sides are counted before they are joined.
+    """
+    head = commits.where("pos = 0").select(F.col("commit").alias("head"), F.lit(True).alias("whole")).limit(1)
+    number = commits.agg(F.count(F.lit(1))).first()[0]
+    kinds = changes.groupBy(F.col("worktree").alias("path"), "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("kind", "n"))).alias("changes"))
+    held = sessions.groupBy(F.col("root").alias("path")).agg(F.count(F.lit(1)).alias("sessions"))
+    named = branch_tickets(worktrees.where("branch is not null").select("branch").distinct(), tickets).groupBy("branch").agg(F.sort_array(F.collect_set("ticket")).alias("tickets"))
+    met = worktrees.join(branches.select("branch", "upstream", "ahead", "behind"), "branch", "left").join(head, "head", "left").join(kinds, "path", "left").join(held, "path", "left").join(named, "branch", "left")
+    label = F.coalesce("branch", F.concat(F.lit("detached at "), F.substring(F.coalesce("head", F.lit("")), 1, 7)))
+    of = lambda c: F.when(F.col("upstream").isNotNull(), F.col(c))
+    count = F.when(F.col("whole"), F.lit(number)).when(F.coalesce("head", F.lit("")) != "", 1).otherwise(0).cast("long")
+    return met.select("path", label.alias("label"), "is_main", of("ahead").alias("ahead"), of("behind").alias("behind"), count.alias("commits"), "changes", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("tickets", F.array().cast("array<string>")).alias("tickets"))

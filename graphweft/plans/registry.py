@@ -24,4 +24,4 @@ def query(sql: str | None = None, *inputs: str):
     return put
 
 
-from graphweft.plans import finding, logs, parsing, plane, routing, scalars, trees, wires  # noqa: E402, F401
+from graphweft.plans import finding, logs, parsing, plane, reading, routing, scalars, trees, wires  # noqa: E402, F401

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from graphweft.model import TIERS, rank
 from graphweft.operators import edges as E
 from graphweft.operators import graph as G
 from graphweft.plans.adapters import adapted
@@ -235,13 +234,12 @@ def strongest_tier(spark, sf):
     "links",
 )
 def pipeline_stats(spark, sf):
-    c = lambda e: F.count_if(F.expr(e))
-    return adapted(spark, sf, "links").agg(F.count(F.lit(1)).alias("links"), c("tier = 'Proven'").alias("proven"), c("tier = 'PossibleSet'").alias("possible"), c("tier = 'Unresolved'").alias("unresolved"), c("source <> target and kind = 'Request'").alias("crossings"))
+    return E.pipeline_stats(adapted(spark, sf, "links"))
 
 
 @query("SELECT label, CAST(count(*) AS BIGINT) AS n FROM links WHERE tier = 'Unresolved' GROUP BY label", "links")
 def unresolved_reasons(spark, sf):
-    return adapted(spark, sf, "links").where("tier = 'Unresolved'").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
+    return E.unresolved_reasons(adapted(spark, sf, "links"))
 
 
 @query(
@@ -267,11 +265,30 @@ ASKED = "SELECT src * 1000000000 + dst AS id, src AS node_a, src % 4 AS port_a,
     "ring",
 )
 def connection_check(spark, sf):
+    asked, ports, wires = _connections(spark, sf)
+    return E.connection_errors(asked, ports, wires).select("id", "error")
+
+
+def _connections(spark, sf):
     r = adapted(spark, sf, "ring")
     ports = r.selectExpr("src node", "src % 4 port", "if(src % 2 = 0, 'out', 'in') direction", "case src % 3 when 0 then 'Any' when 1 then 'Int' else 'Text' end data_type").distinct()
     asked = r.selectExpr("src * 1000000000 + dst id", "src node_a", "src % 4 port_a", "dst node_b", "dst % 4 port_b")
-    wires = r.where("src < dst").selectExpr("src out_node", "src % 4 out_port", "dst in_node", "dst % 4 in_port")
-    return E.connection_errors(asked, ports, wires).select("id", "error")
+    return asked, ports, r.where("src < dst").selectExpr("src out_node", "src % 4 out_port", "dst in_node", "dst % 4 in_port")
+
+
+@query(
+    f"""WITH ports AS ({PORTS}), asked AS ({ASKED}), wires AS (SELECT DISTINCT src AS out_node, src % 4 AS out_port, dst AS in_node, dst % 4 AS in_port FROM ring WHERE src < dst),
+    met AS (SELECT q.*, a.direction AS da, b.direction AS db, a.data_type AS ta, b.data_type AS tb, coalesce(a.direction = 'in' AND b.direction = 'out', false) AS flip FROM asked q
+      LEFT JOIN ports a ON a.node = node_a AND a.port = port_a LEFT JOIN ports b ON b.node = node_b AND b.port = port_b),
+    put AS (SELECT *, CASE WHEN flip THEN node_b ELSE node_a END AS on_, CASE WHEN flip THEN port_b ELSE port_a END AS op, CASE WHEN flip THEN node_a ELSE node_b END AS in_, CASE WHEN flip THEN port_a ELSE port_b END AS ip FROM met)
+    SELECT on_ AS out_node, op AS out_port, in_ AS in_node, ip AS in_port, 'Unresolved' AS tier FROM put WHERE (CASE WHEN node_a = node_b THEN 'self' WHEN da IS NULL OR db IS NULL THEN 'missing port' WHEN da = db THEN 'direction' WHEN NOT (ta = tb OR ta = 'Any' OR tb = 'Any') THEN 'type'
+      WHEN EXISTS (SELECT 1 FROM wires w WHERE w.out_node = on_ AND w.out_port = op AND w.in_node = in_ AND w.in_port = ip) THEN 'duplicate' END) IS NULL
+    UNION SELECT out_node, out_port, in_node, in_port, 'Proven' FROM wires""",
+    "ring",
+)
+def connected_wires(spark, sf):
+    asked, ports, wires = _connections(spark, sf)
+    return E.connect(wires.distinct().selectExpr("*", "'Proven' tier", "'Manifest' basis"), asked, ports).drop("basis")
 
 
 @query("SELECT provider, consumer, kind FROM edges WHERE provider NOT LIKE 'supplier:%' AND consumer NOT LIKE 'supplier:%'", "edges")
@@ -409,10 +426,9 @@ def gate_keys(spark, sf):
 
 @query("SELECT CASE WHEN kind IN ('Call', 'Import') THEN kind ELSE 'other' END AS kind, CAST(count(DISTINCT provider) AS BIGINT) AS providers, CAST(count(DISTINCT consumer) AS BIGINT) AS consumers, CAST(count(*) AS BIGINT) AS wires FROM edges GROUP BY 1", "edges")
 def project_stats(spark, sf):
-    e = adapted(spark, sf, "edges").withColumn("kind", F.when(F.col("kind").isin("Call", "Import"), F.col("kind")).otherwise("other"))
-    return e.groupBy("kind").agg(F.count_distinct("provider").alias("providers"), F.count_distinct("consumer").alias("consumers"), F.count(F.lit(1)).alias("wires"))
+    return E.project_stats(adapted(spark, sf, "edges"), ("Call", "Import"))
 
 
 @query("SELECT DISTINCT source, target FROM links WHERE tier IN ('Proven', 'PossibleSet')", "links")
 def usable_links(spark, sf):
-    return adapted(spark, sf, "links").where(rank("tier", TIERS) <= 1).select("source", "target").distinct()
+    return E.usable_links(adapted(spark, sf, "links"))

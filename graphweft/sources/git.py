@@ -16,6 +16,8 @@ from graphweft.sources.commands import HISTORY_TIMEOUT, Runner
 
 #: Separators of records, fields and groups, the history's length, and attributes asked for.
 RECORD, UNIT, GROUP, HISTORY_LIMIT = "\x1e", "\x1f", "\x1d", 5000
+#: Fixed value: what is asked of each branch.
+BRANCH_FORMAT = "%(refname:short)%1f%(objectname)%1f%(upstream:short)%1f%(upstream:track)%1f%(committerdate:unix)%1f%(subject)"
 ATTRIBUTES = ("filter", "linguist-generated", "linguist-vendored", "linguist-documentation")
 
 
@@ -30,10 +32,9 @@ def _text(runner: Runner, root: str, *words: str, stdin: bytes | None = None, ti
 
 def read_branches(spark: SparkSession, runner: Runner, root: str) -> DataFrame:
     """(branch, head, upstream, ahead, behind, time, subject)."""
-    fields = "%1f".join(f"%({f})" for f in ("refname:short", "objectname", "upstream:short", "upstream:track", "committerdate:unix", "subject"))
     f = F.split("record", UNIT)
     count = lambda word: F.coalesce(F.regexp_extract(f[3], rf"{word} (\d+)", 1).try_cast("long"), F.lit(0))
-    rows = _records(spark, _text(runner, root, "for-each-ref", f"--format={fields}", "refs/heads"), "\n")
+    rows = _records(spark, _text(runner, root, "for-each-ref", f"--format={BRANCH_FORMAT}", "refs/heads"), "\n")
     return rows.select(f[0].alias("branch"), f[1].alias("head"), F.nullif(f[2], F.lit("")).alias("upstream"), count("ahead").alias("ahead"), count("behind").alias("behind"), f[4].cast("long").alias("time"), f[5].alias("subject"))
 
 
@@ -46,12 +47,13 @@ def read_worktrees(spark: SparkSession, runner: Runner, root: str) -> DataFrame:
 
 
 def read_commits(spark: SparkSession, runner: Runner, root: str, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """(pos, commit, time, author, subject, co_authors), newest first."""
-    form = "%x1e%H%x1f%ct%x1f%an%x1f%s%x1f%(trailers:key=Co-authored-by,valueonly,separator=%x1d)"
+    """(pos, commit, short, parents, time, author, subject, co_authors), newest first."""
+    form = "%x1e%H%x1f%ct%x1f%an%x1f%s%x1f%(trailers:key=Co-authored-by,valueonly,separator=%x1d)%x1f%h%x1f%P"
     rows = _records(spark, _text(runner, root, "log", f"-n{limit}", f"--format={form}"), RECORD)
     f = F.split(F.regexp_replace("record", r"\n+$", ""), UNIT)
     names = F.filter(F.transform(F.split(f[4], GROUP), lambda n: F.trim(F.regexp_replace(n, "<.*$", ""))), lambda n: n != "")
-    return rows.select(F.col("pos"), f[0].alias("commit"), f[1].cast("long").alias("time"), f[2].alias("author"), f[3].alias("subject"), names.alias("co_authors"))
+    parents = F.filter(F.split(f[6], " "), lambda p: p != "")
+    return rows.select(F.col("pos"), f[0].alias("commit"), f[5].alias("short"), parents.alias("parents"), f[1].cast("long").alias("time"), f[2].alias("author"), f[3].alias("subject"), names.alias("co_authors"))
 
 
 def co_author_counts(commits: DataFrame) -> DataFrame:
@@ -120,8 +122,12 @@ def read_ignored(spark: SparkSession, runner: Runner, root: str) -> DataFrame:
         except subprocess.CalledProcessError:
             fields = []
         rules = [(p, s, int(n) if n.isdigit() else 0, pattern) for s, n, pattern, p in zip(*[iter(fields)] * 4, strict=False)]
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.join(spark.createDataFrame(rules, "path string, source string, line int, pattern string"), "path", "left")
+    return with_rules(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(rules, "path string, source string, line int, pattern string"))
+
+
+def with_rules(listed: DataFrame, rules: DataFrame) -> DataFrame:
+    """listed (path) with the source, line and pattern of the rule that says so, where there is one."""
+    return listed.join(rules.select("path", "source", "line", "pattern"), "path", "left")
 
 
 def status_counts(outputs: DataFrame) -> DataFrame:
@@ -135,6 +141,29 @@ def status_counts(outputs: DataFrame) -> DataFrame:
     return own.agg(n((kind == "1") & (x == "A")).alias("added"), n((kind == "1") & (x != "A") & ~deleted).alias("modified"), n((kind == "1") & (x != "A") & deleted).alias("deleted"), n(kind == "2").alias("renamed"), n(kind == "u").alias("conflicted"), n(kind == "?").alias("untracked"))
 
 
+def status_files(outputs: DataFrame) -> DataFrame:
+    """(worktree, kind, path) of porcelain v2 outputs (worktree, output) with NULs: kinds as in status_counts; a rename's new name."""
+    alone = F.regexp_replace("output", "((?:^|\\x00)2 [^\\x00]*)\\x00[^\\x00]*", "$1")
+    own = outputs.select("worktree", F.explode(fields_of(alone)).alias("field")).where("field rlike '^[12u?] '")
+    letter, xy = F.substring("field", 1, 1), F.split("field", " ", 3)[1]
+    x, y = F.substring(xy, 1, 1), F.substring(xy, 2, 1)
+    kind = F.when(letter == "?", "untracked").when(letter == "u", "conflicted").when(letter == "2", "renamed").when(x == "A", "added").when((x == "D") | (y == "D"), "deleted").otherwise("modified")
+    before = F.when(letter == "?", 2).when(letter == "1", 9).when(letter == "2", 10).otherwise(11)  # words before the path, and one
+    path = F.array_join(F.slice(F.split("field", " "), before, F.greatest(F.size(F.split("field", " ")) - before + 1, F.lit(0))), " ")
+    return own.select("worktree", kind.alias("kind"), path.alias("path"))
+
+
+def read_worktree_files(spark: SparkSession, runner: Runner, worktrees: list[str]) -> DataFrame:
+    """(worktree, kind, path): what is changed in each work tree; one that can't be read has no rows. Work trees are few: one command each."""
+    rows = []
+    for path in worktrees:
+        try:
+            rows.append((path, _text(runner, path, "status", "--porcelain=v2", "-z", "--untracked-files=normal")))
+        except (OSError, subprocess.SubprocessError):
+            continue
+    return status_files(spark.createDataFrame(rows, "worktree string, output string"))
+
+
 def read_status(spark: SparkSession, runner: Runner, root: str) -> DataFrame:
     out = _text(runner, root, "status", "--porcelain=v2", "-z", "--untracked-files=normal")
     return status_counts(spark.createDataFrame([(out,)], "output string"))

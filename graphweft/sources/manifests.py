@@ -72,6 +72,12 @@ def discovered_targets(packages: DataFrame, paths: DataFrame) -> DataFrame:
     return told.select("package", "name", "kind", "root").unionByName(fresh.select("package", "name", "kind", "root")).distinct()
 
 
+def in_lib_or_bin(modules: DataFrame, targets: DataFrame) -> DataFrame:
+    """modules (module, root: the file its crate starts with) that belong to a library or a binary, not to tests, examples or benches."""
+    kept = targets.where(F.col("kind").isin("lib", "proc-macro", "bin")).select("root").distinct()
+    return modules.join(kept, "root", "left_semi")
+
+
 def package_deps(packages: DataFrame) -> DataFrame:
     """(package, name, on, kind, path, target, optional, line) of all dependencies; workspace ones take the root's path. path is project-relative.
 

@@ -6,12 +6,14 @@ import json
 import re
 import tomllib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.functions.text import kebab_case
+from graphweft.operators.order import running
 from graphweft.sources.files import parsed
 from graphweft.sources.manifests import line_of
+from graphweft.storage import settle
 
 TOOL = "id string, parent string, kind string, name string, invocation string, description string, line int"
 
@@ -128,18 +130,19 @@ def find_enums(wanted: DataFrame, enums: DataFrame, closure: DataFrame) -> DataF
     return wanted.join(closure, "package").join(e, ["on", "type"]).groupBy("package", "type").agg(F.min_by("on", F.struct("hop", "on")).alias("found_in"))
 
 
-def preorder(tools: DataFrame, most: int = 16) -> DataFrame:
-    """tools (id, parent, line, name) with depth and position of a depth-first walk: keys are arrays of (line, name) from the root."""
-    step = lambda p="": F.struct(F.col(f"{p}line").alias("line"), F.col(f"{p}name").alias("name"), F.col(f"{p}id").alias("id"))
-    level = tools.where("parent is null").select("id", F.array(step()).alias("key"))
+def preorder(tools: DataFrame) -> DataFrame:
+    """tools (id, parent, line, name) with depth and position of a depth-first walk: keys are arrays of (line, name) from the root.
+
+    Levels go on until one is empty, each written; what no root leads to isn't walked. Positions are numbered by ranges.
+    """
+    step = F.struct("line", "name", "id")
+    below = settle(tools.where("parent is not null").select("id", F.col("parent").alias("of"), step.alias("step")))
+    level = settle(tools.where("parent is null").select("id", F.array(step).alias("key")))
     out = level
-    for _ in range(most):
-        t = tools.alias("t")
-        level = t.join(level.select(F.col("id").alias("of"), F.col("key").alias("above")), F.col("parent") == F.col("of")).select("id", F.concat("above", F.array(step())).alias("key"))
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
+        level = settle(below.join(level.select(F.col("id").alias("of"), "key"), "of").select("id", F.concat("key", F.array("step")).alias("key")))
         out = out.unionAll(level)
-    return out.select("id", (F.size("key") - 1).alias("depth"), (F.row_number().over(Window.orderBy("key")) - 1).alias("pos"))
+    return running(out, "key").select("id", (F.size("key") - 1).alias("depth"), F.col("before").cast("int").alias("pos"))
 
 
 def in_kebab(name: Column) -> Column:
