@@ -206,7 +206,8 @@ def _uses(t: Text, family: str):
         return
     rules = {"python": r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "script": r"(?:\bfrom\s+|\brequire\(\s*|\bimport\s+\(?\s*)['\"]([^'\"\n]+)['\"]", "go": r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$", "brace": r"(?m)^\s*(?:import|using|#include)\s+(?:static\s+)?[<\"]?([\w./*:]+)[>\"]?", "lua": r"require\s*\(?\s*['\"]([^'\"]+)", "ruby": r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"]+)", "shell": r"(?m)^\s*(?:source|\.)\s+(\S+)"}
     for m in re.finditer(rules.get(family, r"(?!)"), t.text):
-        yield "use", next(g for g in m.groups() if g), None, None, None, t.line(m.start()), t.line(m.end()), None, [], []
+        at = m.start(m.lastindex)
+        yield "use", m[m.lastindex], None, None, None, t.line(at), t.line(m.end()), None, [], []
 
 
 def use_leaves(tree: str, prefix: str = "") -> list[str]:
@@ -254,6 +255,64 @@ def items(files: DataFrame) -> DataFrame:
     return parsed(files, read_items, ITEM)
 
 
+FACT = "kind string, name string, line int, line_end int, module string, attributes array<string>, gate string"
+
+
+def read_rust_facts(path: str, text: str):
+    """Modules, items, imports and calls of a Rust file with the inline module they stand in, attributes and cfg gates.
+
+    gate: the cfg conditions of the attributes right above and of the inline modules and items around, joined by ' & ';
+    null: none. A call is gated as what it stands in; a module without a body is one, too (its file's name is the
+    resolver's).
+    """
+    if family_of(path, text) != "rust":
+        return
+    t = Text(text, "rust")
+
+    def above(at: int) -> list[str]:
+        """Attributes that end right before the offset at, in order; their texts keep strings."""
+        out, end = [], at
+        while m := re.search(r"#\[[^\n]*\][ \t]*\n?\s*$|#\[(?:[^\]]|\n)*\]\s*$", t.code[:end][-2000:]):
+            start = max(0, end - 2000) + m.start()
+            out.append(" ".join(t.text[start:end].strip().removeprefix("#[").rstrip().removesuffix("]").split()))
+            end = start
+        return out[::-1]
+
+    cfg = lambda attributes: [a for a in attributes if a.startswith("cfg(")]
+    heads = [(m.start(), m, "mod") for m in re.finditer(r"(?:\bpub(?:\([^)]*\))?\s+)?\bmod\s+(?P<name>\w+)\s*(?P<open>[{;])", t.code)]
+    heads += [(m.start(), m, kind) for kind, rule in RUST for m in rule.finditer(t.code)]
+    heads += [(m.start(), m, "use") for m in re.finditer(r"(?:\bpub(?:\([^)]*\))?\s+)?\buse\s+(?P<name>[^;]+);", t.code)]
+    stack: list[tuple[int, str, str, list[str]]] = []  # end, kind, name, conditions
+    spans = []
+    for at, m, kind in sorted(heads, key=lambda h: (h[0], -h[1].end())):
+        while stack and stack[-1][0] < at:
+            stack.pop()
+        start = at + len(m.group()) - len(m.group().lstrip())
+        attributes = above(start)
+        conditions = [c for s in stack for c in s[3]] + cfg(attributes)
+        module, gate = "::".join(s[2] for s in stack if s[1] == "mod"), " & ".join(conditions) or None
+        if kind == "use":
+            for leaf in use_leaves(m["name"]):
+                yield kind, leaf, t.line(start), t.line(m.end()), module, attributes, gate
+            continue
+        brace, stop = t.code.find("{", m.end() - 1), t.code.find(";", m.end() - 1)
+        end = t.close(brace) if brace >= 0 and (stop < 0 or brace < stop) else (stop if stop >= 0 else m.end())
+        yield kind, m["name"], t.line(start), t.line(end), module, attributes, gate
+        stack.append((end, kind, m["name"], cfg(attributes)))
+        if kind == "fn":
+            spans.append((m.end(), end, module, gate))
+    for a, b, module, gate in spans:
+        for m in re.finditer(r"([A-Za-z_]\w*(?:::[A-Za-z_]\w*)*)\s*\(|\.([a-z_]\w*)\s*\(", t.code[a:b]):
+            name = m[1] or "." + m[2]
+            if name.split("::")[-1] not in NO_CALLS:
+                yield "call", name, t.line(a + m.start()), t.line(a + m.start()), module, [], gate
+
+
+def rust_facts(files: DataFrame) -> DataFrame:
+    """Facts of all Rust files (path, text) for the resolver: see read_rust_facts and FACT."""
+    return parsed(files, read_rust_facts, FACT)
+
+
 def members(found: DataFrame) -> DataFrame:
     """(path, member_id, idx, kind, name, line, in_port, out_port): a file's items by line, with ids and ports that any run gives again."""
     from pyspark.sql import Window

@@ -54,6 +54,44 @@ def python_items(spark, sf):
     return X.items(_part(spark, sf).select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), F.expr(PYTHON).alias("text"))).select("path", "kind", "name", "owner", "line_end")
 
 
+#: A text of each scanner's family by p_partkey % 7, and what is in it: kind, name, line.
+FAMILY_TEXTS = {
+    "go": ("package a\\n\\nimport \"fmt\"\\n\\ntype S@ struct {\\n}\\n\\nfunc (s *S@) Do() {\\n  fmt.Println()\\n}\\n", [("use", "fmt", 3), ("struct", "S@", 5), ("fn", "Do", 8)]),
+    "ts": ("import {x} from \"./y\";\\nexport class A@ extends B {\\n  run() {\\n  }\\n}\\nexport const f = () => {\\n};\\n", [("use", "./y", 1), ("class", "A@", 2), ("fn", "run", 3), ("fn", "f", 6)]),
+    "java": ("import a.b;\\npublic class C@ {\\n  public int f(int x) {\\n    return g(x);\\n  }\\n}\\n", [("use", "a.b", 1), ("class", "C@", 2), ("fn", "f", 3)]),
+    "c": ("modded class M@ {\\n  override void OnInit() {\\n  }\\n}\\n", [("class", "M@", 1), ("fn", "OnInit", 2)]),
+    "lua": ("local m = require(\"x.y\")\\nlocal function one@()\\n  two()\\nend\\n", [("use", "x.y", 1), ("fn", "one@", 2)]),
+    "rb": ("require \"set\"\\nclass R@\\n  def go\\n  end\\nend\\n", [("use", "set", 1), ("class", "R@", 2), ("fn", "go", 3)]),
+    "sh": ("source lib.sh\\nrun@() {\\n  ls\\n}\\n", [("use", "lib.sh", 1), ("fn", "run@", 2)]),
+}
+FAMILY_SQL = " UNION ALL ".join(
+    f"SELECT concat('p', p_partkey, '.{end}') AS path, '{kind}' AS kind, replace('{name}', '@', CAST(p_partkey AS VARCHAR)) AS name, CAST({line} AS INT) AS line FROM part WHERE p_partkey % 7 = {i}"
+    for i, (end, (_, found)) in enumerate(FAMILY_TEXTS.items()) for kind, name, line in found
+)
+
+
+@query(FAMILY_SQL)
+def family_items(spark, sf):
+    end = "case p_partkey % 7 " + " ".join(f"when {i} then '{e}'" for i, e in enumerate(FAMILY_TEXTS)) + " end"
+    text = "replace(case p_partkey % 7 " + " ".join(f"when {i} then '{t}'" for i, (t, _) in enumerate(FAMILY_TEXTS.values())) + " end, '@', cast(p_partkey as string))"
+    return X.items(_part(spark, sf).selectExpr(f"concat('p', p_partkey, '.', {end}) path", f"{text} text")).select("path", "kind", "name", "line")
+
+
+FACTS = r"concat('#[cfg(feature = \"x\")]\nmod m', p_partkey, ' {\n  use a::{b, c};\n  #[inline]\n  #[cfg(test)]\n  pub fn f', p_size, '() { g(1).h(); }\n}\nmod other;\nstruct S;\n')"
+
+
+@query(
+    """SELECT path, kind, name, line, module, gate FROM (SELECT concat('p', p_partkey, '.rs') AS path, concat('m', p_partkey) AS mod, unnest([
+      {'kind': 'mod', 'name': concat('m', p_partkey), 'line': 2, 'module': '', 'gate': 'cfg(feature = "x")'}, {'kind': 'use', 'name': 'a::b', 'line': 3, 'module': concat('m', p_partkey), 'gate': 'cfg(feature = "x")'},
+      {'kind': 'use', 'name': 'a::c', 'line': 3, 'module': concat('m', p_partkey), 'gate': 'cfg(feature = "x")'}, {'kind': 'fn', 'name': concat('f', p_size), 'line': 6, 'module': concat('m', p_partkey), 'gate': 'cfg(feature = "x") & cfg(test)'},
+      {'kind': 'call', 'name': 'g', 'line': 6, 'module': concat('m', p_partkey), 'gate': 'cfg(feature = "x") & cfg(test)'}, {'kind': 'call', 'name': '.h', 'line': 6, 'module': concat('m', p_partkey), 'gate': 'cfg(feature = "x") & cfg(test)'},
+      {'kind': 'mod', 'name': 'other', 'line': 8, 'module': '', 'gate': NULL}, {'kind': 'struct', 'name': 'S', 'line': 9, 'module': '', 'gate': NULL}], recursive := true) FROM part) u"""
+)
+def rust_facts(spark, sf):
+    files = _part(spark, sf).select(F.concat(F.lit("p"), "p_partkey", F.lit(".rs")).alias("path"), F.expr(FACTS).alias("text"))
+    return X.rust_facts(files).select("path", "kind", "name", "line", "module", "gate")
+
+
 MARKDOWN = r"concat('# Part ', p_partkey, '\n\nSee [it](docs/', p_size, '.md).\n\n```rust\n# no [x](y)\n```\n')"
 
 
