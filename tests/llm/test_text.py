@@ -296,6 +296,14 @@ def test_held_out_toxicity(spark):
     assert kept.columns == docs.columns and 940 <= kept.count() <= 980
 
 
+def test_the_same_model_on_every_run(spark):
+    docs, labels, _ = corpus(spark, 400, 8)
+    one, other = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert one == other and one.weights
+    few = toxicity.fit(docs.unionAll(docs.selectExpr("doc_id", "concat(text, ' w', doc_id)", "severity")), labels, fit_docs=100)
+    assert few == toxicity.fit(docs.unionAll(docs.selectExpr("doc_id", "concat(text, ' w', doc_id)", "severity")).repartition(5), labels, fit_docs=100)
+
+
 def test_toxicity_of_odd_rows_and_without_labels(spark):
     docs, labels, _ = corpus(spark, 300, 6)
     model = toxicity.fit(docs, labels)
