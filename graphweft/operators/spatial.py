@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Column:
+def cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float | Column) -> Column:
     """Every cell a rectangle covers."""
     at = lambda v: F.floor(v / cell)
     columns, rows = F.sequence(at(x0), at(x1)), F.sequence(at(y0), at(y1))
@@ -20,22 +20,57 @@ def gridded(rects: DataFrame, cell: float) -> DataFrame:
     return rects.select("*", F.inline(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell)))
 
 
+def _level(x0: str, y0: str, x1: str, y1: str, cell: float) -> Column:
+    """The level of a rectangle: the least n at which cells of cell * 2**n are as wide and high as it is."""
+    size = F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0), F.lit(0.0)) / cell
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1.0))))).cast("int")
+
+
+def _top(*tables: DataFrame) -> int:
+    """The highest level of the tables: one number."""
+    every = tables[0].select("level")
+    for t in tables[1:]:
+        every = every.unionAll(t.select("level"))
+    return every.agg(F.max("level")).first()[0] or 0
+
+
+def _on_levels(rows: DataFrame, ends: tuple[str, str, str, str], cell: float, levels: Column) -> DataFrame:
+    """rows once for each of the levels and each of the four cells at most that they cover there."""
+    at = rows.withColumn("at", F.explode(levels))
+    wide = F.lit(cell) * F.pow(F.lit(2.0), F.col("at"))
+    return at.select("*", F.inline(cells(*(F.col(c) for c in ends), wide)))
+
+
 def query_rects(rects: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
     """(query, id) of rectangles that intersect each query rectangle, each once. queries: query, x0, y0, x1, y1.
 
-    A pair meets in several cells and is kept in the one that holds the lower corner of the overlap, so nothing has to
-    be made distinct afterwards.
+    Grids of doubling cells: a rectangle lies in four cells at most on the level of its size and on any above, and two
+    meet on the larger one's level, so that a huge one costs as few rows as a small one. A pair meets in several cells
+    and is kept in the one that holds the lower corner of the overlap, so nothing has to be made distinct afterwards.
     """
-    q = queries.select("query", *(F.col(c).alias(f"q{c}") for c in ("x0", "y0", "x1", "y1")), F.inline(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell)))
-    met = gridded(rects, cell).join(q, ["cx", "cy"]).where("x0 <= qx1 and qx0 <= x1 and y0 <= qy1 and qy0 <= y1")
-    first = (F.floor(F.greatest("x0", "qx0") / cell) == F.col("cx")) & (F.floor(F.greatest("y0", "qy0") / cell) == F.col("cy"))
+    r = rects.withColumn("level", _level("x0", "y0", "x1", "y1", cell))
+    q = queries.select("query", *(F.col(c).alias(f"q{c}") for c in ("x0", "y0", "x1", "y1"))).withColumn("level", _level("qx0", "qy0", "qx1", "qy1", cell))
+    upto = F.sequence(F.col("level"), F.lit(_top(r, q)))
+    laid = _on_levels(r, ("x0", "y0", "x1", "y1"), cell, upto)
+    asked = _on_levels(q, ("qx0", "qy0", "qx1", "qy1"), cell, upto).withColumnRenamed("level", "q_level")
+    met = laid.join(asked, ["at", "cx", "cy"]).where("at = greatest(level, q_level) and x0 <= qx1 and qx0 <= x1 and y0 <= qy1 and qy0 <= y1")
+    wide = F.lit(cell) * F.pow(F.lit(2.0), F.col("at"))
+    first = (F.floor(F.greatest("x0", "qx0") / wide) == F.col("cx")) & (F.floor(F.greatest("y0", "qy0") / wide) == F.col("cy"))
     return met.where(first).select("query", "id")
 
 
+def _with_points(rects: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """rects and points (point, x, y) that share a cell: a rectangle lies on its own level, a point on all."""
+    r = rects.withColumn("level", _level("x0", "y0", "x1", "y1", cell))
+    laid = _on_levels(r, ("x0", "y0", "x1", "y1"), cell, F.array("level"))
+    p = points.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(_top(r)))))
+    wide = F.lit(cell) * F.pow(F.lit(2.0), F.col("at"))
+    return laid.join(p.withColumns({"cx": F.floor(F.col("x") / wide), "cy": F.floor(F.col("y") / wide)}), ["at", "cx", "cy"])
+
+
 def query_points(rects: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     """(point, id) of rectangles that contain each point. points: point, x, y."""
-    p = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    return gridded(rects, cell).join(p, ["cx", "cy"]).where("x0 <= x and x <= x1 and y0 <= y and y <= y1").select("point", "id")
+    return _with_points(rects, points, cell).where("x0 <= x and x <= x1 and y0 <= y and y <= y1").select("point", "id")
 
 
 def bounds(rects: DataFrame, *keys: str) -> DataFrame:
@@ -67,13 +102,12 @@ def bezier_distance(x: Column, y: Column, points: list[tuple[Column, Column]], s
 def nearest_wires(wires: DataFrame, points: DataFrame, reach: float, kinds: list[str]) -> DataFrame:
     """(point, wire, distance): the nearest wire of the shown kinds within reach; ties to the smaller id.
 
-    wires: wire, kind, ax, ay, bx, by; points: point, x, y. Wires are put into cells of twice the reach around their box.
+    wires: wire, kind, ax, ay, bx, by; points: point, x, y. Wires are put into cells of twice the reach, or of their box's size where that is larger: four at most.
     """
     cell = 2 * reach
     box = wires.where(F.col("kind").isin(*kinds)).withColumns({"x0": F.least("ax", "bx") - reach, "y0": F.least("ay", "by") - reach, "x1": F.greatest("ax", "bx") + reach, "y1": F.greatest("ay", "by") + reach})
-    p = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
     d = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    met = gridded(box, cell).join(p, ["cx", "cy"]).withColumn("distance", F.round(d, 9)).where(F.col("distance") <= reach)
+    met = _with_points(box, points, cell).where("x0 <= x and x <= x1 and y0 <= y and y <= y1").withColumn("distance", F.round(d, 9)).where(F.col("distance") <= reach)
     return met.groupBy("point").agg(F.min_by("wire", F.struct("distance", "wire")).alias("wire"), F.min("distance").alias("distance"))
 
 

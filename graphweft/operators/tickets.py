@@ -48,10 +48,12 @@ def is_full_id(sha: Column) -> Column:
 def confirm_shipped(tickets: DataFrame, commits: DataFrame) -> DataFrame:
     """(id, shipped_at, commit): the one commit whose id starts with shipped_at; null if none or several do.
 
-    Prefixes meet commits by their first four digits, an equi-join with a residual.
+    Commits are cut to the lengths that are asked for (61 at most), so that prefixes meet them by equality alone.
     """
-    asked = tickets.where(is_commit_id(F.col("shipped_at"))).select("id", "shipped_at", F.substring("shipped_at", 1, 4).alias("head"))
-    met = asked.join(commits.select("commit", F.substring("commit", 1, 4).alias("head")), "head").where(F.col("commit").startswith(F.col("shipped_at")))
+    asked = tickets.where(is_commit_id(F.col("shipped_at"))).select("id", "shipped_at")
+    lengths = [r[0] for r in asked.select(F.length("shipped_at")).distinct().collect()]
+    cut = commits.select("commit", F.explode(F.array(*(F.when(F.length("commit") >= n, F.substring("commit", 1, n)) for n in sorted(lengths)))).alias("shipped_at")) if lengths else commits.selectExpr("commit", "commit shipped_at")
+    met = asked.join(cut, "shipped_at")
     one = met.groupBy("id").agg(F.count_distinct("commit").alias("n"), F.min("commit").alias("commit")).where("n = 1").select("id", "commit")
     return tickets.where("shipped_at is not null").select("id", "shipped_at").join(one, "id", "left")
 

@@ -5,23 +5,48 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders of whole writes below path, newest first: those whose commit left its mark."""
+    files, at = _files(spark, path)
+    if not files.exists(at):
+        return []
+    marks = [(files.getFileStatus(m).getModificationTime(), f.getPath().toString()) for f in files.listStatus(at) if files.exists(m := spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return [p for _, p in sorted(marks, reverse=True)]
+
+
 def save(df: DataFrame, folder: str, name: str, version: int, key: int) -> str:
-    """Writes df under its name, version and key; Spark's commit makes it appear whole or not at all."""
-    path = f"{folder}/name={name}/version={version}/key={key}"
-    df.write.mode("overwrite").parquet(path)
+    """Writes df under its name, version and key, into a folder of its own each time: readers see the last whole write.
+
+    The write before the last stays for those that still read it; older ones go.
+    """
+    spark, path = df.sparkSession, f"{folder}/name={name}/version={version}/key={key}"
+    earlier = _runs(spark, path)
+    df.write.parquet(f"{path}/write={uuid.uuid4().hex}")
+    for old in earlier[1:]:
+        files, at = _files(spark, old)
+        files.delete(at, True)
     return path
 
 
 def load(spark: SparkSession, folder: str, name: str, version: int, key: int) -> DataFrame | None:
-    """What was saved under exactly these, or None: another version or key is a miss, and so is a broken table."""
+    """What was saved last under exactly these, or None: another version or key is a miss, and so is a broken table."""
+    runs = _runs(spark, f"{folder}/name={name}/version={version}/key={key}")
+    if not runs:
+        return None
     try:
-        found = spark.read.parquet(f"{folder}/name={name}/version={version}/key={key}")
+        found = spark.read.parquet(runs[0])
         found.limit(1).collect()
         return found
     except Exception as e:  # noqa: BLE001  a cache that can't be read is a miss

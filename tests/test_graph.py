@@ -6,6 +6,7 @@ import random
 import pytest
 
 from graphweft.operators import graph, order, spatial
+from graphweft.sources import stores
 
 
 def test_layers_of_a_long_chain_and_of_a_cycle(spark):
@@ -162,3 +163,31 @@ def test_running_sums_over_ranges(spark):
         assert by[i] == (at, sums)
         at, sums = at + 1, sums + b
     assert order.running(spark.createDataFrame([], "a long"), "a").collect() == []
+
+
+def test_rectangles_of_all_sizes_meet(spark):
+    rng = random.Random(6)
+
+    def rect():
+        x, y, w, h = rng.uniform(-500, 500), rng.uniform(-500, 500), rng.choice([0, 3, 90, 4000, 1e6]), rng.choice([0, 5, 200, 9000])
+        return x, y, x + w, y + h
+
+    rects, queries = [(i, *rect()) for i in range(120)], [(i, *rect()) for i in range(60)]
+    points = [(i, rng.uniform(-600, 600), rng.uniform(-600, 600)) for i in range(100)]
+    r = spark.createDataFrame(rects, "id long, x0 double, y0 double, x1 double, y1 double")
+    got = [tuple(x) for x in spatial.query_rects(r, spark.createDataFrame(queries, "query long, x0 double, y0 double, x1 double, y1 double"), 16.0).collect()]
+    want = [(q, i) for q, a0, b0, a1, b1 in queries for i, x0, y0, x1, y1 in rects if x0 <= a1 and a0 <= x1 and y0 <= b1 and b0 <= y1]
+    assert sorted(got) == sorted(want)
+    inside = [tuple(x) for x in spatial.query_points(r, spark.createDataFrame(points, "point long, x double, y double"), 16.0).collect()]
+    assert sorted(inside) == sorted((p, i) for p, x, y in points for i, x0, y0, x1, y1 in rects if x0 <= x <= x1 and y0 <= y <= y1)
+
+
+def test_a_saved_table_is_replaced_whole(spark, tmp_path):
+    for n in (3, 5, 2):
+        stores.save(spark.range(n), f"file://{tmp_path}", "t", 1, 7)
+        assert stores.load(spark, f"file://{tmp_path}", "t", 1, 7).count() == n
+    held = list((tmp_path / "name=t/version=1/key=7").iterdir())
+    assert len(held) == 2
+    newest = max(held, key=lambda p: (p / "_SUCCESS").stat().st_mtime)
+    (newest / "_SUCCESS").unlink()  # a write that didn't end
+    assert stores.load(spark, f"file://{tmp_path}", "t", 1, 7).count() == 5 and stores.load(spark, f"file://{tmp_path}", "t", 2, 7) is None
