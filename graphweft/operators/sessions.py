@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions.paths import ancestors
+from graphweft.storage import settle
 
 
 def longest_root(logs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -38,12 +39,25 @@ def answered(calls: DataFrame, results: DataFrame) -> DataFrame:
 def task_at(touches: DataFrame, states: DataFrame) -> DataFrame:
     """(touch, task): at a touch's time, of the tasks whose last state is in progress the one set last.
 
-    touches: touch, session, time; states: session, task (ordered), time, seq, state. States become intervals by lead,
-    so a touch meets each task's last state by a range within its session; the greatest (time, task) wins.
+    touches: touch, session, time; states: session, task (ordered), time, seq, state; times are whole numbers. States
+    become intervals by lead. An interval lies in two cells at most of its length's level, a touch in one cell of each
+    level that occurs (64 at most), so they meet by equality on session, level and cell, a busy session's too; the
+    greatest (time, task) wins.
     """
+    last = touches.agg(F.max("time")).first()[0]
     w = Window.partitionBy("session", "task").orderBy("time", "seq")
-    spans = states.withColumn("until", F.lead("time").over(w)).where("state = 'in_progress' and (until is null or until > time)").select(F.col("session").alias("s"), "task", F.col("time").alias("since"), "until")
-    met = touches.join(spans, (F.col("session") == F.col("s")) & (F.col("since") <= F.col("time")) & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
+    spans = states.withColumn("until", F.lead("time").over(w)).where("state = 'in_progress' and (until is null or until > time)")
+    spans = spans.select("session", "task", F.col("time").alias("since"), F.coalesce("until", F.lit(last) + 1).alias("until")).where("since < until")
+    usual = spans.agg(F.percentile_approx(F.col("until") - F.col("since"), 0.5)).first()[0]
+    if last is None or usual is None:
+        return touches.join(states.select("session", "task"), "session").select("touch", "task").where("false")
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("until") - F.col("since")) / F.lit(usual)))).cast("int")
+    spans = settle(spans.withColumn("level", level))
+    levels = [r[0] for r in spans.select("level").distinct().collect()]
+    cell = lambda time: F.expr(f"({time}) div shiftleft(cast({usual} as bigint), level)")
+    held = spans.select("*", F.explode(F.sequence(cell("since"), cell("until - 1"))).alias("cell"))
+    asked = touches.select("touch", "session", "time", F.explode(F.array(*map(F.lit, sorted(levels)))).alias("level"))
+    met = asked.withColumn("cell", cell("time")).join(held, ["session", "level", "cell"]).where("since <= time and time < until")
     return met.groupBy("touch").agg(F.max_by("task", F.struct("since", "task")).alias("task"))
 
 

@@ -1,5 +1,6 @@
 """Jobs, graph mutation, touches of patches, long imports and deep tools."""
 
+import random
 import threading
 import time
 
@@ -118,3 +119,21 @@ def test_owners_of_tags_stand_right_below(spark):
     spans = extract.items(files).where("kind = 'fn'")
     got = {(r["line"], r["owner"]) for r in extract.tag_owners(extract.tags(files), spans).collect()}
     assert got == {(1, None), (4, "g"), (10, None), (12, None)}
+
+
+def test_tasks_at_a_time_with_short_and_long_spans(spark):
+    rng = random.Random(3)
+    states = [(rng.randrange(3), rng.randrange(4), rng.choice([rng.randrange(-50, 50), rng.randrange(5000)]), n, rng.choice(["in_progress", "done", "pending"])) for n in range(150)]
+    touches = [(n, rng.randrange(4), rng.choice([rng.randrange(-60, 60), rng.randrange(6000)])) for n in range(120)]
+    got = {r["touch"]: r["task"] for r in sessions.task_at(spark.createDataFrame(touches, "touch long, session long, time long"), spark.createDataFrame(states, "session long, task long, time long, seq long, state string")).collect()}
+    want = {}
+    for touch, session, time_ in touches:
+        last = {}
+        for s, task, at, seq, state in sorted(states, key=lambda x: (x[2], x[3])):
+            if s == session and at <= time_:
+                last[task] = (at, task, state)
+        open_ = [(at, task) for at, task, state in last.values() if state == "in_progress"]
+        if open_:
+            want[touch] = max(open_)[1]
+    assert got == want
+    assert sessions.task_at(spark.createDataFrame([], "touch long, session long, time long"), spark.createDataFrame(states, "session long, task long, time long, seq long, state string")).collect() == []
