@@ -320,6 +320,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = fps.groupBy("_own_id", "_own_hash").agg(F.count(F.lit(1)).alias("n"))
     judged = rows.join(stay.withColumn("stays", F.lit(True)), ["_own_id", "_own_hash"], "left")
     odd = settle(judged.where("stays is null or n > 1").select(F.col("_own_id").alias("_odd_id"), F.col("_own_hash").alias("_odd_hash"), F.col("stays").isNotNull().alias("_odd_stays")))
+    drop_settled(fps, distinct)
     told = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
     met = own.join(told, (F.col("_own_id") == F.col("_odd_id")) & (F.col("_own_hash") == F.col("_odd_hash")), "left")
     once = met.where("_odd_stays").dropDuplicates(["_own_id", "_own_hash"]).select(*docs.columns) if not odd.where("_odd_stays").isEmpty() else None
