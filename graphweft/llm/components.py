@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import drop_settled, settle
+from graphweft.llm.common import drop_settled, join_spread, settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Order among nodes is a hash that differs by round, so long chains shrink by a constant factor in expectation
     and the number of rounds is logarithmic whatever the ids are. A round is a min per node (map-side combined, so a
-    node with a third of all edges is one row per task) and two equi-joins. Null ends, self links and repeated
+    node with a third of all edges is one row per task) and two equi-joins. The last join, whose key may be a component
+    with a third of all nodes, sends the frequent ones along. Null ends, self links and repeated
     edges are ignored; an empty table gives an empty table.
     """
     edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -37,5 +38,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = level.join(upper, "parent", "left").select("node", F.coalesce("label", "parent").alias("label"))
     labels = settle(labels)
     drop_settled(*levels)
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return labels.join(least, "label").select("node", "component")
+    least = settle(labels.groupBy("label").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")))
+    return join_spread(labels, least, "label").select("node", "component")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import drop_settled, settle
+from graphweft.llm.common import drop_settled, join_spread, settle
 from graphweft.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -295,12 +295,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comes back null and never names a component (null if a component has no other id). Further columns are ignored.
     """
     fps = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    first = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    first = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     linked = first.join(_components(first.select("fp")), "fp")
     least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = settle(linked.join(least, "component").select("fp", "component_id"))
-    ids = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = settle(first.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")))
+    return join_spread(fps, ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
