@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import drop_settled, settle, whole_runs
+from graphweft.llm.common import drop_settled, frequent, join_spread, settle, whole_runs
 from graphweft.llm.components import connected_components
 
 SHINGLE_WORDS, LEAST = 5, 0.8
@@ -18,7 +20,7 @@ BANDS, BAND_ROWS = 27, 4
 EQUAL_BYTES = 61
 #: Bits of a bitmap of the texts whose shingles are asked for: 2 MB, however many there are.
 MAP_BITS = 24
-#: Texts of one band compared in one task: a larger band is dealt to pairs of blocks of about so many.
+#: Texts of one band compared in one task: a larger band is dealt to blocks of about so many.
 BLOCK_ROWS = 4096
 #: Runs up to this long are compared together, place by place.
 SHORT_RUN = 48
@@ -196,6 +198,38 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
+def _links(dealt: DataFrame, single: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) inside each block or pair of blocks. dealt: key, i, j, side, grp."""
+    by_run = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    named, marked = "key long, i int, j int, side int, grp long", ", xh long, bands array<long>, mark binary"
+    asked = settle(by_run(dealt.join(single, "grp").select("key", "i", "j", "side", "grp", "xh", "bands", "mark")).mapInArrow(_asked, named + marked))
+    names = settle(asked.select("grp", "xh").distinct())
+    sets = texts.mapInArrow(_gram_sets(_bitmap(names)), "xh long, grams binary").join(names, "xh").dropDuplicates(["grp"]).select("grp", "grams")
+    links = settle(by_run(asked.drop("xh").join(sets, "grp").select("key", "i", "j", "side", "grp", "bands", "mark", "grams")).mapInArrow(_linked, "a long, b long"))
+    drop_settled(asked, names)
+    return links
+
+
+def _apart(full: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, i, j, side, grp) for what is still to be compared of bands of several blocks. full: key, grp; groups: node, component.
+
+    Texts that are connected already need no comparison. So the texts outside a band's largest component, in blocks of
+    their own, meet each other and the blocks of that component; its own blocks don't meet.
+    """
+    known = settle(full.join(groups.withColumnRenamed("node", "grp"), "grp", "left").select("key", "grp", F.coalesce("component", "grp").alias("c")))
+    counts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).where("n > most")
+    blocks = lambda rows: F.ceil(rows / BLOCK_ROWS).cast("int")
+    main = settle(main.select("key", "main", "n", blocks(F.col("n") - F.col("most")).alias("few"), blocks(F.col("most")).alias("many")))
+    met = join_spread(known, main, "key")
+    place = lambda n: F.pmod(F.xxhash64("grp", F.lit(7)), F.col(n)).cast("int")
+    outside = met.where("c <> main").select("key", "grp", place("few").alias("side"), F.explode(F.expr("sequence(0, few + many - 1)")).alias("other"))
+    inside = met.where("c = main").select("key", "grp", (F.col("few") + place("many")).alias("side"), F.explode(F.expr("sequence(0, few - 1)")).alias("other"))
+    rest = settle(outside.unionByName(inside).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "grp"))
+    drop_settled(known, main)
+    return rest
+
+
 def near_copy_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(grp, cluster) of each text that has a near copy; cluster: the least grp connected.
 
@@ -203,20 +237,26 @@ def near_copy_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     Texts that share a band and most of their signatures' bytes are candidates. First they are only named (a row a text
     and band, however many it is like), then their shingle sets come to the bands and a link counts by the exact
-    similarity; a band gives a spanning forest, never its pairs. A pair is looked at in the first band it shares. A band
-    of over BLOCK_ROWS different texts is dealt to pairs of blocks: exact, and quadratic in such a band's texts alone.
+    similarity; a band gives a spanning forest, never its pairs. A pair is looked at in the first band it shares.
+
+    A band of over BLOCK_ROWS different texts is dealt to blocks, which are compared inside first. What that leaves
+    unconnected is then compared to the rest of the band: exact, linear in a large group of near copies, and quadratic
+    only in the texts of one band that aren't connected to its largest group.
     """
     single = settle(rows.where("size > 0").groupBy("grp").agg(F.first(F.struct("xh", "bands", "mark")).alias("s")).select("grp", "s.*"))
-    keyed = single.select("grp", F.explode("bands").alias("key")).repartition("key")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("side", F.pmod(F.xxhash64("grp", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "grp")
-    by_run = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    named, marked = "key long, i int, j int, side int, grp long", ", xh long, bands array<long>, mark binary"
-    asked = settle(by_run(settle(dealt).join(single, "grp").select("key", "i", "j", "side", "grp", "xh", "bands", "mark")).mapInArrow(_asked, named + marked))
-    names = settle(asked.select("grp", "xh").distinct())
-    sets = texts.mapInArrow(_gram_sets(_bitmap(names)), "xh long, grams binary").join(names, "xh").dropDuplicates(["grp"]).select("grp", "grams")
-    links = settle(by_run(asked.drop("xh").join(sets, "grp").select("key", "i", "j", "side", "grp", "bands", "mark", "grams")).mapInArrow(_linked, "a long, b long"))
-    groups = connected_components(links).select(F.col("node").alias("grp"), F.col("component").alias("cluster"))
-    drop_settled(single, asked, names, links)
+    keyed = single.select("grp", F.explode("bands").alias("key"))
+    hot = frequent(keyed, "key")
+    seldom = keyed.join(F.broadcast(hot.select("key")), "key", "left_anti").repartition("key")
+    sizes = seldom.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = seldom.join(sizes, "key").unionByName(keyed.join(F.broadcast(hot.where("n > 1")), "key"))
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    dealt = settle(sized.select("key", "grp", (blocks > 1).alias("full"), F.pmod(F.xxhash64("grp", F.lit(7)), blocks).cast("int").alias("side")))
+    links = [_links(dealt.select("key", F.col("side").alias("i"), F.col("side").alias("j"), "side", "grp"), single, texts)]
+    full = dealt.where("full").select("key", "grp")
+    if not full.isEmpty():
+        rest = _apart(full, connected_components(links[0]))
+        links.append(_links(rest, single, texts))
+        drop_settled(rest)
+    groups = connected_components(reduce(DataFrame.unionAll, links)).select(F.col("node").alias("grp"), F.col("component").alias("cluster"))
+    drop_settled(single, dealt, *links)
     return groups

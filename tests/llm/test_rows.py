@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pytest
 
-from graphweft.llm import mixing, near_copies, packing, urls
+from graphweft.llm import common, mixing, near_copies, packing, urls
 
 corpus_pipeline = importlib.import_module("corpus_pipeline")
 
@@ -126,6 +126,47 @@ def test_near_copies_share_no_bin(spark, monkeypatch, block_rows):
     assert len({(r["bin_id"], label[i]) for i, r in got.items()}) == len(rows)
 
 
+def test_frequent_keys_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(8)
+    keys = [7] * 600 + [9] * 90 + [rng.randrange(10**6) for _ in range(700)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "at long, k long")
+    table = spark.createDataFrame([(k, keys.count(k), -k) for k in set(keys)], "k long, n long, value long")
+    for least in (1, 3, 40, 2048):
+        monkeypatch.setattr(common, "FREQUENT", least)
+        want = {k: keys.count(k) for k in keys if keys.count(k) * least > len(keys)}
+        assert {r["k"]: r["n"] for r in common.frequent(rows, "k").collect()} == want and len(want) < max(2, least)
+        joined = common.join_spread(rows, table, "k")
+        assert set(joined.columns) == {"at", "k", "value"}
+        assert sorted((r["at"], r["value"]) for r in joined.collect()) == [(i, -k) for i, k in enumerate(keys)]
+    assert common.frequent(rows.where("false"), "k").collect() == common.join_spread(rows.where("false"), table.where("false"), "k").collect() == []
+
+
+def test_links_between_the_blocks_of_a_band_are_found(spark, monkeypatch):
+    """One large group of near copies, and chains that meet it and each other only in other blocks of its bands."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 6)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [[*base[:k], f"x{k}", *base[k + 1 :]] for k in range(60)]  # a word changed: all near each other
+    for start in range(3):  # a word more at a step: near only to the last steps, the first near to the large group
+        own = list(base)
+        for step in range(24):
+            own = list(own)
+            own[6 * step + start] = f"y{start}.{step}"
+            if start != 2 or step > 15:  # the third chain lacks what leads to the group
+                texts.append(own)
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 10 * len(x & sets[j]) >= 8 * len(x | sets[j]) and label[i] != label[j]:
+                label = [label[j] if c == label[i] else c for c in label]
+    assert 1 < len(set(label)) < 10
+    got = packing.pack(spark.createDataFrame([(i, " ".join(t), f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    groups = [r["group_id"] for r in sorted(got, key=lambda r: r["doc_id"])]
+    assert len(set(zip(label, groups, strict=True))) == len(set(label)) == len(set(groups))
+
+
 def test_long_runs_of_a_band_are_compared_like_short_ones():
     rng = random.Random(15)
     words = [f"w{i}" for i in range(120)]
