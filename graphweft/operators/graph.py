@@ -130,7 +130,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         behind, ahead = F.coalesce("c", "onward"), F.coalesce("d", "into")
         joins = met.where(behind == ahead).select("node", behind.alias("c"), "onward").distinct()
         groups = settle(groups.unionAll(joins.select("node", "c")).unionAll(joins.select(F.col("onward").alias("node"), "c")).distinct())
-    least = groups.groupBy("c").agg(F.min("node").alias("component"))
+    groups = settle(groups)
+    least = settle(groups.groupBy("c").agg(F.min("node").alias("component")))  # written, so that a component with most nodes can be split in the join
     named = groups.join(least, "c").select("node", "component")
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
