@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import chat, embed_dedup, licenses, mixing, packing, secrets, simhash, topk, toxicity, urls
+from graphweft.llm import chat, embed_dedup, licenses, merkle, mixing, packing, secrets, simhash, spelling, tokens, topk, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,9 +65,32 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by the vocabulary of piece_bpe_32k.model."""
+    import public_tokenizers
+
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents."""
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with a proof each."""
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_exact_top_k, op4_chat_formatting, op5_license_scans, op6_secret_scans, op7_source_mixing, op8_toxicity, op9_simhash_near_dedup, op10_url_filters)
-}
-#: The others have none: XXH64, spans of matches, trained models and packing have no counterpart in SQL.
-ORACLE_SQL = {"op2_embedding_near_dedup": embed_dedup.SQL, "op3_exact_top_k": topk.SQL, "op4_chat_formatting": chat.SQL, "op7_source_mixing": mixing.SQL}
+    for f in (
+        op1_best_fit_packing, op2_embedding_near_dedup, op3_exact_top_k, op4_chat_formatting, op5_license_scans, op6_secret_scans, op7_source_mixing,
+        op8_toxicity, op9_simhash_near_dedup, op10_url_filters, op11_token_counts, op12_spelling_variants, op13_merkle_manifest,
+    )
+}
+#: The others have none: XXH64, spans of matches, trained models, packing and tokenizers have no counterpart in SQL.
+ORACLE_SQL = {
+    "op2_embedding_near_dedup": embed_dedup.SQL, "op3_exact_top_k": topk.SQL, "op4_chat_formatting": chat.SQL, "op7_source_mixing": mixing.SQL,
+    "op12_spelling_variants": spelling.SQL, "op13_merkle_manifest": merkle.SQL,
+}
