@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.operators.edges import code_flow
-from graphweft.storage import drop_settled, new_path, settle
+from graphweft.operators.longest import LONGEST, carried
+from graphweft.operators.order import numbered
+from graphweft.storage import drop_settled, settle
 
 
 #: Hops after which the files of a traversal's visited nodes are made one.
@@ -145,50 +149,113 @@ def cycle_boxes(edges: DataFrame, parent: DataFrame) -> DataFrame:
     return groups.join(sizes, "component").join(parent, "node").select("container", F.col("component").alias("box"), "node")
 
 
+class _Remains:
+    """Items of one container that are in cycles or between them, with the items still before and behind each."""
+
+    def __init__(self, pairs) -> None:
+        self.ahead: dict[str, set] = {}
+        self.behind: dict[str, set] = {}
+        for a, b in pairs:
+            for x in (a, b):
+                self.ahead.setdefault(x, set())
+                self.behind.setdefault(x, set())
+            self.ahead[a].add(b)
+            self.behind[b].add(a)
+        self.pull = [(self._rank(x), x) for x in self.ahead]
+        heapify(self.pull)
+
+    def _rank(self, x: str) -> int:
+        return len(self.behind[x]) - len(self.ahead[x])
+
+    def without(self, x: str, ends: dict[str, set], others: dict[str, set]) -> list[str]:
+        """Takes x out; the items that have nothing left in ends then. others: the opposite direction."""
+        freed = []
+        for y in others.pop(x):
+            ends[y].discard(x)
+            if not ends[y]:
+                freed.append(y)
+            heappush(self.pull, (self._rank(y), y))
+        for y in ends.pop(x):
+            others[y].discard(x)
+            heappush(self.pull, (self._rank(y), y))
+        return freed
+
+    def cut(self) -> str:
+        """The item with most ahead of it less behind it, the first by name of equals; ranks that have changed are passed over."""
+        while True:
+            rank, x = heappop(self.pull)
+            if x in self.ahead and self._rank(x) == rank:
+                return x
+
+    def order(self) -> tuple[list[str], list[str]]:
+        """(front, end backwards) of all items."""
+        front, back = [], []
+        ready = {True: [], False: []}  # items with nothing ahead, and with nothing behind, for the next pass
+        while self.ahead:
+            x = self.cut()
+            front.append(x)
+            self._release(x, ready)
+            while ready[True] or ready[False]:
+                for ending, line, ends, others in ((True, back, self.ahead, self.behind), (False, front, self.behind, self.ahead)):
+                    now, ready[ending] = ready[ending], []
+                    heapify(now)
+                    while now:  # by name; what becomes free behind the pass's place waits for the next one
+                        x = heappop(now)
+                        if x not in ends or ends[x]:
+                            continue
+                        line.append(x)
+                        lone = [y for y in ends[x] | others[x]]
+                        for y in self.without(x, ends, others):
+                            heappush(now, y) if y > x else ready[ending].append(y)
+                        ready[not ending] += [y for y in lone if y in others and not others[y]]
+        return front, back
+
+    def _release(self, x: str, ready: dict[bool, list]) -> None:
+        about = self.ahead[x] | self.behind[x]
+        self.without(x, self.ahead, self.behind)
+        ready[True] += [y for y in about if not self.ahead[y]]
+        ready[False] += [y for y in about if not self.behind[y]]
+
+
+def _remains(pdf: pd.DataFrame) -> pd.DataFrame:
+    front, back = _Remains(zip(pdf["src"], pdf["dst"], strict=True)).order()
+    return pd.DataFrame({"container": pdf["container"].iloc[0], "node": front + back, "side": [1] * len(front) + [2] * len(back), "turn": [*range(len(front)), *(-i for i in range(len(back)))]})
+
+
 def acyclic_order(edges: DataFrame, container: str = "container") -> DataFrame:
     """(container, node, position): a topological order of each container's items, cycles cut greedily.
 
     Whole passes over the items by name put sinks at the end and then sources at the front, as long as any is left; with
     neither, the item with most outgoing less incoming wires comes next, the first by name of equals. Several wires
-    between two items count as one. One container's items are one group: containers are folders, whose size a person has
-    to look at.
-    """
+    between two items count as one.
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, set] = {}
-        into: dict[str, set] = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            for x in (a, b):
-                out.setdefault(x, set()), into.setdefault(x, set())
-            if a != b:
-                out[a].add(b)
-                into[b].add(a)
-        head, tail, left = [], [], dict.fromkeys(sorted(out))
-
-        def put(x, line):
-            line.append(x)
-            del left[x]
-            for y in out[x]:
-                into[y].discard(x)
-            for y in into[x]:
-                out[y].discard(x)
-
-        while left:
-            free = True
-            while free:
-                free = False
-                for ways, line in ((out, tail), (into, head)):
-                    for x in list(left):
-                        if not ways[x]:
-                            put(x, line)
-                            free = True
-            if left:
-                most = max(len(out[x]) - len(into[x]) for x in left)
-                put(next(x for x in left if len(out[x]) - len(into[x]) == most), head)
-        nodes = head + tail[::-1]
-        return pd.DataFrame({container: pdf[container].iloc[0], "node": nodes, "position": range(len(nodes))})
-
-    return edges.select(container, "src", "dst").groupBy(container).applyInPandas(order, f"{container} string, node string, position long")
+    Which pass takes an item is a longest way: an item goes in the pass of the item that it waits for, or one later if
+    that comes after it by name. So all that no cycle leads to, or that leads to none, is placed by carried() in rounds,
+    whatever a container's size, and numbered by ranges; only what is in cycles or between them is one task's a
+    container.
+    """
+    pairs = settle(edges.where("src is not null and dst is not null").select(F.col(container).alias("container"), "src", "dst").distinct())
+    wires = settle(pairs.where("src <> dst"))
+    nodes = settle(pairs.select("container", F.col("src").alias("node")).unionByName(pairs.select("container", F.col("dst").alias("node"))).distinct())
+    item = lambda c: F.struct("container", F.col(c).alias("node"))
+    named = nodes.select(item("node").alias("node"), F.lit(0).cast("long").alias("turn"))
+
+    def passes(first: str, then: str) -> DataFrame:
+        waits = wires.select(item(first).alias("src"), item(then).alias("dst"), F.when(F.col(first) > F.col(then), 1).otherwise(0).alias("w"))
+        return carried(named, waits, {"turn": LONGEST}).select("node.*", "turn")
+
+    ends, fronts = passes("dst", "src"), passes("src", "dst")
+    met = settle(ends.withColumnRenamed("turn", "end").join(fronts.withColumnRenamed("turn", "front"), ["container", "node"], "full"))
+    backwards = F.col("front").isNull() | (F.col("end") <= F.col("front"))
+    # side 0: front; 1, 2: what is left, to the front and to the end; 3: end, last passes first.
+    placed = met.select("container", "node", F.when(backwards, 3).otherwise(0).alias("side"), F.when(backwards, -F.col("end")).otherwise(F.col("front")).alias("turn"), backwards.alias("back"))
+    known = placed.select("container", "node")
+    left = wires.join(known.withColumnRenamed("node", "src"), ["container", "src"], "left_anti").join(known.withColumnRenamed("node", "dst"), ["container", "dst"], "left_anti")
+    rest = left.groupBy("container").applyInPandas(_remains, "container string, node string, side int, turn long")
+    every = placed.unionByName(rest.withColumn("back", F.lit(False)))
+    # Inside a pass names rise; the end is read backwards, so they fall there.
+    placed = numbered(every, "container", "side", "turn", F.when(~F.col("back"), F.col("node")).asc_nulls_first(), F.when(F.col("back"), F.col("node")).desc_nulls_first())
+    return placed.select(F.col("container").alias(container), "node", F.col("place").alias("position"))
 
 
 def layer_order(layers: DataFrame, edges: DataFrame, sweeps: int = 4) -> DataFrame:
@@ -210,24 +277,17 @@ def layer_order(layers: DataFrame, edges: DataFrame, sweeps: int = 4) -> DataFra
 
 
 def longest_layers(edges: DataFrame) -> DataFrame:
-    """(node, layer) of an acyclic graph (src, dst): the longest way to a node, which is the round in which no edge to it is left.
+    """(node, layer) of an acyclic graph (src, dst): the longest way to a node.
 
-    A cycle is a ValueError, found once all that doesn't come after it is placed.
+    Chains and trees take rounds by the logarithm of their depth (see carried). A cycle is a ValueError. Null ends lead
+    nowhere; the null node is of layer 0.
     """
-    spark, path = edges.sparkSession, new_path(edges.sparkSession)
-    nodes = settle(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct())
-    left, layer, schema = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct()), 0, nodes.withColumn("layer", F.lit(0)).schema
-    while True:
-        ends = left.select(F.col("dst").alias("node")).distinct()
-        free, rest = settle(nodes.join(ends, "node", "left_anti")), settle(nodes.join(ends, "node", "left_semi"))
-        if free.isEmpty() and not rest.isEmpty():
-            raise ValueError("the graph has a cycle")
-        free.withColumn("layer", F.lit(layer)).write.mode("append").parquet(path)
-        if rest.isEmpty():
-            return spark.read.schema(schema).parquet(path)
-        following = settle(left.join(rest.select(F.col("node").alias("src")), "src", "left_semi"))
-        drop_settled(left, nodes, free)
-        left, nodes, layer = following, rest, layer + 1
+    edges = settle(edges.select("src", "dst").distinct())
+    nodes = settle(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct().withColumn("layer", F.lit(0).cast("long")))
+    found = carried(nodes, edges.withColumn("w", F.lit(1)), {"layer": LONGEST}).unionByName(nodes.where("node is null"))
+    if found.count() < nodes.count():
+        raise ValueError("the graph has a cycle")
+    return found.select("node", F.col("layer").cast("int").alias("layer"))
 
 
 def flow_layers(entries: DataFrame, links: DataFrame, layers: int = 12, steps: int = 400) -> DataFrame:
