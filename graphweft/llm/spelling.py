@@ -18,6 +18,8 @@ DROPPED = 31
 SHARD_WORDS = 1 << 15
 #: A segment of more words than this is looked for together with more of the word (see near_words).
 SEGMENT_WORDS = 512
+#: And one that more words than this are to be looked up for.
+SEGMENT_ROWS = 8192
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,7 +76,7 @@ def _refined(rows: DataFrame, level: int) -> DataFrame:
 
 
 class Shard:
-    """An automaton of segments, and the words that hold each."""
+    """An automaton of segments, and the words that hold each, by length, pattern and the quarters of what the segment leaves open."""
 
     def __init__(self) -> None:
         self.segments: dict[str, tuple[int, dict, dict]] = {}
@@ -82,9 +84,12 @@ class Shard:
 
     def hold(self, word: str, n: int, p: int, q: int) -> None:
         """word is looked for where its first p and last q code points are intact; the longer of the two is its segment."""
-        segment = word[:p] if p >= q else word[len(word) - q :]
+        length, half = len(word), (len(word) - p - q) // 2
+        segment = word[:p] if p >= q else word[length - q :]
         _, heads, tails = self.segments.setdefault(segment, (len(segment), {}, {}))
-        (heads if p >= q else tails).setdefault(len(word), []).append((word, n, p, q))
+        begins, ends = (heads if p >= q else tails).setdefault((length, p, q), ({}, {}))
+        begins.setdefault(word[p : p + half], []).append((word, n))
+        ends.setdefault(word[p + half : length - q], []).append((word, n))
 
     def near(self, word: str):
         """(word, n) of the held words at distance 1, each at the one of its patterns between whose parts the difference lies."""
@@ -95,14 +100,20 @@ class Shard:
             self.automaton.make_automaton()
         if not self.segments:
             return
-        length = len(word)
-        for end, (size, heads, tails) in self.automaton.iter(word):
-            for at, by_length in ((end + 1 == size, heads), (end + 1 == length, tails)):
-                if at and by_length:
-                    for other in (length - 1, length, length + 1):
-                        for held, n, p, q in by_length.get(other, ()):
+        size = len(word)
+        for end, (width, heads, tails) in self.automaton.iter(word):
+            for fits, groups in ((end + 1 == width, heads), (end + 1 == size, tails)):
+                if not fits:
+                    continue
+                for (length, p, q), (begins, ends) in groups.items():
+                    if abs(length - size) > 1:
+                        continue
+                    middle = p + (length - p - q) // 2
+                    # Either the first half of what is open is intact as well, and the difference behind it, or the second.
+                    for found, least, most in ((begins.get(word[p:middle]), middle, length - q), (ends.get(word[size - length + middle : size - q]), p, middle)):
+                        for held, n in found or ():
                             place = difference(held, word)
-                            if place is not None and p <= place < other - q:
+                            if place is not None and least <= place < most:
                                 yield held, n
 
 
@@ -142,17 +153,18 @@ def near_words(known: DataFrame) -> DataFrame:
     of compatible length would have; a match counts if its offset and length fit and the distance is one. The difference
     lies between the parts of exactly one pattern of a word, so no pair is found twice.
 
-    A segment of over SEGMENT_WORDS words is looked for with a quarter more of the word at its beginning or its end, and
-    so on: in the end only one code point is left open, so that a pattern has few words, however many share a half.
+    A segment of over SEGMENT_WORDS words, or for which over SEGMENT_ROWS ask, is looked for with a quarter more of the
+    word at its beginning or its end, and so on: in the end only one code point is left open, so that a pattern has few
+    words, however many share a half.
     """
     rows, level, parts = settle(_routes(known)), 0, []
     while True:
         sizes = settle(rows.groupBy("key").agg(F.count_if("held").alias("words"), F.count_if(F.col("held") & (F.col("length") - F.col("p") - F.col("q") > 1)).alias("open"), F.count(F.lit(1)).alias("n_rows")))
-        full = sizes.where((F.col("words") > SEGMENT_WORDS) & (F.col("open") > 0))
-        if full.isEmpty():
+        full = ((F.col("words") > SEGMENT_WORDS) | (F.col("n_rows") > SEGMENT_ROWS)) & (F.col("open") > 0)
+        if sizes.where(full).isEmpty():
             parts.append(rows)
             break
-        marked = settle(join_spread(rows, sizes.select("key", ((F.col("words") > SEGMENT_WORDS) & (F.col("open") > 0)).alias("full"), "n_rows"), "key", "n_rows"))
+        marked = settle(join_spread(rows, sizes.select("key", full.alias("full"), "n_rows"), "key", "n_rows"))
         drop_settled(rows, sizes)
         parts.append(marked.where("not full").drop("full"))
         rows, level = settle(_refined(marked.where("full"), level)), level + 1
