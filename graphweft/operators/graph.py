@@ -5,11 +5,12 @@ from __future__ import annotations
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.operators.edges import code_flow
-from graphweft.operators.longest import LONGEST, carried
+from graphweft.operators.longest import FEW, LONGEST, carried
 from graphweft.operators.order import numbered
 from graphweft.storage import drop_settled, settle
 
@@ -81,18 +82,58 @@ def _bypassed(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return settle(moved.where("src <> dst").select("src", "dst").distinct()), settle(left_out)
 
 
+def _components_in_one_task(left: DataFrame) -> DataFrame:
+    """(node, c) of edges (src, dst), FEW at most: c is one node of each component. By two searches, the second one backwards."""
+    key = lambda c: F.to_json(F.struct(F.col(c).alias("k")))
+
+    def run(batches):
+        ahead, behind = {}, {}
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ahead.setdefault(a, []).append(b)
+                behind.setdefault(b, []).append(a)
+        order, seen = [], set()
+        for first in ahead:
+            todo = [(first, iter(ahead[first]))] if first not in seen else []
+            seen.add(first)
+            while todo:
+                node, onward = todo[-1]
+                following = next((x for x in onward if x not in seen), None)
+                if following is None:
+                    order.append(node)
+                    todo.pop()
+                else:
+                    seen.add(following)
+                    todo.append((following, iter(ahead.get(following, ()))))
+        of = {}
+        for root in reversed(order):
+            todo = [root] if root not in of else []
+            while todo:
+                node = todo.pop()
+                if node not in of:
+                    of[node] = root
+                    todo += [x for x in behind.get(node, ()) if x not in of]
+        if of:
+            yield pa.RecordBatch.from_arrays([pa.array(list(of)), pa.array(list(of.values()))], ["_key", "_c"])
+
+    named = left.select(F.col("src").alias("node")).unionAll(left.select("dst")).distinct().withColumn("_key", key("node"))
+    found = left.select(key("src"), key("dst")).coalesce(1).mapInArrow(run, "_key string, _c string")
+    return named.join(found, "_key").join(named.select(F.col("_key").alias("_c"), F.col("node").alias("c")), "_c").select("node", "c")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each strongly connected component of (src, dst).
 
     Nodes without a way in or out among the remaining go at once, each a component of its own; nodes with one way out
     are bypassed, until few are. On what is left colours (the largest ancestor) spread forwards, and what reaches its
     colour's root backwards inside the colour is a component. A bypassed node belongs to the component behind it if a
-    node before it does. Rounds follow the logarithm of chains and cycles, and the width of what has many ways.
+    node before it does. Rounds follow the logarithm of chains and cycles, and the width of what has many ways. Once FEW
+    edges are left, one task finishes them.
     """
     left = settle(edges.where("src <> dst").select("src", "dst").distinct())
     nodes = settle(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct())
     found, levels, number = [], [], left.count()
-    while number:
+    while number > FEW:
         kept = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         shorter, left_out = _bypassed(kept, len(levels))
         levels.append(left_out)
@@ -100,7 +141,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         before, left, number = number, shorter, shorter.count()
         if number > 0.95 * before:
             break
-    while not left.isEmpty():
+    while number := left.count():
+        if number <= FEW:
+            found.append(settle(_components_in_one_task(left)))
+            break
         while True:  # trim
             kept = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             same = kept.count() == left.count()
@@ -246,7 +290,7 @@ def acyclic_order(edges: DataFrame, container: str = "container") -> DataFrame:
 
     ends, fronts = passes("dst", "src"), passes("src", "dst")
     met = settle(ends.withColumnRenamed("turn", "end").join(fronts.withColumnRenamed("turn", "front"), ["container", "node"], "full"))
-    backwards = F.col("front").isNull() | (F.col("end") <= F.col("front"))
+    backwards = F.col("front").isNull() | F.coalesce(F.col("end") <= F.col("front"), F.lit(False))
     # side 0: front; 1, 2: what is left, to the front and to the end; 3: end, last passes first.
     placed = met.select("container", "node", F.when(backwards, 3).otherwise(0).alias("side"), F.when(backwards, -F.col("end")).otherwise(F.col("front")).alias("turn"), backwards.alias("back"))
     known = placed.select("container", "node")

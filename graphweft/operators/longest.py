@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from graphweft.storage import drop_settled, settle
 LONGEST, GREATEST, MARKS = "longest", "greatest", "marks"
 
 
+#: So many nodes and edges at most that are left of a graph are finished in one task.
+FEW = 1 << 16
+
+
 class _Kinds:
     """Column expressions over the values' kinds."""
 
@@ -54,6 +61,41 @@ def _jumped(single: DataFrame, kinds: _Kinds) -> DataFrame:
     return now
 
 
+def _in_one_task(left: DataFrame, ways: DataFrame, kinds: _Kinds) -> DataFrame:
+    """(node, values) as carried() gives them, of FEW nodes and edges at most: by a queue of what has no way in any more."""
+    key = lambda c: F.to_json(F.struct(F.col(c).alias("k")))
+    keyed = left.withColumn("_key", key("node"))
+    rows = keyed.select("_key", F.lit(None).cast("string").alias("_to"), F.lit(None).cast("long").alias("_w"), *kinds.names)
+    rows = rows.unionByName(ways.select(key("src").alias("_key"), key("dst").alias("_to"), F.col("w").alias("_w")), allowMissingColumns=True)
+    how = list(kinds.values.values())
+
+    def run(batches):
+        values, ahead, into = {}, defaultdict(list), defaultdict(int)
+        for batch in batches:
+            for k, to, w, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if to is None:
+                    values[k] = own
+                else:
+                    ahead[k].append((to, w))
+                    into[to] += 1
+        free, out = deque(k for k in values if not into[k]), []
+        while free:
+            k = free.popleft()
+            out.append((k, *values[k]))
+            for to, w in ahead[k]:
+                has = values[to]
+                for i, (kind, x) in enumerate(zip(how, values[k], strict=True)):
+                    has[i] = has[i] | x if kind == MARKS else max(has[i], x + w if kind == LONGEST else x)
+                into[to] -= 1
+                if not into[to]:
+                    free.append(to)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["_key", *kinds.names])
+
+    found = rows.coalesce(1).mapInArrow(run, ", ".join(["_key string", *(f"{n} long" for n in kinds.names)]))
+    return keyed.select("node", "_key").join(found, "_key").select("node", *kinds.names)
+
+
 def carried(nodes: DataFrame, edges: DataFrame, values: dict[str, str]) -> DataFrame:
     """(node, values) of every node that no cycle leads to: its own values and all that come to it along the edges.
 
@@ -63,13 +105,17 @@ def carried(nodes: DataFrame, edges: DataFrame, values: dict[str, str]) -> DataF
     hang on is; else ways out of them lead out of that node instead, with the weights added, which makes no more edges,
     and in the end they get their values from it.
     So chains and trees take rounds by the logarithm of their depth, others one for each node that ways meet in, in a
-    row. A node with a large part of all edges is no task's (see join_spread). Null ends are ignored.
+    row. Once FEW nodes and edges are left, one task finishes them. A node with a large part of all edges is no task's (see
+    join_spread). Null ends are ignored.
     """
     kinds = _Kinds(values)
     ways = settle(edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.max("w").cast("long").alias("w")))
     left = settle(nodes.where("node is not null").select("node", *kinds.names))
     done, waiting = left.select("node", *kinds.names).where("false"), []
     while True:
+        if ways.count() <= FEW and left.count() <= FEW:
+            done = done.unionByName(_in_one_task(left, ways, kinds))
+            break
         into = ways.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to"), F.max("w").alias("w"))
         known = settle(left.join(into, "node", "left"))
         free, single = known.where("n is null"), known.where("n = 1")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphweft.operators import edges as E
 from graphweft.operators import graph as G
+from graphweft.operators import reachability as R
 from graphweft.plans.adapters import adapted
 from graphweft.plans.registry import query
 
@@ -432,3 +433,15 @@ def project_stats(spark, sf):
 @query("SELECT DISTINCT source, target FROM links WHERE tier IN ('Proven', 'PossibleSet')", "links")
 def usable_links(spark, sf):
     return E.usable_links(adapted(spark, sf, "links"))
+
+
+@query(
+    """WITH asked AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST((o_orderkey * 31 + o_custkey) % (SELECT max(c_custkey) + 1 FROM customer) AS BIGINT) AS b FROM orders),
+    found(a, node) AS (SELECT a, a FROM asked UNION SELECT f.a, dst FROM found f JOIN ring ON src = node)
+    SELECT a, b, EXISTS (SELECT 1 FROM found f WHERE f.a = q.a AND f.node = q.b) AS reaches FROM asked q""",
+    "ring",
+)
+def trace_pairs(spark, sf):
+    o, c = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/customer.parquet")
+    pairs = o.join(c.agg((F.max("c_custkey") + 1).alias("n"))).selectExpr("cast(o_custkey as long) a", "cast((o_orderkey * 31 + o_custkey) % n as long) b")
+    return R.trace_pairs(pairs, R.reach_index(adapted(spark, sf, "ring"))).select("a", "b", "reaches")
