@@ -38,8 +38,9 @@ class TemplateError(ValueError):
     """A template that doesn't parse, or one that asks for what the sandbox doesn't hold."""
 
 
-#: The longest string that + makes, the largest number, and how deep loops and expressions stand in each other.
-MAX_CHARS, MAX_NUMBER, MAX_LOOPS, MAX_DEPTH = 1 << 24, 2**63 - 1, 3, 60
+#: The longest string of constants, the values that + and ~ put together in one string, the largest number, and how deep
+#: loops and expressions stand in each other. All but the number are bounds on templates, not on what conversations hold.
+MAX_CHARS, MAX_VALUES, MAX_NUMBER, MAX_LOOPS, MAX_DEPTH = 1 << 20, 1024, 2**63 - 1, 3, 60
 
 
 def _number(x) -> int:
@@ -56,8 +57,6 @@ def _bounded(x: int) -> int:
 
 def _plus(a, b):
     if isinstance(a, str) and isinstance(b, str):
-        if len(a) + len(b) > MAX_CHARS:
-            raise TemplateError("a string is too long")
         return a + b
     return _bounded(_number(a) + _number(b))
 
@@ -98,13 +97,14 @@ FILTERS: dict[str, Callable] = {
     "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "length": _length, "string": _text,
 }
 OPERATORS: dict[str, Callable] = {
-    "+": _plus, "-": lambda a, b: _bounded(_number(a) - _number(b)), "%": _rest, "in": _within, "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
+    "+": _plus, "-": lambda a, b: _bounded(_number(a) - _number(b)), "%": _rest, "~": lambda a, b: _text(a) + _text(b), "in": _within, "not in": lambda a, b: not _within(a, b), "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
     "<": _before, ">": lambda a, b: _before(b, a), "<=": lambda a, b: not _before(b, a), ">=": lambda a, b: not _before(a, b),
 }
-BINDING = (("or",), ("and",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "%"))
-TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z]\w*)|(?P<op>==|!=|<=|>=|[-+%<>|.()\[\]=]))""")
+#: From the loosest: "not" stands between these two rows, comparisons between that and the second.
+LOOSE, COMPARED, TIGHT = (("or",), ("and",)), ("==", "!=", "<", ">", "<=", ">=", "in", "not", "is"), (("+", "-"), ("~",), ("%",))
+TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z]\w*)|(?P<op>==|!=|<=|>=|[-+%~<>|.:()\[\]=]))""")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
-KEYWORDS = {"and", "or", "not", "in"}
+KEYWORDS = {"and", "or", "not", "in", "is", "if", "else"}
 CONSTANTS = {"true": True, "false": False, "none": None}
 
 
@@ -134,27 +134,64 @@ class Expression:
         return None
 
     def whole(self) -> tuple:
-        tree = self.binary(0)
+        tree = self.choice()
         if self.at < len(self.tokens):
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
         return tree
 
-    def binary(self, level: int) -> tuple:
-        if level == len(BINDING):
-            self.depth += 1
-            if self.depth > MAX_DEPTH:
-                raise TemplateError("an expression is nested too deep")
-            tree = self.unary()
-            self.depth -= 1
-            return tree
-        left = self.binary(level + 1)
-        while op := self.take(*BINDING[level]):
-            left = fold((op, left, self.binary(level + 1)))
+    def deeper(self, part: Callable[[], tuple]) -> tuple:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise TemplateError("an expression is nested too deep")
+        tree = part()
+        self.depth -= 1
+        return tree
+
+    def choice(self) -> tuple:
+        """One value if a test holds, else another, or none."""
+        tree = self.binary(LOOSE, 0, self.negated)
+        while self.take("if"):
+            test = self.binary(LOOSE, 0, self.negated)
+            other = self.deeper(self.choice) if self.take("else") else ("const", None)
+            tree = fold(("choice", test, tree, other))
+        return tree
+
+    def binary(self, rows: tuple, level: int, part: Callable[[], tuple]) -> tuple:
+        if level == len(rows):
+            return self.deeper(part)
+        left = self.binary(rows, level + 1, part)
+        while op := self.take(*rows[level]):
+            left = fold((op, left, self.binary(rows, level + 1, part)))
         return left
 
-    def unary(self) -> tuple:
+    def negated(self) -> tuple:
         if self.take("not"):
-            return fold(("not", self.binary(len(BINDING))))
+            return fold(("not", self.deeper(self.negated)))
+        return self.comparison()
+
+    def comparison(self) -> tuple:
+        """a < b < c holds if both do; "is" asks whether there is something."""
+        left, tree = self.binary(TIGHT, 0, self.unary), None
+        while op := self.take(*COMPARED):
+            if op == "is":
+                negative = bool(self.take("not"))
+                asked = self.take("defined", "none")
+                if not asked:
+                    raise TemplateError("only defined and none can be asked for")
+                one = fold((asked, left))
+                one = fold(("not", one)) if negative else one
+            else:
+                if op == "not":
+                    self.expect("in")
+                    op = "not in"
+                right = self.binary(TIGHT, 0, self.unary)
+                one, left = fold((op, left, right)), right
+            tree = one if tree is None else fold(("and", tree, one))
+        return left if tree is None else tree
+
+    def unary(self) -> tuple:
+        if self.take("-"):
+            return fold(("-", ("const", 0), self.deeper(self.unary)))
         tree = self.atom()
         while True:
             if self.take("."):
@@ -162,10 +199,9 @@ class Expression:
                 if kind != "name":
                     raise TemplateError("a name must follow a dot")
                 self.at += 1
-                tree = ("item", tree, ("const", name))
+                tree = fold(("item", tree, ("const", name)))
             elif self.take("["):
-                tree = fold(("item", tree, self.binary(0)))
-                self.expect("]")
+                tree = self.place(tree)
             elif self.take("|"):
                 kind, name = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
                 if name not in FILTERS:
@@ -175,13 +211,25 @@ class Expression:
             else:
                 return tree
 
+    def place(self, tree: tuple) -> tuple:
+        """What follows an opening bracket: one key, or the two ends of a slice, either of which may be missing."""
+        none = ("const", None)
+        first = none if self.peek(":") else self.choice()
+        if self.take(":"):
+            last = none if self.peek("]") else self.choice()
+            tree = fold(("slice", tree, first, last))
+        else:
+            tree = fold(("item", tree, first))
+        self.expect("]")
+        return tree
+
     def expect(self, value: str) -> None:
         if not self.take(value):
             raise TemplateError(f"{value!r} is missing")
 
     def atom(self) -> tuple:
         if self.take("("):
-            tree = self.binary(0)
+            tree = self.choice()
             self.expect(")")
             return tree
         if self.at >= len(self.tokens):
@@ -205,10 +253,36 @@ def fold(tree: tuple) -> tuple:
     """tree, or a constant where its parts are constants."""
     parts = [x for x in tree[1:] if isinstance(x, tuple)]
     if all(x[0] == "const" for x in parts):
-        return ("const", evaluator(tree)({}))
+        value = evaluator(tree)({})
+        if isinstance(value, str) and len(value) > MAX_CHARS:
+            raise TemplateError("a string is too long")
+        return ("const", value)
     return tree
 
 
+def _slice(holder, first, last):
+    if not isinstance(holder, (list, tuple, str)) or not all(x is None or isinstance(x, int) for x in (first, last)):
+        raise TemplateError(f"no slice of a {type(holder).__name__}")
+    return holder[first:last]
+
+
+def _defined(tree: tuple) -> Callable[[dict], bool]:
+    """Whether a name, a key of a mapping or a place of a sequence is there; anything else is."""
+    if tree[0] == "name":
+        return lambda names, name=tree[1]: name in names
+    if tree[0] != "item":
+        return lambda names: True
+    there, holder, key = _defined(tree[1]), evaluator(tree[1]), evaluator(tree[2])
+
+    def look(names):
+        if not there(names):
+            return False
+        held, at = holder(names), key(names)
+        return at in held if isinstance(held, dict) else isinstance(held, (list, tuple, str)) and isinstance(at, int) and -len(held) <= at < len(held)
+
+    return look
+
+
 def _item(holder, key):
     """Keys of mappings and places of sequences; never an attribute of an object."""
     if isinstance(holder, dict) and isinstance(key, (str, int)):
@@ -233,6 +307,14 @@ def evaluator(tree: tuple) -> Callable[[dict], object]:
         return lambda names, f=FILTERS[tree[1]], x=evaluator(tree[2]): f(x(names))
     if kind == "not":
         return lambda names, x=evaluator(tree[1]): not x(names)
+    if kind == "defined":
+        return _defined(tree[1])
+    if kind == "none":
+        return lambda names, x=evaluator(tree[1]): x(names) is None
+    if kind == "choice":
+        return lambda names, test=evaluator(tree[1]), x=evaluator(tree[2]), y=evaluator(tree[3]): (x if test(names) else y)(names)
+    if kind == "slice":
+        return lambda names, x=evaluator(tree[1]), a=evaluator(tree[2]), b=evaluator(tree[3]): _slice(x(names), a(names), b(names))
     a, b = evaluator(tree[1]), evaluator(tree[2])
     if kind == "item":
         return lambda names: _item(a(names), b(names))
@@ -325,7 +407,57 @@ def parse(template: str) -> list[tuple]:
             return then if test[1] else other
         return [("if", test, then, other)]
 
-    return _joined(block()[0])
+    nodes = _joined(block()[0])
+    _weigh(nodes, {})
+    return nodes
+
+
+def _weight(tree: tuple, names: dict[str, int]) -> int:
+    """How many values are put together in a value at most."""
+    kind, parts = tree[0], [x for x in tree[1:] if isinstance(x, tuple)]
+    if kind == "name":
+        return names.get(tree[1], 1)
+    weights = [_weight(x, names) for x in parts] or [1]
+    out = sum(weights) if kind in ("+", "~") else max(weights)
+    if out > MAX_VALUES:
+        raise TemplateError("too many values in one string")
+    return out
+
+
+def _weigh(nodes: list[tuple], names: dict[str, int]) -> None:
+    """Bounds what strings can grow to: names that a loop sets are gone after each turn, so nothing grows with the turns."""
+    for node in nodes:
+        if node[0] == "set":
+            names[node[1]] = max(names.get(node[1], 1), _weight(node[2], names))
+        elif node[0] in ("out", "if"):
+            _weight(node[1], names)
+        elif node[0] == "for":
+            weight = _weight(node[2], names)
+            inner = {**names, node[1]: weight}
+            _weigh(node[3], inner)
+        if node[0] in ("if", "generation"):
+            for part in node[1:]:
+                if isinstance(part, list):
+                    _weigh(part, names)
+
+
+def streams(nodes: list[tuple], name: str = "messages") -> bool:
+    """Whether a template goes once through the sequence of that name, in one loop that stands in no other, and asks nothing else of it."""
+
+    def uses(part, inside: bool) -> list[bool]:
+        """For each use, whether it is such a loop."""
+        if isinstance(part, list):
+            return [u for p in part for u in uses(p, inside)]
+        if not isinstance(part, tuple):
+            return []
+        if part[:1] == ("name",):
+            return [False] if part[1] == name else []
+        if part[0] == "for":
+            own = [not inside] if part[2] == ("name", name) else uses(part[2], inside)
+            return own + uses(part[3], True)
+        return [u for p in part[1:] for u in uses(p, inside)]
+
+    return uses(nodes, False) in ([], [True])
 
 
 def _joined(nodes: list[tuple]) -> list[tuple]:
@@ -343,7 +475,7 @@ Renderer = Callable[[dict, bool], Iterator[tuple[str, bool]]]
 
 
 def compile_nodes(nodes: list[tuple]) -> Renderer:
-    """A closure giving (text, generated) pieces. Loops draw from iterators, so messages may be a stream."""
+    """A closure giving (text, generated) pieces. Loops draw from iterators, so messages may be a stream (see streams)."""
     parts = [_compiled(n) for n in nodes]
 
     def run(names, mark):
@@ -393,8 +525,15 @@ def _compiled(node: tuple) -> Renderer:
 
 
 def compile_template(template: str = CHATML) -> Callable[..., Iterator[tuple[str, bool]]]:
-    body = compile_nodes(parse(template))
-    return lambda **names: body(names, False)
+    """A function of names giving (text, generated) pieces. Its streams tells whether messages may be an iterator; else they are a list."""
+    nodes = parse(template)
+    body = compile_nodes(nodes)
+
+    def render(**names):
+        return body(names, False)
+
+    render.streams = streams(nodes)
+    return render
 
 
 class Reader:
@@ -466,7 +605,9 @@ def format_conversations(conversations: DataFrame, template: str = CHATML, piece
     """(conv_id, piece, text, spans): the formatted conversations, and the spans (start, end) under the loss mask.
 
     Positions are code points from the conversation's start. A conversation is one piece unless it has over
-    piece_chars characters: then it goes on in further pieces, cut between a template's outputs.
+    piece_chars characters: then it goes on in further pieces, cut between a template's outputs. A template that goes
+    through messages once draws turns as they come; one that indexes, measures or slices them, or goes through them
+    twice, gets a list, which holds the conversation in memory.
     """
 
     def run(batches):
@@ -474,7 +615,7 @@ def format_conversations(conversations: DataFrame, template: str = CHATML, piece
         for conv_id, messages in _conversations(batches):
             texts, spans, at, held, piece = [], [], 0, 0, 0
             pack = lambda: pa.RecordBatch.from_pylist([{"conv_id": conv_id, "piece": piece, "text": "".join(texts), "spans": spans}], schema)  # noqa: E731, B023
-            for text, generated in render(messages=messages):
+            for text, generated in render(messages=messages if render.streams else list(messages)):
                 if held > piece_chars:
                     yield pack()
                     texts, spans, held, piece = [], [], 0, piece + 1
@@ -500,7 +641,7 @@ def format_digests(conversations: DataFrame, template: str = CHATML, conv_col: s
         render, out = compile_template(template), []
         for conv_id, messages in _conversations(batches):
             reader = Reader()
-            for text, generated in render(messages=messages):
+            for text, generated in render(messages=messages if render.streams else list(messages)):
                 reader.feed(text, generated)
             out.append((conv_id, *reader.close()))
             if len(out) >= 4096:

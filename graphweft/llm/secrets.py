@@ -33,9 +33,9 @@ ALLOW = tuple(
         r"(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))*[/_=+-]*",
     )
 )
-#: Placeholders: of a run, the part between / and = that holds one isn't secret; the other parts may be.
-PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|dummy|your[_-]|xxxx|0000000|abcdefgh|0123456789|qwerty")
-DIVIDER = re.compile(r"[/=]")
+#: Placeholders: of a run, the part between two dividers that holds one isn't secret; the other parts may be.
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|dummy|your(?=[_-])|xxxx|0000000|abcdefgh|0123456789|qwerty")
+DIVIDER = re.compile(r"[/=_-]")
 
 
 def high_entropy(text: str, window: int, threshold: float) -> tuple[int, int] | None:
@@ -69,10 +69,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _placeholders(text: str, a: int, b: int):
-    """The parts of a to b, between / and =, that hold a placeholder; each character is looked at a fixed number of times."""
+    """The parts of a to b, between dividers, that hold a placeholder; each character is looked at a fixed number of times."""
     at = a
     while m := PLACEHOLDER.search(text, at, b):
-        start = max(text.rfind("/", at, m.start()), text.rfind("=", at, m.start()), at - 1) + 1
+        start = max(*(text.rfind(c, at, m.start()) for c in "/=_-"), at - 1) + 1
         end = d.start() if (d := DIVIDER.search(text, m.end(), b)) else b
         yield start, end
         at = end
