@@ -66,23 +66,27 @@ def drop_settled(*tables: DataFrame) -> None:
                 _delete(spark, folder)
 
 
-#: A key with more than a FREQUENT-th of all rows is frequent: there are fewer than FREQUENT of them, whatever the table.
-FREQUENT = 2048
-#: Cells of keys by hash that frequent() counts first.
+#: A key with more than a FREQUENT-th of all rows is frequent, and so is one with over MOST_ROWS: of N rows there are fewer
+#: than FREQUENT + N / MOST_ROWS frequent keys.
+FREQUENT, MOST_ROWS = 2048, 1 << 22
+#: Cells of keys by hash that frequent() counts first; more of them if one would have many rows on average.
 _CELLS = 1 << 16
 
 
+def _limit(total: int) -> int:
+    return min(total // FREQUENT, MOST_ROWS)
+
+
 def frequent(rows: DataFrame, key: str) -> DataFrame:
     """(key, n) of the frequent keys (longs) of rows, exactly; without a shuffle of the rows.
 
     Rows are counted by cells of keys first, then by key in the cells that may hold a frequent one: both counts are
-    combined before the shuffle, and at most _CELLS and FREQUENT rows come to the driver.
+    combined before the shuffle, and cells and keys of more than the limit only come to the driver.
     """
-    cell = F.pmod(F.xxhash64(key), F.lit(_CELLS))
-    sizes = {r[0]: r[1] for r in rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    heavy = [c for c, n in sizes.items() if n * FREQUENT > total]
-    found = rows.where(cell.isin(heavy)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * FREQUENT > total).collect() if heavy else []
+    total = rows.count()
+    cell = F.pmod(F.xxhash64(key), F.lit(max(_CELLS, 16 * total // MOST_ROWS)))
+    heavy = [r[0] for r in rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _limit(total)).collect()]
+    found = rows.where(cell.isin(heavy)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _limit(total)).collect() if heavy else []
     return rows.sparkSession.createDataFrame([tuple(r) for r in found], f"{key} long, n long")
 
 
@@ -92,8 +96,10 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> Da
     Rows of frequent keys stay where they are and get the table's few rows for them by broadcast, so a key with a third
     of all rows is nobody's partition; the others meet in a shuffle. Both are read twice: they should be written tables.
     """
-    total = table.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) * FREQUENT > total
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    if (most or 0) <= _limit(total or 0):
+        return rows.join(table.drop(n), key)
+    hot = F.col(n) > _limit(total)
     often, seldom = F.broadcast(table.where(hot)), table.where(~hot).drop(n)
     return rows.join(often, key).drop(n).unionByName(rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(seldom, key))
 

@@ -210,7 +210,7 @@ def _links(dealt: DataFrame, single: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
-def _apart(full: DataFrame, groups: DataFrame) -> DataFrame:
+def apart(full: DataFrame, groups: DataFrame) -> DataFrame:
     """(key, i, j, side, grp) for what is still to be compared of bands of several blocks. full: key, grp; groups: node, component.
 
     Texts that are connected already need no comparison. So the texts outside a band's largest component, in blocks of
@@ -254,7 +254,7 @@ def near_copy_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
     links = [_links(dealt.select("key", F.col("side").alias("i"), F.col("side").alias("j"), "side", "grp"), single, texts)]
     full = dealt.where("full").select("key", "grp")
     if not full.isEmpty():
-        rest = _apart(full, connected_components(links[0]))
+        rest = apart(full, connected_components(links[0]))
         links.append(_links(rest, single, texts))
         drop_settled(rest)
     groups = connected_components(reduce(DataFrame.unionAll, links)).select(F.col("node").alias("grp"), F.col("component").alias("cluster"))

@@ -10,16 +10,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import drop_settled, join_spread, settle
+from graphweft.llm.common import drop_settled, frequent, join_spread, settle, whole_runs
 from graphweft.llm.components import connected_components
+from graphweft.llm.near_copies import apart
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
 #: Bits of the three segments. Of three segments with 4 errors together, two have 2 errors at most each.
 SEGMENTS = (22, 21, 21)
-#: Larger buckets aren't compared pair by pair; their members get longer keys instead (see fingerprint_links).
+#: Larger buckets are compared in parts first; what that doesn't connect gets longer keys (see fingerprint_links).
 BUCKET_ROWS = 2048
+#: Links that a task holds before it reduces them to a forest.
+HELD_LINKS = 1 << 20
 #: The most fingerprints that are kept out of a join by broadcast; beyond it the join moves texts.
 BROADCAST_ROWS = 1 << 19
 
@@ -135,14 +138,16 @@ def finer_keys(fps: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(keys_of):
+    """(key, fp, c) of fingerprints (fp, c), a row a key."""
+
     def run(batches):
         tables = golay_tables()
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
+            fps, groups = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             for at in range(0, len(fps), 4096):
                 part = fps[at : at + 4096]
                 rows, keys = keys_of(part, tables)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64)), pa.array(groups[at : at + 4096][rows])], ["key", "fp", "c"])
 
     return run
 
@@ -194,93 +199,162 @@ def _linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(batches, limit):
-    """Batches of (key, fp) in key order, cut so that no run is divided; a run beyond limit comes in pieces, marked."""
+    """(key, fp, c) arrays in key order, cut so that no run is divided; a run beyond limit comes in pieces, marked."""
     held, hot = None, None
     for batch in batches:
-        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        if not len(keys):
+        own = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        if not len(own[0]):
             continue
         if hot is not None:
-            n = int(np.searchsorted(keys, hot, "right"))
-            if n:
-                yield keys[:n], fps[:n], True
-                keys, fps = keys[n:], fps[n:]
-            if not len(keys):
+            n = int(np.searchsorted(own[0], hot, "right"))
+            for at in range(0, n, limit):
+                yield [x[at : min(at + limit, n)] for x in own], True
+            own = [x[n:] for x in own]
+            if not len(own[0]):
                 continue
             hot = None
         if held is not None:
-            keys, fps = np.concatenate((held[0], keys)), np.concatenate((held[1], fps))
-        last = int(np.searchsorted(keys, keys[-1], "left"))
+            own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+        last = int(np.searchsorted(own[0], own[0][-1], "left"))
         if last:
-            yield keys[:last], fps[:last], False
-        held = (keys[last:], fps[last:])
-        if limit and len(held[0]) > limit:
-            yield *held, True
+            yield [x[:last] for x in own], False
+        held = [x[last:] for x in own]
+        if len(held[0]) > limit:
+            for at in range(0, len(held[0]), limit):
+                yield [x[at : at + limit] for x in held], True
             hot, held = int(held[0][0]), None
     if held is not None:
-        yield *held, False
+        yield held, False
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of each node to the least place of what it is connected with: what several buckets say counts once."""
+    nodes, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = _labels(len(nodes), places[: len(a)], places[len(a) :])
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+class _Links:
+    """Links of a task, reduced to a forest now and then."""
+
+    def __init__(self) -> None:
+        self.a, self.b, self.size = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray):
+        self.a.append(a)
+        self.b.append(b)
+        self.size += len(a)
+        if self.size > HELD_LINKS:
+            a, b = _forest(np.concatenate(self.a), np.concatenate(self.b))
+            self.a, self.b, self.size = [a], [b], len(a)
+            if self.size > HELD_LINKS // 2:
+                yield from self.rest()
+
+    def rest(self):
+        if self.a:
+            a, b = _forest(np.concatenate(self.a), np.concatenate(self.b))
+            self.a, self.b, self.size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
 
 
 def _verified(limit: int):
-    """Links (a, b) inside buckets; members of buckets over limit come with a null b."""
-    out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b if isinstance(b, pa.Array) else pa.array(b.view(np.int64))], ["a", "b"])
+    """Links (a, b) inside buckets, and inside the pieces of larger ones; members of these come with a null b and their key, too."""
 
     def run(batches):
-        for keys, fps, hot in _runs(batches, limit):
-            if hot:
-                yield out(fps, pa.nulls(len(fps), pa.int64()))
-                continue
-            sizes = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)])))
-            large = np.repeat(sizes > limit, sizes)
-            if large.any():
-                yield out(fps[large], pa.nulls(int(large.sum()), pa.int64()))
-                keys, fps = keys[~large], fps[~large]
-            if len(keys):
-                yield out(*_linked(keys, fps))
+        links = _Links()
+        for (keys, fps, groups), hot in _runs(batches, limit):
+            full = np.ones(len(keys), bool)
+            if not hot:
+                sizes = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)])))
+                full = np.repeat(sizes > limit, sizes)
+            if full.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fps[full].view(np.int64)), pa.nulls(int(full.sum()), pa.int64()), pa.array(keys[full])], ["a", "b", "key"])
+            left, right = _linked(keys, fps)
+            if (groups != 0).any():  # what is in one component already needs no link
+                of = dict(zip(fps.tolist(), groups.tolist(), strict=True))
+                new = np.array([of[x] == 0 or of[x] != of[y] for x, y in zip(left.tolist(), right.tolist(), strict=True)], bool)
+                left, right = left[new], right[new]
+            yield from links.add(left, right)
+        yield from links.rest()
 
     return run
 
 
-def _between(batches):
-    """Each fingerprint at all points within 2 bits: two fingerprints differ in 4 bits or fewer if and only if they share one."""
-    points = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
-    masks = np.array(points, np.uint64)
-    for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        for at in range(0, len(fps), 256):
-            part = fps[at : at + 256]
-            yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], ["key", "fp"])
+def _crossed(batches):
+    """Links inside each block, or between the two blocks of each pair, of rows (key, i, j, side, fp) in order."""
+    links = _Links()
+    for table in whole_runs(batches, 3):
+        key, i, j, side, fps = (table[c].to_numpy() for c in ("key", "i", "j", "side", "grp"))
+        fps = fps.view(np.uint64)
+        new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)]))
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own, of = fps[start:end], side[start:end]
+            left, right = (own, own) if i[start] == j[start] else (own[of == i[start]], own[of == j[start]])
+            for at in range(0, len(left), 256):
+                x, y = np.nonzero(np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= MAX_BITS)
+                differ = left[at + x] != right[y]
+                yield from links.add(*_forest(left[at + x[differ]], right[y[differ]]))
+    yield from links.rest()
+
+
+def _bucketed(fps: DataFrame, keys_of) -> DataFrame:
+    """Links and members of full buckets (see _verified) of fingerprints (fp, c).
+
+    A key that is frequent is dealt to tasks by a hash of its fingerprints; each compares its part in pieces.
+    """
+    keyed = settle(fps.select("fp", "c").mapInArrow(_keyed(keys_of), "key long, fp long, c long"))
+    hot = frequent(keyed, "key")
+    part = F.when(F.col("n") > BUCKET_ROWS, F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BUCKET_ROWS))).otherwise(0)
+    dealt = keyed.join(F.broadcast(hot.where(F.col("n") > BUCKET_ROWS)), "key", "left").select("key", "fp", "c", F.coalesce(part, F.lit(0)).alias("part"))
+    named = hot.where(F.col("n") > BUCKET_ROWS)
+    by_key = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp").select("key", "fp", "c")
+    found = settle(by_key.mapInArrow(_verified(BUCKET_ROWS), "a long, b long, key long"))
+    if not named.isEmpty():  # parts of a divided bucket may be under the limit on their own
+        more = keyed.join(F.broadcast(named.select("key")), "key").select(F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "key")
+        found = settle(found.unionByName(more))
+    drop_settled(keyed)
+    return found
 
 
-def _stars(batches):
-    """All fingerprints at a point are links of each other: the first stands for them."""
-    for keys, fps, _ in _runs(batches, 0):
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        first = np.repeat(fps[starts], np.diff(np.concatenate((starts, [len(keys)]))))
-        other = fps != first
-        yield pa.RecordBatch.from_arrays([pa.array(fps[other].view(np.int64)), pa.array(first[other].view(np.int64))], ["a", "b"])
+def _full(found: DataFrame) -> DataFrame:
+    """(key, fp) of the members of full buckets."""
+    return settle(found.where("b is null").select("key", F.col("a").alias("fp")).distinct())
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints fps (fp long) that differ in MAX_BITS bits or fewer.
 
     Keys of two Golay-decoded segments each put candidates into buckets (85 keys a fingerprint); a bucket gives a
-    spanning forest of its verified links, never all pairs. Members of buckets beyond BUCKET_ROWS get keys of all three
-    segments (182 keys of 33 bits and more), so that full buckets stay the exception at any number of fingerprints.
-    Only if a bucket of these is over the limit too, which takes thousands of fingerprints close to each other, its
-    members are dealt to the 2081 points within two bits, at which no more than 2081 can meet: linear, and exact.
+    spanning forest of its verified links, never all pairs, and a task a forest of what its buckets give. A bucket of
+    over BUCKET_ROWS is compared in pieces of that size. Thousands of fingerprints close to each other are connected by
+    that; only if a full bucket's members are in different components then, they get keys of all three segments (182 of 33
+    bits and more, so that full buckets stay the exception at any number of fingerprints), and links are looked for
+    between components. What of a full bucket of these is outside its largest component is compared with the rest of it,
+    block by block (see near_copies.apart): exact, and quadratic only in those.
     """
-    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "fp")
-    links, left = None, fps
-    for keys_of in (bucket_keys, finer_keys):
-        found = settle(by_key(left.mapInArrow(_keyed(keys_of), "key long, fp long")).mapInArrow(_verified(BUCKET_ROWS), "a long, b long"))
-        own = found.where("b is not null")
-        links = own if links is None else links.unionAll(own)
-        left = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    found = _bucketed(fps.select("fp", F.lit(0).cast("long").alias("c")), bucket_keys)
+    links = found.where("b is not null").select("a", "b")
+    for keys_of in (finer_keys, None):
+        full = _full(found)
+        if full.isEmpty():
+            return links
+        groups = settle(connected_components(links))
+        named = settle(full.join(groups.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").select("key", "fp", F.coalesce("c", "fp").alias("c")))
+        several = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+        left = settle(named.join(several, "key", "left_semi"))
+        drop_settled(full, named)
         if left.isEmpty():
             return links
-        left = settle(left)
-    return links.unionAll(by_key(left.mapInArrow(_between, "key long, fp long")).mapInArrow(_stars, "a long, b long"))
+        if keys_of is None:
+            rest = settle(apart(left.select("key", F.col("fp").alias("grp")), groups))
+            met = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossed, "a long, b long, key long")
+            return links.unionAll(settle(met).select("a", "b"))
+        found = _bucketed(left.select("fp", "c").distinct(), keys_of)
+        links = links.unionAll(found.where("b is not null").select("a", "b"))
+        drop_settled(left, groups)
+    return links
 
 
 def _components(fps: DataFrame) -> DataFrame:
@@ -296,9 +370,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
     first = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    linked = first.join(_components(first.select("fp")), "fp")
-    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = settle(linked.join(least, "component").select("fp", "component_id"))
+    linked = settle(first.join(_components(first.select("fp")), "fp").select("fp", "first_id", "component"))
+    least = settle(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = settle(join_spread(linked, least, "component").select("fp", "component_id"))
     ids = settle(first.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")))
     return join_spread(fps, ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

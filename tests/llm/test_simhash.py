@@ -4,9 +4,11 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from graphweft.llm import components, simhash
+from graphweft.llm import common, components, near_copies, simhash
 
 
 def plain_fingerprint(text):
@@ -101,13 +103,61 @@ def test_buckets_over_the_limit_lose_no_link(spark, monkeypatch):
     check_links(spark, 12, monkeypatch)
 
 
+@pytest.mark.parametrize("limit", [3, 5])
+def test_full_buckets_at_all_levels_lose_no_link(spark, monkeypatch, limit):
+    """Buckets of longer keys are full, too, and hold several components that only single bridges connect."""
+    rng, fps = random.Random(limit), set()
+    for centre in (0, 0x0F0F0F0F0F0F0F0F):
+        for _ in range(120):
+            fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
+        fps.update(centre ^ (0b111111 << at) for at in range(0, 24, 6))
+    fps = sorted(fps)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 16)
+    got, want = links_of(spark, fps, limit, monkeypatch), plain_groups(fps)
+    for a, b in combinations(fps, 2):
+        assert (got.get(a, a) == got.get(b, b)) == (want[a] == want[b])
+
+
+def test_a_dense_ball_gives_a_forest(spark, monkeypatch):
+    """Thousands of fingerprints close to each other: links stay a few a fingerprint, and no longer keys are made."""
+    rng = random.Random(8)
+    fps = sorted({sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(6000)})
+    made = []
+    own = simhash._bucketed
+    monkeypatch.setattr(simhash, "_bucketed", lambda *a: made.append(own(*a)) or made[-1])
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 256)
+    links = simhash.fingerprint_links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long"))
+    assert links.count() <= 4 * 2 * len(fps)  # a forest a task
+    assert made[0].where("b is null").count() < 300 * len(fps)
+    assert components.connected_components(links).select("component").distinct().count() == 1
+
+
+def test_edges_of_a_hub_are_spread(spark):
+    """No partition of a join on the hub gets most of its edges."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = common.settle(spark.createDataFrame([(0, i) for i in range(1, 20_000)], "a long, b long"))
+        table = edges.groupBy("a").count().withColumnRenamed("count", "n").withColumn("p", F.lit(1))
+        sizes = [r[1] for r in common.join_spread(edges.repartition(8), table, "a").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 5000 and sum(sizes) == edges.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_frequent_keys_are_few(spark, monkeypatch):
+    rows = common.settle(spark.range(4000).selectExpr("if(id % 3 = 0, 7, id) k"))
+    assert [r["k"] for r in common.frequent(rows, "k").collect() if r["n"] > 10] == [7]
+    monkeypatch.setattr(common, "MOST_ROWS", 100)
+    assert [tuple(r) for r in common.frequent(rows, "k").collect() if r["n"] > 100] == [(7, 1335)]
+
+
 def test_runs_cut_across_batches():
     import pyarrow as pa
 
     keys = np.repeat([1, 2, 3], [2, 9, 3])
     fps = np.arange(len(keys))
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 3]), pa.array(fps[i : i + 3])], ["key", "fp"]) for i in range(0, len(keys), 3)]
-    whole = [(k.tolist(), hot) for k, _, hot in simhash._runs(batches, 4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 3]), pa.array(fps[i : i + 3]), pa.array(fps[i : i + 3])], ["key", "fp", "c"]) for i in range(0, len(keys), 3)]
+    whole = [(own[0].tolist(), hot) for own, hot in simhash._runs(batches, 4)]
     assert sum(len(k) for k, _ in whole) == 14
     assert {k for ks, hot in whole if hot for k in ks} == {2}
 
