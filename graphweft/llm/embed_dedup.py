@@ -8,10 +8,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import drop_settled, settle
+from graphweft.llm.common import drop_settled, join_spread, settle
 from graphweft.llm.components import connected_components
 from graphweft.llm.simhash import _labels
 from graphweft.llm.vectors import rows_by_length, stacked
@@ -198,7 +198,6 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     own. A null id names no component: component_id is the least id reachable, null if there is none; kept is null for
     a null id. Further columns are ignored.
     """
-    spark = vectors.sparkSession
     raw = settle(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).mapInArrow(_cleaned, "vec_id long, dim int, key binary, x binary"))
     reps = settle(raw.where("key is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")))
     n, size = reps.agg(F.count(F.lit(1)), F.sum(F.length("x"))).first()
@@ -216,11 +215,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     order = ["dim", *cells, "rep", "key"]
     ranged = projected.repartitionByRange(max(8, -(-(size or 0) // (1 << 27))), *order).sortWithinPartitions(*order)
     ego = settle(ranged.mapInArrow(_numbered, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in projected.schema) + ", part long, at long"))
-    before, offsets = 0, []
-    for row in ego.groupBy("part").count().orderBy("part").collect():  # a row for each partition
-        offsets.append((row["part"], before))
-        before += row["count"]
-    whole = ego.join(spark.createDataFrame(offsets, "part long, before long"), "part").withColumn("node", F.col("before") + F.col("at")).drop("part", "at", "before")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    offsets = ego.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    whole = ego.join(offsets, "part").withColumn("node", F.col("before") + F.col("at")).drop("part", "at", "before")
     rows_of = F.least(F.lit(block_rows), F.greatest(F.lit(256), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("n") / LEAST_BLOCKS)))
     lengths = whole.groupBy("dim").agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("n")).withColumn("rows", rows_of).drop("n")
     placed = settle(whole.join(lengths, "dim").withColumn("block", F.expr("(node - start) div rows")).drop("start", "rows"))
@@ -232,8 +229,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     numbers = linked.groupBy("node").agg(F.sum("n").alias("n"))
     # Nodes are places in the sequence: vectors that repeat an id stay apart. A component's id is its least vec_id.
     groups = settle(connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = groups.join(placed.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = placed.select("key", "node", "rep", "copies").join(numbers, "node", "left").join(groups.join(named, "component").drop("component"), "node", "left")
+    named = settle(groups.join(placed.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    told = join_spread(groups, named, "component").drop("component")
+    known = placed.select("key", "node", "rep", "copies").join(numbers, "node", "left").join(told, "node", "left")
     known = settle(known.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "rep").alias("component")))
     drop_settled(reps, ego, placed, boxes, pairs, linked, groups)
     out = raw.select("vec_id", "key").join(known, "key", "left")

@@ -18,8 +18,12 @@ SHINGLE_WORDS, LEAST = 5, 0.8
 BANDS, BAND_ROWS = 27, 4
 #: Signatures hold a byte a MinHash value. A pair at 0.8 has fewer equal bytes with probability under one in ten million.
 EQUAL_BYTES = 61
-#: Bits of a bitmap of the texts whose shingles are asked for: 2 MB, however many there are.
-MAP_BITS = 24
+#: A bitmap of the texts whose shingles are asked for goes to the tasks: two to the so many bits, by the number of texts,
+#: so that at most an eighth of the others pass it. For more texts than FILTER_TEXTS there is none: texts are joined.
+LEAST_BITS, MOST_BITS = 20, 27
+FILTER_TEXTS = 1 << 24
+#: Texts that a task remembers to have made the shingle set of.
+SEEN_TEXTS = 1 << 16
 #: Texts of one band compared in one task: a larger band is dealt to blocks of about so many.
 BLOCK_ROWS = 4096
 #: Runs up to this long are compared together, place by place.
@@ -82,26 +86,44 @@ def hashed(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grp, pa.int64()), pa.array(size, pa.int64()), keys, pa.array(marks, pa.binary())], ["doc_id", "source", "xh", "text_hash", "size", "bands", "mark"])
 
 
-def _bitmap(asked: DataFrame) -> np.ndarray:
-    place = F.shiftrightunsigned("xh", 64 - MAP_BITS)
-    words = asked.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xh, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for word, bits in words:
-        out[word] = bits
-    return out.view(np.uint64)
+def _packed_bits(batches):
+    """(chunk, its 65536 bits) of rows (chunk, places in it)."""
+    for batch in batches:
+        blobs = []
+        for places in batch.column(1):
+            bits = np.zeros(1 << 16, np.uint8)
+            bits[places.values.to_numpy()] = 1
+            blobs.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["chunk", "bits"])
+
+
+def _bitmap(asked: DataFrame, number: int) -> tuple[np.ndarray, int]:
+    """(bits, how many as a power of two) of the number of texts asked for; the tasks make its chunks of 8 KB, 2048 at most."""
+    power = min(MOST_BITS, max(LEAST_BITS, (8 * number).bit_length()))
+    place = F.shiftrightunsigned("xh", 64 - power)
+    chunks = asked.groupBy(F.shiftrightunsigned(place, 16).alias("chunk")).agg(F.collect_set(place.bitwiseAND(F.lit(65535)).cast("int")).alias("at"))
+    out = np.zeros(1 << (power - 3), np.uint8)
+    for chunk, bits in chunks.mapInArrow(_packed_bits, "chunk long, bits binary").collect():
+        out[chunk << 13 : (chunk + 1) << 13] = np.frombuffer(bits, np.uint8)
+    return out, power
 
 
-def _gram_sets(asked: np.ndarray):
-    """(xh, grams) of the texts that are in the bitmap, and of few others, each once a task."""
+def _gram_sets(asked: np.ndarray | None, power: int):
+    """(xh, grams) of the texts that are in the bitmap, if there is one, and of few others; mostly each once a task."""
 
     def run(batches):
         seen = set()
         for batch in batches:
             xh = batch.column(0).to_numpy()
-            place = xh.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            rows = np.arange(len(xh))
+            if asked is not None:
+                place = xh.view(np.uint64) >> np.uint64(64 - power)
+                rows = np.flatnonzero((asked[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
             ids, sets = [], []
-            for row in np.flatnonzero((asked[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).tolist():
+            for row in rows.tolist():
                 if int(xh[row]) not in seen:
+                    if len(seen) >= SEEN_TEXTS:
+                        seen.clear()
                     seen.add(int(xh[row]))
                     ids.append(int(xh[row]))
                     sets.append(grams(words_of(batch.column(1)[row].cast(pa.large_binary()).as_py() or b"")).tobytes())
@@ -110,6 +132,16 @@ def _gram_sets(asked: np.ndarray):
     return run
 
 
+def _sets(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(grp, grams) of the texts (xh, text) that names (xh, grp: a written table) asks for. Texts move only if there are over FILTER_TEXTS names."""
+    number = names.count()
+    if number > FILTER_TEXTS:
+        kinds = texts.join(names.select("xh").distinct(), "xh", "left_semi").mapInArrow(_gram_sets(None, 0), "xh long, grams binary")
+    else:
+        kinds = texts.mapInArrow(_gram_sets(*_bitmap(names, number)), "xh long, grams binary")
+    return kinds.join(names, "xh").dropDuplicates(["grp"]).select("grp", "grams")
+
+
 class _Rows:
     """A table of bucket rows (key, i, j, side, bands, mark, ...) in order, and the pairs in it that may be alike."""
 
@@ -204,8 +236,7 @@ def _links(dealt: DataFrame, single: DataFrame, texts: DataFrame) -> DataFrame:
     named, marked = "key long, i int, j int, side int, grp long", ", xh long, bands array<long>, mark binary"
     asked = settle(by_run(dealt.join(single, "grp").select("key", "i", "j", "side", "grp", "xh", "bands", "mark")).mapInArrow(_asked, named + marked))
     names = settle(asked.select("grp", "xh").distinct())
-    sets = texts.mapInArrow(_gram_sets(_bitmap(names)), "xh long, grams binary").join(names, "xh").dropDuplicates(["grp"]).select("grp", "grams")
-    links = settle(by_run(asked.drop("xh").join(sets, "grp").select("key", "i", "j", "side", "grp", "bands", "mark", "grams")).mapInArrow(_linked, "a long, b long"))
+    links = settle(by_run(asked.drop("xh").join(_sets(texts, names), "grp").select("key", "i", "j", "side", "grp", "bands", "mark", "grams")).mapInArrow(_linked, "a long, b long"))
     drop_settled(asked, names)
     return links
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import settle
+from graphweft.llm.common import join_spread, settle
 from graphweft.llm.near_copies import hashed, near_copy_groups
 
 #: Words a bin holds, and documents packed together.
@@ -105,7 +105,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     rows = rows.select("doc_id", "source", F.xxhash64("text").alias("xh"), "text")
     read = settle(rows.mapInArrow(hashed, "doc_id long, source string, xh long, text_hash long, size long, bands array<long>, mark binary"))
     clusters = near_copy_groups(read.withColumnRenamed("text_hash", "grp"), rows.select("xh", "text")).withColumnRenamed("grp", "text_hash")
-    items = read.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("copies")).join(clusters, "text_hash", "left")
+    items = settle(read.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("copies")))
+    named = settle(items.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).join(clusters, "text_hash", "left"))
+    items = join_spread(items, named, "text_hash")  # a text may have a third of all ids
     items = items.withColumn("key", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1"))).withColumn("grp", F.coalesce("cluster", "text_hash"))
     before = Window.partitionBy("doc_id", "grp").orderBy("size", "key", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     items = settle(items.withColumn("first", F.coalesce(F.sum("copies").over(before), F.lit(0)) + 1).drop("cluster"))

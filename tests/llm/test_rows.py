@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphweft.llm import common, mixing, near_copies, packing, urls
 
@@ -126,6 +128,45 @@ def test_near_copies_share_no_bin(spark, monkeypatch, block_rows):
     assert len({(r["bin_id"], label[i]) for i, r in got.items()}) == len(rows)
 
 
+def _filtered(spark, n=400, copies=12):
+    """(rows read, texts, their xh) of n texts, some of which have near copies."""
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(n)]
+    base += [b + f" tail{k}" for k in range(3) for b in base[:copies]]
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(base)], "doc_id long, source string, text string").withColumn("xh", F.xxhash64("text")).select("doc_id", "source", "xh", "text")
+    read = common.settle(rows.mapInArrow(near_copies.hashed, "doc_id long, source string, xh long, text_hash long, size long, bands array<long>, mark binary"))
+    return read.withColumnRenamed("text_hash", "grp"), rows.select("xh", "text")
+
+
+@pytest.mark.parametrize(("bits", "most"), [(20, 1 << 24), (16, 1 << 24), (20, 0)])
+def test_the_prefilter_changes_nothing(spark, monkeypatch, bits, most):
+    """A bitmap, one that is small, and none, but a join of the texts that are asked for."""
+    monkeypatch.setattr(near_copies, "LEAST_BITS", bits)
+    monkeypatch.setattr(near_copies, "MOST_BITS", bits)
+    monkeypatch.setattr(near_copies, "FILTER_TEXTS", most)
+    monkeypatch.setattr(near_copies, "SEEN_TEXTS", 5)
+    groups = near_copies.near_copy_groups(*_filtered(spark))
+    assert groups.count() == 48 and groups.select("cluster").distinct().count() == 12
+
+
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_only_sets_of_asked_texts_are_made(spark, monkeypatch, most):
+    """However full a bitmap of fixed size would be: the sets made are those asked for and few others."""
+    monkeypatch.setattr(near_copies, "FILTER_TEXTS", most)
+    monkeypatch.setattr(near_copies, "LEAST_BITS", 16)
+    _, texts = _filtered(spark, 20_000, 0)
+    names = common.settle(texts.select("xh", F.col("xh").alias("grp")).where("xh % 2 = 0"))  # half of all: a share of a map of 2**16 bits is set
+    made = []
+    own = near_copies._gram_sets
+    monkeypatch.setattr(near_copies, "_gram_sets", lambda asked, power: made.append((asked, power)) or own(asked, power))
+    assert near_copies._sets(texts, names).count() == names.count()
+    asked, power = made[0]
+    if most:
+        assert power >= 16 and int(np.unpackbits(asked).sum()) <= (1 << power) / 8  # at most an eighth of the others pass
+    else:
+        assert asked is None
+
+
 def test_frequent_keys_stay_where_they_are(spark, monkeypatch):
     rng = random.Random(8)
     keys = [7] * 600 + [9] * 90 + [rng.randrange(10**6) for _ in range(700)]
