@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from heapq import heappop, heappush
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.sources.files import parsed
+from graphweft.storage import settle
 
 ITEM = "kind string, name string, owner string, visibility string, signature string, line int, line_end int, docs string, calls array<string>, bases array<string>"
 FAMILIES = {
@@ -412,14 +415,45 @@ def tags(files: DataFrame) -> DataFrame:
     return parsed(files.where(F.contains("text", F.lit("@route")) | F.contains("text", F.lit("@contract"))), read_tags, TAG)
 
 
+def _swept(batches):
+    """(path, line, name) of rows (part, path, pos, kind, end, name) in order: spans open as they begin, points ask for the smallest one open."""
+    at, spans = None, []
+    for batch in batches:
+        out = []
+        for part, path, pos, kind, end, name in zip(*(batch.column(c).to_pylist() for c in ("part", "path", "pos", "kind", "end", "name")), strict=True):
+            if (part, path) != at:
+                at, spans = (part, path), []
+            if kind == 0:
+                heappush(spans, (end - pos, name is not None, name, end))
+                continue
+            while spans and spans[0][3] < pos:  # over for all later points, too
+                heappop(spans)
+            if spans:
+                out.append((path, pos, spans[0][2]))
+        names = batch.schema.field("name").type
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), names))], ["path", "line", "name"])
+
+
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """(path, line, name): the smallest span that holds each line, the earlier name of equals. points: path, line; spans: path, line, line_end, name.
 
-    Spans meet points within their file, by an equi-join on the path with the range as a residual.
+    Spans and points are sorted together by ranges of (path, line) and swept once, the open spans in a heap, so a file
+    with most rows lies in many ranges and no span meets a point outside its turn. Spans that are open at a range's end
+    go to the ranges after it that they reach into: as many rows as spans are open at borders. Rows with a null path or
+    line are left out; a null name is before all others; repeated points are one.
     """
-    s = spans.select("path", F.col("line").alias("a"), F.col("line_end").alias("b"), "name")
-    met = points.join(s, "path").where("line between a and b")
-    return met.groupBy("path", "line").agg(F.min_by("name", F.struct(F.expr("b - a"), "name")).alias("name"))
+    asked = points.where("path is not null and line is not null").select("path", F.col("line").cast("long").alias("pos"), F.lit(1).alias("kind")).distinct()
+    opens = spans.where("path is not null and line <= line_end").select("path", F.col("line").cast("long").alias("pos"), F.lit(0).alias("kind"), F.col("line_end").cast("long").alias("end"), "name")
+    order = ["path", "pos", "kind", "end", "name"]
+    rows = settle(opens.unionByName(asked, allowMissingColumns=True).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    borders = settle(rows.groupBy("part").agg(F.min(F.struct("path", "pos")).alias("b")).select("part", F.col("b.path").alias("path"), F.col("b.pos").alias("first")))
+    # A row a range: what the next one begins with.
+    following = borders.select("part", *(F.lead(c).over(Window.orderBy("part")).alias(f"next_{c}") for c in ("path", "first")))
+    crossing = settle(rows.where("kind = 0").join(following, "part").where("path = next_path and `end` >= next_first").select("part", *order))
+    carried = crossing.join(borders.withColumnRenamed("part", "to"), "path").where("to > part and `end` >= first").select(F.col("to").alias("part"), *order)
+    swept = rows.select("part", *order).unionByName(carried).repartition("part").sortWithinPartitions("part", "path", "pos", "kind")
+    kind = spans.schema["name"].dataType.simpleString()
+    return swept.mapInArrow(_swept, f"path string, line long, name {kind}").withColumn("line", F.col("line").cast(points.schema["line"].dataType))
 
 
 def tag_owners(found: DataFrame, spans: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphweft.operators import spatial as S
+from graphweft.operators.percentiles import percentiles
 from graphweft.plans.adapters import adapted
 from graphweft.plans.registry import query
 
@@ -83,5 +84,5 @@ def column_packing(spark, sf):
 @query("SELECT event_type, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p95, CAST(quantile_disc(value, 0.99) AS DOUBLE) AS p99, max(value) AS worst FROM events GROUP BY event_type")
 def percentile_nearest_rank(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
-    return e.groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.max("value").alias("worst"))
+    ranks = percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return ranks.join(e.groupBy("event_type").agg(F.max("value").alias("worst")), "event_type")
