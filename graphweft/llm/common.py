@@ -90,16 +90,18 @@ def frequent(rows: DataFrame, key: str) -> DataFrame:
     return rows.sparkSession.createDataFrame([tuple(r) for r in found], f"{key} long, n long")
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str = "n", least: int = 0) -> DataFrame:
     """rows joined to table, which has one row a key and in n the number of rows with that key; n goes.
 
     Rows of frequent keys stay where they are and get the table's few rows for them by broadcast, so a key with a third
-    of all rows is nobody's partition; the others meet in a shuffle. Both are read twice: they should be written tables.
+    of all rows is nobody's partition; the others meet in a shuffle. Keys with no more than least rows, which any task can
+    hold, are never spread. Both are read twice: they should be written tables.
     """
     total, most = table.agg(F.sum(n), F.max(n)).first()
-    if (most or 0) <= _limit(total or 0):
+    limit = max(_limit(total or 0), least)
+    if (most or 0) <= limit:
         return rows.join(table.drop(n), key)
-    hot = F.col(n) > _limit(total)
+    hot = F.col(n) > limit
     often, seldom = F.broadcast(table.where(hot)), table.where(~hot).drop(n)
     return rows.join(often, key).drop(n).unionByName(rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(seldom, key))
 

@@ -181,7 +181,9 @@ def test_empty_table(spark):
     assert simhash.simhash_groups(docs).collect() == [] and simhash.keep_first(docs).collect() == []
 
 
-def test_components_of_chains_stars_and_nothing(spark):
+@pytest.mark.parametrize("most", [2, 1 << 16])
+def test_components_of_chains_stars_and_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "NODE_EDGES", most)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200), (None, 4)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[100 + i] for i in range(30)} == {100} and got[201] == 200
