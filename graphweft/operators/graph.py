@@ -399,6 +399,12 @@ def lifted(pairs: DataFrame) -> DataFrame:
     return same.select(F.inline(every)).distinct()
 
 
+def gates(pairs: DataFrame) -> DataFrame:
+    """(folder, provider): from where wires come into each top folder. pairs: provider, consumer paths."""
+    top = lambda c: F.substring_index(c, "/", 1)
+    return pairs.where(top("provider") != top("consumer")).select(top("consumer").alias("folder"), "provider").distinct()
+
+
 def lowest_common(a: str, b: str):
     """The deepest folder above both paths, as a column."""
     from graphweft.functions.paths import ancestors

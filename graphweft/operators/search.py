@@ -95,6 +95,11 @@ def _fold(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def path_points(score: Column | int) -> Column | int:
+    """What a path's score counts: three quarters, floored."""
+    return F.floor(3 * score / 4) if isinstance(score, Column) else 3 * score // 4
+
+
 def prepared(entries: DataFrame) -> DataFrame:
     """entries with their masks; to be written once and searched often."""
     return entries.withColumns({"name_mask": char_mask(fold_lower(F.col("name"))), "path_mask": char_mask(fold_lower(F.coalesce("path", F.lit(""))))})
@@ -123,7 +128,7 @@ def matches(entries: DataFrame, query: str) -> DataFrame:
                     folded = _fold(path)
                     far, whole = fuzzy(needle, path, folded), folded == needle
                     if far is not None:
-                        points = 3 * far[0] // 4 + (50 if whole else 0)
+                        points = path_points(far[0]) + (50 if whole else 0)
                         if best is None or points > best[0]:
                             best = [points, list(far[1]), True]
                         elif whole:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions import paths as P
 from graphweft.functions import text as X
+from graphweft.operators import search as S
 from graphweft.plans.adapters import adapted
 from graphweft.plans.registry import query
 
@@ -131,4 +132,4 @@ def content_hashes(spark, sf):
 
 @query("SELECT CAST(floor(3 * (CAST(event_id AS BIGINT) - 500) / 4.0) AS BIGINT) AS weighted, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def path_weighting(spark, sf):
-    return _t(spark, sf, "events").select(F.floor(3 * (F.col("event_id") - 500) / 4).alias("weighted")).groupBy("weighted").agg(F.count(F.lit(1)).alias("n"))
+    return _t(spark, sf, "events").select(S.path_points(F.col("event_id") - 500).alias("weighted")).groupBy("weighted").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphweft.functions import paths as P
+from graphweft.operators import incremental
 from graphweft.operators import paths as T
 from graphweft.plans.adapters import adapted
 from graphweft.plans.registry import query
@@ -193,3 +194,33 @@ def tree_rows(spark, sf):
     s = adapted(spark, sf, "sources")
     folders = s.select(F.explode(P.ancestors(F.col("path"), top=False)).alias("path")).distinct()
     return T.tree_rows(folders.withColumn("is_file", F.lit(False)).unionAll(s.withColumn("is_file", F.lit(True))), spark.createDataFrame([("pkg1",), ("pkg2",), ("pkg1/src",)], "path string"))
+
+
+#: Changes of a tree: files that grow, go and come.
+AFTER = """SELECT path, size + CASE WHEN size % 7 = 1 THEN 1 ELSE 0 END AS size FROM paths WHERE size % 7 <> 0 UNION ALL SELECT concat(path, '/more/new'), 5 FROM paths WHERE size % 11 = 0"""
+
+
+def _file_changes(spark, sf):
+    """(files before, changes) of the tree of addresses."""
+    before = adapted(spark, sf, "paths").where("path <> ''").selectExpr("path", "size bytes", "xxhash64(path, size) hash")
+    change = lambda of, path, bytes_, gone: before.where(of).selectExpr(f"{path} path", f"cast({bytes_} as long) bytes", f"xxhash64({path}, cast({bytes_} as long)) hash", f"{gone} gone")
+    return before, change("bytes % 7 = 0", "path", "0", "true").unionByName(change("bytes % 7 = 1", "path", "bytes + 1", "false")).unionByName(change("bytes % 11 = 0", "concat(path, '/more/new')", "5", "false"))
+
+
+@query(f"WITH after AS ({AFTER}), above AS ({ABOVE.format('after')}) SELECT folder, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM above JOIN after USING (path) GROUP BY folder", "paths")
+def incremental_tree(spark, sf):
+    before, changes = _file_changes(spark, sf)
+    after = incremental.refreshed_tree(incremental.settle(incremental.tree(before)), changes)
+    return after.where("not is_file").select(F.col("path").alias("folder"), "files", "bytes")
+
+
+@query(
+    f"""WITH after AS ({AFTER}), differ AS (SELECT path FROM paths FULL JOIN after USING (path) WHERE paths.size IS DISTINCT FROM after.size),
+    a AS (SELECT DISTINCT folder FROM ({ABOVE.format('paths')}) x), b AS (SELECT DISTINCT folder FROM ({ABOVE.format('after')}) y), touched AS (SELECT DISTINCT folder FROM ({ABOVE.format('differ')}) z)
+    SELECT folder, CASE WHEN a.folder IS NULL THEN 'added' WHEN b.folder IS NULL THEN 'removed' ELSE 'changed' END AS change FROM touched LEFT JOIN a USING (folder) LEFT JOIN b USING (folder)""",
+    "paths",
+)
+def changed_subtrees(spark, sf):
+    before, changes = _file_changes(spark, sf)
+    old = incremental.settle(incremental.tree(before))
+    return incremental.changed(old, incremental.settle(incremental.refreshed_tree(old, changes))).where("not is_file").select(F.col("path").alias("folder"), "change")

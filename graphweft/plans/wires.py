@@ -421,8 +421,7 @@ def lowest_common_folder(spark, sf):
     "file_pairs",
 )
 def gate_keys(spark, sf):
-    top = lambda c: F.substring_index(c, "/", 1)
-    return adapted(spark, sf, "file_pairs").where(top("provider") != top("consumer")).select(top("consumer").alias("folder"), "provider").distinct()
+    return G.gates(adapted(spark, sf, "file_pairs"))
 
 
 @query("SELECT CASE WHEN kind IN ('Call', 'Import') THEN kind ELSE 'other' END AS kind, CAST(count(DISTINCT provider) AS BIGINT) AS providers, CAST(count(DISTINCT consumer) AS BIGINT) AS consumers, CAST(count(*) AS BIGINT) AS wires FROM edges GROUP BY 1", "edges")
