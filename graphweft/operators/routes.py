@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphweft.functions.paths import name
 
@@ -173,3 +175,14 @@ def pointer_line(text: str, pointer: str) -> int:
             fresh = False
         i += 1
     return 0
+
+
+def pointer_lines(texts: DataFrame, json: str = "text", pointer: str = "pointer", line: str = "line") -> DataFrame:
+    """texts with the line that each row's pointer names in its JSON text (see pointer_line); a null text or pointer gives null."""
+
+    def run(batches):
+        for batch in batches:
+            at = [None if t is None or p is None else pointer_line(t, p) for t, p in zip(batch.column(json).to_pylist(), batch.column(pointer).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, line])
+
+    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField(line, IntegerType())]))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft.operators.order import running
+from graphweft.storage import drop_settled, settle
+
 
 def cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float | Column) -> Column:
     """Every cell a rectangle covers."""
@@ -111,6 +114,81 @@ def nearest_wires(wires: DataFrame, points: DataFrame, reach: float, kinds: list
     return met.groupBy("point").agg(F.min_by("wire", F.struct("distance", "wire")).alias("wire"), F.min("distance").alias("distance"))
 
 
+#: Wires of one packed box, about.
+BOX_WIRES = 256
+
+
+def _curve(x: Column, y: Column) -> Column:
+    """The place of a cell (two longs under 2**16) on a curve through all cells that keeps near ones together: their bits in turn."""
+
+    def apart(v: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return apart(x).bitwiseOR(F.shiftleft(apart(y), 1))
+
+
+def packed(wires: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(wires with their box; boxes: box, x0, y0, x1, y1). Wires are dealt in order of a space-filling curve, BOX_WIRES to a box and k at least, if there are so many."""
+    mid = wires.withColumns({"mx": (F.col("ax") + F.col("bx")) / 2, "my": (F.col("ay") + F.col("by")) / 2})
+    x0, y0, x1, y1, n = mid.agg(F.min("mx"), F.min("my"), F.max("mx"), F.max("my"), F.count(F.lit(1))).first()
+    cell = lambda c, low, high: F.floor((F.col(c) - (low or 0)) / (((high or 0) - (low or 0)) or 1) * 65535).cast("long")
+    size = max(BOX_WIRES, k)
+    placed = running(mid.withColumn("z", _curve(cell("mx", x0, x1), cell("my", y0, y1))), "z", "wire")
+    last = max(0, (n or 0) // size - 1)  # what would be left over goes to the last box
+    boxed = settle(placed.withColumn("box", F.least(F.expr(f"before div {size}"), F.lit(last))).drop("mx", "my", "z", "before"))
+    low, high = lambda a, b: F.min(F.least(a, b)), lambda a, b: F.max(F.greatest(a, b))
+    return boxed, settle(boxed.groupBy("box").agg(low("ax", "bx").alias("x0"), low("ay", "by").alias("y0"), high("ax", "bx").alias("x1"), high("ay", "by").alias("y1")))
+
+
+def _reaches(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """points with reach, within which a whole box lies: by one box a cell, in cells that double until a point has one beside it."""
+    far = F.sqrt(F.pow(F.greatest(F.abs(F.col("x") - F.col("x0")), F.abs(F.col("x") - F.col("x1"))), 2) + F.pow(F.greatest(F.abs(F.col("y") - F.col("y0")), F.abs(F.col("y") - F.col("y1"))), 2))
+    mid = boxes.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
+    x0, y0, x1, y1, n = mid.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count(F.lit(1))).first()
+    left, found = settle(points), None
+    cell = max(x1 - x0, y1 - y0, 1e-9) / max(1.0, n**0.5)
+    while True:
+        at = lambda c, cell=cell: F.floor(F.col(c) / cell)
+        one = mid.groupBy(at("mx").alias("cx"), at("my").alias("cy")).agg(F.min(F.struct("box", "x0", "y0", "x1", "y1")).alias("b")).select("cx", "cy", "b.*")
+        beside = left.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+        met = beside.withColumns({"cx": at("x") + F.col("dx"), "cy": at("y") + F.col("dy")}).join(one, ["cx", "cy"])
+        told = settle(met.groupBy("point", "x", "y").agg(F.min(far).alias("reach")))
+        found = told if found is None else found.unionByName(told)
+        rest = settle(left.join(told.select("point"), "point", "left_anti"))
+        drop_settled(left)
+        if rest.isEmpty():
+            return found
+        left, cell = rest, 2 * cell
+
+
+def nearest_k(wires: DataFrame, points: DataFrame, k: int, kinds: list[str]) -> DataFrame:
+    """(point, rank, wire, distance): the k nearest wires of the shown kinds, however far they are; ties to the smaller id, ranks from 1.
+
+    wires: wire, kind, ax, ay, bx, by; points: point, x, y, one row a point. Wires are packed into boxes along a
+    space-filling curve. A point takes as its reach the distance at which it surely has a whole box, found in cells that
+    double; the boxes that its circle touches are met in grids, and only their wires are measured. All wires, if there
+    are fewer than k; points and wires with nulls are left out.
+    """
+    shown = wires.where(F.col("kind").isin(*kinds)).where("wire is not null and ax is not null and ay is not null and bx is not null and by is not null").select("wire", "ax", "ay", "bx", "by")
+    asked = settle(points.where("point is not null and x is not null and y is not null").select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    boxed, boxes = packed(shown, k)
+    if boxes.isEmpty() or asked.isEmpty():
+        return boxed.join(asked.limit(0)).select("point", F.lit(1).alias("rank"), "wire", F.lit(0.0).alias("distance")).where("false")
+    reached = settle(_reaches(asked, boxes).withColumn("reach", F.col("reach") * (1 + 1e-9) + 1e-9))
+    widths = boxes.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    rects = boxes.select(F.col("box").alias("id"), "x0", "y0", "x1", "y1")
+    windows = reached.select(F.col("point").alias("query"), (F.col("x") - F.col("reach")).alias("x0"), (F.col("y") - F.col("reach")).alias("y0"), (F.col("x") + F.col("reach")).alias("x1"), (F.col("y") + F.col("reach")).alias("y1"))
+    near = query_rects(rects, windows, max(widths, 1e-9)).withColumnsRenamed({"query": "point", "id": "box"}).join(reached, "point").join(boxes, "box")
+    gap = lambda v, a, b: F.greatest(F.col(a) - F.col(v), F.col(v) - F.col(b), F.lit(0.0))
+    near = near.where(F.sqrt(F.pow(gap("x", "x0", "x1"), 2) + F.pow(gap("y", "y0", "y1"), 2)) <= F.col("reach")).select("point", "box", "x", "y")
+    d = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    met = near.join(boxed, "box").select("point", "wire", F.round(d, 9).alias("distance"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("distance", "wire"))).where(F.col("rank") <= k)
+    return ranked.select("point", "rank", "wire", "distance")
+
+
 def tiles(wires: DataFrame, tile: float = 4096.0) -> DataFrame:
     """(tx, ty, wires): wires by the tile of their midpoint."""
     mid = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / tile)

@@ -56,6 +56,18 @@ def nearest_wire(spark, sf):
     return S.nearest_wires(wires, _points(spark, sf), 40.0, ["Call", "Import"]).withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    f"""WITH met AS (SELECT point, id AS wire, round({SEGMENT}, 9) AS d FROM (SELECT *, {SHARE} AS t FROM ({POINTS}) p, rects WHERE id % 3 > 0) m),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d, wire) AS rank FROM met)
+    SELECT point, CAST(rank AS INT) AS rank, round(d, 6) AS distance FROM ranked WHERE rank <= 3""",
+    "rects",
+)
+def nearest_three_wires(spark, sf):
+    """Distances by rank: ties to the last digits may fall to another wire in another engine."""
+    wires = adapted(spark, sf, "rects").selectExpr("id wire", "case id % 3 when 0 then 'Asset' else 'Call' end kind", "x0 ax", "y0 ay", "x1 bx", "y1 by")
+    return S.nearest_k(wires, _points(spark, sf), 3, ["Call"]).select("point", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(
     """SELECT id, round((SELECT min(sqrt(power(0.0 - (power(1 - i / 24.0, 3) * x0 + 3 * power(1 - i / 24.0, 2) * (i / 24.0) * x1 + 3 * (1 - i / 24.0) * power(i / 24.0, 2) * x0 + power(i / 24.0, 3) * x1), 2)
       + power(0.0 - (power(1 - i / 24.0, 3) * y0 + 3 * power(1 - i / 24.0, 2) * (i / 24.0) * y0 + 3 * (1 - i / 24.0) * power(i / 24.0, 2) * y1 + power(i / 24.0, 3) * y1), 2))) FROM range(0, 25) t(i)), 6) AS distance FROM rects""",

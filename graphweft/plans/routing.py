@@ -89,6 +89,19 @@ def json_pointer_exists(spark, sf):
     return e.select("event_id", R.pointer_exists(F.col("props"), "/k").alias("has_k"), R.pointer_exists(F.col("props"), "/none").alias("has_none"))
 
 
+@query(
+    r"""SELECT p_partkey, pointer, CAST(CASE pointer WHEN '' THEN 1 WHEN '/a' THEN 1 + p_size % 5 WHEN '/a/x~1y' THEN 1 + p_size % 5 + p_size % 3 WHEN '/c/0' THEN 1 + p_size % 5 + p_size % 3
+      WHEN '/c/1' THEN 1 + p_size % 5 + p_size % 3 + p_size % 4 WHEN '/c/1/d' THEN 1 + p_size % 5 + p_size % 3 + p_size % 4 ELSE 0 END AS INT) AS line
+    FROM part, (SELECT unnest(['', '/a', '/a/x~1y', '/c/0', '/c/1', '/c/1/d', '/c/2', '/a/b']) AS pointer) p"""
+)
+def json_pointer_lines(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    breaks = lambda n: F.expr(f"repeat('\n', p_size % {n})")
+    text = F.concat(F.lit("{"), breaks(5), F.lit('"a": {'), breaks(3), F.lit('"x/y" : "\\"c\\": ['), F.col("p_name"), F.lit('"}, "c": [1,'), breaks(4), F.lit(' {"d": 2}]}'))
+    pointers = F.explode(F.array(*map(F.lit, ("", "/a", "/a/x~1y", "/c/0", "/c/1", "/c/1/d", "/c/2", "/a/b"))))
+    return R.pointer_lines(p.select("p_partkey", text.alias("text"), pointers.alias("pointer"))).select("p_partkey", "pointer", "line")
+
+
 BRANCH = "CASE o_orderkey % 5 WHEN 0 THEN concat('slice/T-', o_orderkey, '.', o_custkey % 7) WHEN 1 THEN concat('T-', o_custkey, '-fix') WHEN 2 THEN concat('XT-', o_orderkey) WHEN 3 THEN concat('T-', o_orderkey, '-', o_custkey) ELSE concat('a-T-', o_custkey, '/T-', o_custkey, '_T-', o_orderkey) END"
 
 
