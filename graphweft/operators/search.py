@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from graphweft.functions.text import fold_lower
 from graphweft.model import ENTRY_KINDS, PATH_KINDS, rank
+from graphweft.operators.order import running
+from graphweft.storage import settle
 
 #: Points of the fuzzy score.
 MATCH, CONTIGUOUS, WORD_START, CAMEL_HUMP, BASENAME, PREFIX, EXACT = 16, 12, 20, 16, 6, 40, 100
@@ -105,6 +107,42 @@ def prepared(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"name_mask": char_mask(fold_lower(F.col("name"))), "path_mask": char_mask(fold_lower(F.coalesce("path", F.lit(""))))})
 
 
+def _ordered_pairs(text: Column) -> Column:
+    """Every two of MASK_CHARS that stand in a text one behind the other, near or far, once each."""
+    chars = F.filter(F.split(text, ""), lambda c: (c != "") & (F.position(c, F.lit(MASK_CHARS)) > 0))
+    after = lambda c, i: F.transform(F.slice(chars, i + 2, F.size(chars)), lambda d: F.concat(c, d))
+    return F.array_distinct(F.flatten(F.transform(chars, after)))
+
+
+def pair_index(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prepared entries with id; index: field, pair, word, bits), both written: for each ordered pair of characters, bitmaps of the entries that have it.
+
+    A bitmap's word holds 64 entries by their numbers; names and paths are fields of their own. To be made once and
+    searched often (see candidates).
+    """
+    held = settle(running(prepared(entries), "kind", "name", "key").withColumnRenamed("before", "id"))
+    bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
+    of = lambda field, text: held.select(F.lit(field).alias("field"), F.explode(_ordered_pairs(fold_lower(text))).alias("pair"), F.expr("shiftright(id, 6)").alias("word"), bit.alias("bit"))
+    pairs = of(0, F.col("name")).unionByName(of(1, F.when(F.col("kind").isin(*PATH_KINDS), F.coalesce("path", F.lit(""))).otherwise("")))
+    return held, settle(pairs.groupBy("field", "pair", "word").agg(F.bit_or("bit").alias("bits")))
+
+
+def candidates(entries: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """The entries (of pair_index) that have all of the query's neighbouring characters in order, in the name or in the path.
+
+    Only the index's rows of these pairs are read, and words are intersected before any entry is. A query without two
+    neighbours of MASK_CHARS has no pair: the masks filter alone then, as in matches.
+    """
+    needle = "".join(scope(query)[1].split())
+    asked = sorted({a + b for a, b in zip(needle, needle[1:], strict=False) if a in MASK_CHARS and b in MASK_CHARS})
+    if not asked:
+        return entries
+    met = index.where(F.col("pair").isin(*asked)).groupBy("field", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(asked)) & (F.col("bits") != 0))
+    words = met.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    ids = words.select(F.explode(F.expr("filter(transform(sequence(0, 63), i -> if((shiftright(bits, i) & 1) = 1, word * 64 + i, null)), x -> x is not null)")).alias("id"))
+    return entries.join(ids, "id", "left_semi")
+
+
 def matches(entries: DataFrame, query: str) -> DataFrame:
     """Entries that match, with score, positions and whether the path matched.
 
@@ -153,6 +191,11 @@ def caps(scoped: bool) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CAPS.items() for x in p]), F.col("kind")), F.lit(CAP))
 
 
+def search_indexed(entries: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """search() over a pair_index: only entries that the index leaves are scored."""
+    return search(candidates(entries, index, query).drop("id"), query)
+
+
 def search(entries: DataFrame, query: str) -> DataFrame:
     """The shown hits of each group: grp, pos, total, and the entry. Totals count all matches, whatever the caps.
 

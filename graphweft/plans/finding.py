@@ -44,6 +44,12 @@ def search_topk(spark, sf):
 SUBSEQUENCE = "(lower(name) LIKE '%s%u%p%1%' OR (kind IN ('File', 'Folder', 'Symbol') AND lower(path) LIKE '%s%u%p%1%'))"
 
 
+@query(f"SELECT CAST(greatest(0, {KIND} - 2) AS INT) AS grp, CAST(count(*) AS BIGINT) AS total FROM entries WHERE {SUBSEQUENCE} GROUP BY 1", "entries")
+def search_by_index(spark, sf):
+    held, index = S.pair_index(adapted(spark, sf, "entries"))
+    return S.matches(S.candidates(held, index, QUERY), QUERY).groupBy(S.group_of(F.col("kind")).alias("grp")).agg(F.count(F.lit(1)).alias("total"))
+
+
 @query(f"SELECT CAST(greatest(0, {KIND} - 2) AS INT) AS grp, CAST(count(*) AS BIGINT) AS total FROM entries WHERE {SUBSEQUENCE} GROUP BY 1", "entries")
 def search_totals(spark, sf):
     return S.matches(_entries(spark, sf), QUERY).groupBy(S.group_of(F.col("kind")).alias("grp")).agg(F.count(F.lit(1)).alias("total"))

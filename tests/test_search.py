@@ -1,5 +1,7 @@
 """Fuzzy scores by hand, and search against a plain version over all entries."""
 
+import random
+
 from graphweft.operators import search as S
 
 
@@ -47,3 +49,19 @@ def test_search_is_the_plain_version(spark):
             assert got[n] == (points, True)
         else:
             assert got[n] == (own[0], False)
+
+
+def test_an_index_finds_what_a_scan_finds(spark):
+    """Queries of one and more characters, of repeated ones and of others than the index knows; few entries are read."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdeXY_-.é\U0001f600 1") for _ in range(rnd.randrange(1, 14)))
+    rows = [(rnd.choice(["Symbol", "File", "Tool", "Command", "Folder"]), word(), "", rnd.choice([None, "", f"{word()}/{word()}"]), rnd.choice([None, i]), i) for i in range(700)]
+    entries = spark.createDataFrame(rows, "kind string, name string, detail string, path string, line int, key long")
+    held, index = S.pair_index(entries)
+    plain = S.prepared(entries)
+    for query in ("a", "ab", "bcd", "aa", "a_b", "X1y", ">ab", "@ é1a", "\U0001f600a", "a b c", "zzz", "abcdeab", ""):
+        scan, found = ([tuple(r) for r in df.drop("positions").collect()] for df in (S.search(plain, query), S.search_indexed(held, index, query)))
+        assert sorted(scan, key=repr) == sorted(found, key=repr), query
+    assert S.candidates(held, index, "abcd").count() < 0.2 * held.count()
+    masks = plain.where(S.F.col("name_mask").bitwiseAND(S.F.lit(S.mask_of("abcd"))) == S.mask_of("abcd")).count()
+    assert S.candidates(held, index, "abcd").where("kind in ('Tool', 'Command')").count() <= masks
