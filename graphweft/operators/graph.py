@@ -338,30 +338,101 @@ def flow_layers(entries: DataFrame, links: DataFrame, layers: int = 12, steps: i
     """(flow, layer, pos, step): for each entry its senders and itself, then what it reaches, layer by layer.
 
     entries: flow, step; links: source, target, kind, tier. Only proven and possible links count; request links only
-    lead to an entry. Past the caps expansion goes on for truncated counts (see flow_truncated).
+    lead to an entry. What the caps cut is counted by flow_truncated.
     """
-    return _placed(entries, links, layers, steps).where(f"layer < {layers} and pos < {steps}")
+    senders, onward = _senders(entries, links)
+    reached = first_reached(entries.select(F.col("flow").alias("root"), F.col("step").alias("node")), onward, layers - 1, steps)
+    reached = reached.select(F.col("root").alias("flow"), F.col("node").alias("step"), F.col("hop").alias("layer"), (F.col("hop") == 0).alias("entry"))
+    first = senders.withColumns({"layer": F.lit(0), "entry": F.lit(False)})
+    every = reached.join(senders, ["flow", "step"], "left_anti").unionByName(first)
+    order = Window.partitionBy("flow").orderBy("layer", "entry", "step")
+    placed = every.select("flow", "layer", "step", (F.row_number().over(order) - 1).cast("int").alias("pos"))
+    return placed.where(f"layer < {layers} and pos < {steps}")
 
 
 def flow_truncated(entries: DataFrame, links: DataFrame, layers: int = 12, steps: int = 400) -> DataFrame:
-    """(flow, kept, truncated): how many steps of each flow the caps keep and cut."""
-    cut = F.count_if((F.col("layer") >= layers) | (F.col("pos") >= steps))
-    placed = _placed(entries, links, None)
-    return placed.groupBy("flow").agg((F.count(F.lit(1)) - cut).alias("kept"), cut.alias("truncated"))
+    """(flow, kept, truncated): how many steps of each flow the caps keep and cut.
+
+    Kept are the first steps of the layers above the cut; how many there are in all is counted by components (see
+    reach_sizes), so that flows which lead into the same cycles don't list what is in and behind them one by one.
+    """
+    senders, onward = _senders(entries, links)
+    starts, senders = entries.select(F.col("flow").alias("root"), F.col("step").alias("node")), settle(senders)
+    near = first_reached(starts, onward, layers - 1, steps).select(F.col("root").alias("flow"), F.col("node").alias("step"))
+    kept = near.unionByName(senders).distinct().groupBy("flow").agg(F.least(F.count(F.lit(1)), F.lit(steps)).cast("long").alias("kept"))
+    sizes = reach_sizes(starts, onward, senders.select(F.col("flow").alias("root"), F.col("step").alias("node")))
+    return kept.join(sizes.withColumnRenamed("root", "flow"), "flow").select("flow", "kept", (F.col("n") - F.col("kept")).alias("truncated"))
 
 
-def _placed(entries: DataFrame, links: DataFrame, layers: int | None, full: int | None = None) -> DataFrame:
+def _senders(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(flow, step of what sends requests to its entries, the links on from step to step: src, dst)."""
     usable = links.where(F.col("tier").isin("Proven", "PossibleSet"))
     asked = usable.where("kind = 'Request'").select(F.col("target").alias("step"), "source").distinct()
     onward = usable.where("kind <> 'Request'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
     senders = entries.join(asked, "step").select("flow", F.col("source").alias("step")).distinct()
-    senders = senders.join(entries, ["flow", "step"], "left_anti")
-    reached = reach(entries.select(F.col("flow").alias("root"), F.col("step").alias("node")), onward, None if layers is None else layers - 1, full)
-    reached = reached.select(F.col("root").alias("flow"), F.col("node").alias("step"), F.col("hop").alias("layer"), (F.col("hop") == 0).alias("entry"))
-    first = senders.withColumns({"layer": F.lit(0), "entry": F.lit(False)})
-    every = reached.join(senders, ["flow", "step"], "left_anti").unionByName(first)
-    order = Window.partitionBy("flow").orderBy("layer", "entry", "step")
-    return every.select("flow", "layer", "step", (F.row_number().over(order) - 1).cast("int").alias("pos"))
+    return senders.join(entries, ["flow", "step"], "left_anti"), onward
+
+
+def first_reached(starts: DataFrame, edges: DataFrame, most: int | None, full: int) -> DataFrame:
+    """(root, node, hop) of the first full nodes by (hop, node) that each start reaches along (src, dst), in at most most hops.
+
+    starts: root, node. A root that has all its nodes goes no further, and of a node only the first full ways on can
+    matter, so no root lists more than full * full rows in a hop, whatever it reaches.
+    """
+    ways = Window.partitionBy("src").orderBy("dst")
+    edges = settle(edges.select("src", "dst").distinct().withColumn("place", F.row_number().over(ways)).where(F.col("place") <= full).drop("place"))
+    own = Window.partitionBy("root")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        kept = rows.withColumn("place", F.row_number().over(own.orderBy("hop", "node"))).where(F.col("place") <= full)
+        return settle(kept.select("root", "node", "hop", F.count(F.lit(1)).over(own).alias("n"), F.max("hop").over(own).alias("last")))
+
+    state, hop, parts = cut(starts.select("root", "node").distinct().withColumn("hop", F.lit(0))), 0, []
+    while True:
+        going = (F.col("n") < full) & (F.col("last") == hop)
+        if hop == most or state.where(going).isEmpty():
+            parts.append(state)
+            break
+        parts.append(state.where(~going))
+        live, hop = state.where(going), hop + 1
+        ahead = live.where(F.col("hop") == hop - 1).join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(hop).alias("hop"))
+        every = live.select("root", "node", "hop").unionByName(ahead).repartition("root")  # once for both the nodes and the places
+        state = cut(every.groupBy("root", "node").agg(F.min("hop").alias("hop")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("root", "node", "hop")
+
+
+def reach_sizes(starts: DataFrame, edges: DataFrame, besides: DataFrame) -> DataFrame:
+    """(root, n): how many nodes each root's starts (root, node) reach along (src, dst), themselves included, and of besides (root, node).
+
+    Strongly connected components are condensed and weigh their nodes. What the largest one reaches is found once; roots
+    that lead to it only list what else they reach, component by component.
+    """
+    edges = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    of = settle(strong_components(edges))
+    sizes = settle(of.groupBy("component").agg(F.count(F.lit(1)).alias("w")))
+    named = lambda rows: rows.join(of, "node", "left").select("root", F.coalesce("component", "node").alias("node")).distinct()
+    a, b = of.select(F.col("node").alias("src"), F.col("component").alias("a")), of.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    wires = settle(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    hub = sizes.orderBy(F.desc("w"), "component").limit(1).select(F.lit(0).alias("root"), F.col("component").alias("node"))
+    below = settle(reach(hub, wires, settled=True).select("node"))
+    above = settle(reach(hub, wires.select(F.col("dst").alias("src"), F.col("src").alias("dst")), settled=True).select("node"))
+    begins = settle(named(starts))
+    touching = settle(begins.join(above, "node", "left_semi").select("root").distinct())
+    # What lies below is left out of the ways of roots that reach it all; the others never come to what lies above.
+    wide = reach(begins.join(touching, "root", "left_semi").join(below, "node", "left_anti"), settle(wires.join(below.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")), settled=True)
+    narrow = reach(begins.join(touching, "root", "left_anti"), wires, settled=True)
+    listed = settle(wide.select("root", "node").unionByName(narrow.select("root", "node")))
+    weighed = lambda rows: rows.join(sizes.withColumnRenamed("component", "node"), "node", "left").select(*rows.columns, F.coalesce("w", F.lit(1)).alias("w"))
+    whole = weighed(below).agg(F.sum("w").alias("w"))
+    shared = touching.crossJoin(whole).select("root", "w")
+    more = besides.distinct().join(of, "node", "left").select("root", F.coalesce("component", "node").alias("node"))
+    more = settle(more.join(listed, ["root", "node"], "left_anti"))
+    inside = more.join(touching, "root", "left_semi").join(below, "node", "left_semi").groupBy("root").agg((-F.count(F.lit(1))).alias("w"))
+    parts = weighed(listed).select("root", "w").unionByName(shared).unionByName(more.select("root", F.lit(1).alias("w"))).unionByName(inside)
+    return parts.groupBy("root").agg(F.sum("w").alias("n"))
 
 
 def descendants(folders: DataFrame, of: str) -> DataFrame:
