@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one key that one task may get. Of a table of N rows, N / KEY_ROWS keys at most have more.
 KEY_ROWS = 1 << 20
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks work that is slow by row is dealt to: small rows would otherwise be put together until one task has them all."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def join_spread(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """rows joined (left or inner) to table, which has one row a key at most.
 
