@@ -18,7 +18,7 @@ def human_bytes(n: Column) -> Column:
 
 def thousands(n: Column) -> Column:
     """Groups of three digits between commas."""
-    return F.format_number(n.cast("long"), 0)
+    return F.format_number(F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)), 0)
 
 
 def kebab_case(ident: Column) -> Column:
@@ -84,9 +84,17 @@ def age_text(now_ms: Column, then_ms: Column) -> Column:
     return out.otherwise(F.concat(F.floor(s / (86400 * 365)).cast("string"), F.lit(" y ago")))
 
 
+#: Milliseconds of 400 years, after which the calendar repeats.
+SPAN_MS = 146_097 * 86_400_000
+
+
 def clock_text(ms: Column, offset_minutes: int) -> Column:
-    """Date and time at a fixed offset."""
-    return F.date_format(F.timestamp_millis(ms + offset_minutes * 60_000).cast("timestamp"), "yyyy-MM-dd HH:mm")
+    """Date and time at a fixed offset; a year past 9999 is a plain number. The calendar repeats every 400 years: one such span is formatted."""
+    local = ms + offset_minutes * 60_000
+    rest = F.pmod(local, F.lit(SPAN_MS))
+    at = F.timestamp_millis(rest).cast("timestamp")
+    year = F.year(at) + F.call_function("div", local - rest, F.lit(SPAN_MS)) * 400
+    return F.concat(F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string")), F.date_format(at, "-MM-dd HH:mm"))
 
 
 def fold_lower(text: Column) -> Column:

@@ -19,8 +19,10 @@ def _t(spark, sf, name):
     FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey * l_partkey * l_suppkey * l_linenumber * 1000 AS BIGINT) AS n FROM lineitem) l"""
 )
 def human_bytes_fmt(spark, sf):
-    rows = _t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey * l_partkey * l_suppkey * l_linenumber * 1000 n")
-    return rows.select("*", X.human_bytes(F.col("n")).alias("size"), X.thousands(F.col("n")).alias("grouped"))
+    """Sizes are exact; n is null where it is past the longs."""
+    part, supplier = "cast(l_partkey as decimal(19))", "cast(l_suppkey as decimal(19))"
+    rows = _t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"cast({part} * {part} as decimal(38)) * cast({supplier} * l_linenumber * 1000 as decimal(38)) n")
+    return rows.select("l_orderkey", "l_linenumber", F.expr("try_cast(n as long)").alias("n"), X.human_bytes(F.col("n")).alias("size"), X.thousands(F.col("n")).alias("grouped"))
 
 
 @query(
