@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.operators.spread import tasks
+
 
 def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, text) of files below root by Spark's binary reader, so any store that Spark reads will do."""
@@ -35,7 +37,9 @@ def parsed(files: DataFrame, reader: Callable[[str, str], Iterable[tuple]], sche
                     rows.append((path, *[None] * len(names), (str(e).splitlines() or [type(e).__name__])[0]))
             yield pd.DataFrame(rows, columns=["path", *names, "error"], dtype=object)
 
-    return files.select("path", "text").mapInPandas(run, f"path string, {schema}, error string")
+    # Dealt out by path: a small table of many files is one partition, and a reader is slow.
+    dealt = files.select("path", "text").repartition(tasks(files.sparkSession), "path")
+    return dealt.mapInPandas(run, f"path string, {schema}, error string")
 
 
 def _split(schema: str) -> list[str]:
