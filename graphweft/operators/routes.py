@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphweft.functions.paths import name
+from graphweft.operators.spread import tasks
 
 
 def template_path(text: Column) -> Column:
@@ -185,4 +186,5 @@ def pointer_lines(texts: DataFrame, json: str = "text", pointer: str = "pointer"
             at = [None if t is None or p is None else pointer_line(t, p) for t, p in zip(batch.column(json).to_pylist(), batch.column(pointer).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, line])
 
-    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField(line, IntegerType())]))
+    dealt = texts.repartition(tasks(texts.sparkSession), json, pointer)  # a pass over a text is slow, and small tables are one partition
+    return dealt.mapInArrow(run, StructType([*texts.schema.fields, StructField(line, IntegerType())]))
