@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.storage import settle
+from graphweft.storage import drop_settled, settle
+
+#: Rows of a range, about, that one task sorts.
+RANGE_ROWS = 1 << 18
 
 
 def running(rows: DataFrame, *order: Column | str, sums: tuple[str, ...] = ()) -> DataFrame:
@@ -14,14 +17,17 @@ def running(rows: DataFrame, *order: Column | str, sums: tuple[str, ...] = ()) -
     Ranges of the order are numbered on their own and start where the ranges before them end; the only window over
     everything has a row a range. Equal rows get places in any order.
     """
-    held = settle(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    whole = settle(rows)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // RANGE_ROWS))
+    held = settle(whole.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    drop_settled(whole)
     counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_n_{c}") for c in sums))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", *(f"_n_{c}" for c in sums))))
     inside = Window.partitionBy("_range").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
     told = {"before": F.row_number().over(inside) - 1} | {f"before_{c}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in sums}
-    placed = held.withColumns(told).join(starts, "_range")
+    placed = held.repartition(n, "_range").withColumns(told).join(starts, "_range")
     return placed.withColumns({"before": (F.col("before") + F.col("_n")).cast("long")} | {f"before_{c}": F.col(f"before_{c}") + F.col(f"_n_{c}") for c in sums}).select(*rows.columns, "before", *(f"before_{c}" for c in sums))
 
 
