@@ -122,13 +122,14 @@ def pair_kinds(edges: DataFrame) -> DataFrame:
 
 
 def bundles(edges: DataFrame, end: DataFrame) -> DataFrame:
-    """Wires by the visible ends of both sides: pairs, wires, and the commonest kind (the earlier of equals). One aggregate a pair, one after the ends.
+    """Wires by the visible ends of both sides: pairs, wires, and the commonest kind (the earlier of equals). One aggregate a pair, one after each end.
 
     end: node, shown; pairs whose ends show as one go.
     """
     a, b = end.select(F.col("node").alias("provider"), F.col("shown").alias("from_end")), end.select(F.col("node").alias("consumer"), F.col("shown").alias("to_end"))
-    met = pair_kinds(edges).join(a, "provider").join(b, "consumer").where("from_end <> to_end")
-    summed = met.groupBy("from_end", "to_end").agg(F.count(F.lit(1)).alias("pairs"), *(F.sum(k).alias(k) for k in EDGE_KINDS))
+    half = pair_kinds(edges).join(a, "provider").groupBy("from_end", "consumer").agg(F.count(F.lit(1)).alias("pairs"), *(F.sum(k).alias(k) for k in EDGE_KINDS))
+    met = half.join(b, "consumer").where("from_end <> to_end")
+    summed = met.groupBy("from_end", "to_end").agg(F.sum("pairs").alias("pairs"), *(F.sum(k).alias(k) for k in EDGE_KINDS))
     wires = sum((F.col(k) for k in EDGE_KINDS), F.lit(0))
     most = F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(-i).alias("r"), F.lit(k).alias("kind")) for i, k in enumerate(EDGE_KINDS))))
     return summed.select("from_end", "to_end", wires.cast("long").alias("wires"), most["kind"].alias("main_kind"), "pairs")
