@@ -12,6 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from graphweft.sources.records import LogTail
 
 ANSWERED = "log string, call_id string, kind string, at long, is_error boolean"
+EVENT = ("log", "call_id", "kind", "at", "is_call", "is_error")
+OPEN_CALLS = "log array<string>, call_id array<string>, kind array<string>, at array<long>"
+#: Groups that calls are dealt to; fixed, as the state is kept by it.
+SHARES = 1 << 12
 
 
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,27 +25,38 @@ def log_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One call: it is put out when its result comes, now or in a later batch."""
-    call = state.get if state.exists else None
-    call = None if call is None or call[0] is None else call
-    result = None
+    """The calls of one share: each is put out when its result comes, now or in a later batch."""
+    calls = {(log, call_id): (kind, at) for log, call_id, kind, at in zip(*state.get, strict=True)} if state.exists else {}
+    known, results = set(calls), {}
     for pdf in frames:
-        for row in pdf.sort_values("at").itertuples():
-            if row.is_call and call is None:
-                call = (row.kind, int(row.at))
-            elif not row.is_call and result is None:
-                result = bool(row.is_error)
-    if call and result is not None:
+        for log, call_id, kind, at, is_call, is_error in zip(*(pdf[c].tolist() for c in EVENT), strict=True):
+            one = (log, call_id)
+            if not is_call:
+                if one not in results or at < results[one][0]:
+                    results[one] = (at, bool(is_error))
+            elif one not in known and (one not in calls or at < calls[one][1]):
+                calls[one] = (kind, int(at))
+    done = []
+    for one in results.keys() & calls.keys():
+        (kind, at), (_, is_error) = calls.pop(one), results[one]
+        if not is_error or kind == "plan":
+            done.append((*one, kind, at, is_error))
+    if calls:
+        state.update(tuple(map(list, zip(*((*one, *call) for one, call in calls.items()), strict=True))))
+    elif state.exists:
         state.remove()
-        if not result or call[0] == "plan":
-            yield pd.DataFrame([(*key, call[0], call[1], result)], columns=["log", "call_id", "kind", "at", "is_error"])
-    elif call:
-        state.update(call)
+    if done:
+        yield pd.DataFrame(done, columns=["log", "call_id", "kind", "at", "is_error"])
 
 
 def pending_calls(events: DataFrame) -> DataFrame:
-    """Answered calls of a stream (log, call_id, kind, at, is_call, is_error); unanswered ones are carried between batches."""
-    return events.groupBy("log", "call_id").applyInPandasWithState(_pair, ANSWERED, "kind string, at long", "append", GroupStateTimeout.NoTimeout)
+    """Answered calls of a stream (log, call_id, kind, at, is_call, is_error); unanswered ones are carried between batches.
+
+    Calls are dealt by hash to SHARES, whose state is their open calls: most calls are a row or two, and a Python call
+    for each would take longer than all else.
+    """
+    share = F.pmod(F.xxhash64("log", "call_id"), F.lit(SHARES)).alias("share")
+    return events.select(share, *EVENT).groupBy("share").applyInPandasWithState(_pair, ANSWERED, OPEN_CALLS, "append", GroupStateTimeout.NoTimeout)
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
