@@ -17,6 +17,8 @@ from graphweft.storage import drop_settled, settle
 
 #: Hops after which the files of a traversal's visited nodes are made one.
 MERGE_HOPS = 8
+#: How many times the nodes that a root still needs its bound should leave.
+SLACK = 3
 
 
 def reach(starts: DataFrame, edges: DataFrame, most: int | None = None, full: int | None = None, settled: bool = False) -> DataFrame:
@@ -341,13 +343,15 @@ def flow_layers(entries: DataFrame, links: DataFrame, layers: int = 12, steps: i
     lead to an entry. What the caps cut is counted by flow_truncated.
     """
     senders, onward = _senders(entries, links)
-    reached = first_reached(entries.select(F.col("flow").alias("root"), F.col("step").alias("node")), onward, layers - 1, steps)
-    reached = reached.select(F.col("root").alias("flow"), F.col("node").alias("step"), F.col("hop").alias("layer"), (F.col("hop") == 0).alias("entry"))
-    first = senders.withColumns({"layer": F.lit(0), "entry": F.lit(False)})
-    every = reached.join(senders, ["flow", "step"], "left_anti").unionByName(first)
-    order = Window.partitionBy("flow").orderBy("layer", "entry", "step")
-    placed = every.select("flow", "layer", "step", (F.row_number().over(order) - 1).cast("int").alias("pos"))
-    return placed.where(f"layer < {layers} and pos < {steps}")
+    reached = _first_layers(entries.select(F.col("flow").alias("root"), F.col("step").alias("node")), onward, layers - 1, steps)
+    first = _firsts(senders, "flow", "step", steps).withColumnRenamed("flow", "_flow")  # flows with as many show nothing else
+    met = reached.join(first.hint("merge"), F.col("root").eqNullSafe(F.col("_flow")), "left")
+    own, none = F.coalesce("firsts", F.expr("slice(layers[0], 1, 0)")), F.array_compact("firsts")
+    at = lambda layer: lambda step: F.struct(layer.cast("int").alias("layer"), step.alias("step"))
+    beside = lambda steps: F.when(F.col("firsts").isNull(), steps).otherwise(F.array_except(steps, none))
+    every = F.concat(F.transform(own, at(F.lit(0))), F.flatten(F.transform("layers", lambda own, i: F.transform(beside(own), at(i)))))
+    placed = met.select(F.col("root").alias("flow"), F.posexplode(F.slice(every, 1, steps)).alias("pos", "at"))
+    return placed.select("flow", "at.layer", "pos", "at.step").where(F.col("layer") < layers)
 
 
 def flow_truncated(entries: DataFrame, links: DataFrame, layers: int = 12, steps: int = 400) -> DataFrame:
@@ -376,32 +380,50 @@ def _senders(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame
 def first_reached(starts: DataFrame, edges: DataFrame, most: int | None, full: int) -> DataFrame:
     """(root, node, hop) of the first full nodes by (hop, node) that each start reaches along (src, dst), in at most most hops.
 
-    starts: root, node. A root that has all its nodes goes no further, and of a node only the first full ways on can
-    matter, so no root lists more than full * full rows in a hop, whatever it reaches.
+    starts: root, node.
     """
-    ways = Window.partitionBy("src").orderBy("dst")
-    edges = settle(edges.select("src", "dst").distinct().withColumn("place", F.row_number().over(ways)).where(F.col("place") <= full).drop("place"))
-    own = Window.partitionBy("root")
-
-    def cut(rows: DataFrame) -> DataFrame:
-        kept = rows.withColumn("place", F.row_number().over(own.orderBy("hop", "node"))).where(F.col("place") <= full)
-        return settle(kept.select("root", "node", "hop", F.count(F.lit(1)).over(own).alias("n"), F.max("hop").over(own).alias("last")))
-
-    state, hop, parts = cut(starts.select("root", "node").distinct().withColumn("hop", F.lit(0))), 0, []
-    while True:
-        going = (F.col("n") < full) & (F.col("last") == hop)
-        if hop == most or state.where(going).isEmpty():
-            parts.append(state)
-            break
-        parts.append(state.where(~going))
-        live, hop = state.where(going), hop + 1
-        ahead = live.where(F.col("hop") == hop - 1).join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(hop).alias("hop"))
-        every = live.select("root", "node", "hop").unionByName(ahead).repartition("root")  # once for both the nodes and the places
-        state = cut(every.groupBy("root", "node").agg(F.min("hop").alias("hop")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("root", "node", "hop")
+    layers = _first_layers(starts, edges, most, full).select("root", F.posexplode("layers").alias("hop", "nodes"))
+    return layers.select("root", F.explode("nodes").alias("node"), "hop")
+
+
+def _firsts(rows: DataFrame, key: str, value: str, full: int) -> DataFrame:
+    """(key, firsts): the first full values of each key, in order, none first."""
+    own = Window.partitionBy(key).orderBy(value)
+    cut = rows.select(key, value).distinct().withColumn("place", F.row_number().over(own)).where(F.col("place") <= full)
+    listed = F.sort_array(F.collect_list(F.struct(value)))  # of structs, as a list leaves nulls out
+    return cut.groupBy(key).agg(F.transform(listed, lambda x: x[value]).alias("firsts"))
+
+
+def _first_layers(starts: DataFrame, edges: DataFrame, most: int | None, full: int) -> DataFrame:
+    """(root, layers): what first_reached gives, as a list of nodes for each hop.
+
+    A root is one row, and what a node leads to is one list. A root that has all its nodes goes no further, and of a
+    node only the first full ways on can matter, so no root meets more than full * full nodes in a hop, whatever it
+    reaches. A root that needs few nodes more first asks for those up to a bound only, which its last nodes suggest; if
+    too few are, it asks for all in the next round. The lists grow with the tables: none is broadcast.
+    """
+    ways = settle(_firsts(edges, "src", "dst", full))
+    usual = ways.agg(F.avg(F.size("firsts"))).first()[0] or 1.0
+    begun = _firsts(starts, "root", "node", full)
+    state, out = settle(begun.select("root", F.array("firsts").alias("layers"), (F.size("firsts") < full).alias("going"), F.lit(False).alias("whole"))), None
+    seen, last = F.flatten("layers"), F.element_at("layers", -1)
+    needs = F.lit(full) - F.size(seen)
+    enough = F.ceil(SLACK * needs / usual).cast("int") + 2  # so many of the last nodes lead on to what is needed, were all spread alike
+    bound = F.when(~F.col("whole") & (enough < F.size(last)), F.get(last, enough))
+    going = F.col("going") if most is None else F.col("going") & (F.size("layers") <= most)
+    while not state.where(going).isEmpty():
+        ended, live = state.where(~going), state.where(going).withColumn("bound", bound)
+        out = ended if out is None else out.unionByName(ended)
+        ahead = live.select(F.col("root").alias("_root"), "bound", F.explode(last).alias("node")).join(ways.hint("merge"), F.col("node") == F.col("src"))
+        near = ahead.select("_root", F.filter("firsts", lambda x: F.coalesce(x <= F.col("bound"), F.lit(True))).alias("near")).where(F.size("near") > 0)
+        onward = near.repartition("_root").groupBy("_root").agg(F.flatten(F.collect_list("near")).alias("onward"))
+        met = live.join(onward.hint("merge"), F.col("root").eqNullSafe(F.col("_root")), "left")
+        met = met.select("root", "layers", "bound", F.slice(F.sort_array(F.array_except("onward", seen)), F.lit(1), needs).alias("fresh"))
+        n = F.coalesce(F.size("fresh"), F.lit(0))
+        again = F.col("bound").isNotNull() & (n < needs)
+        told = F.when(again | (n == 0), F.col("layers")).otherwise(F.concat("layers", F.array("fresh")))
+        state = settle(met.select("root", told.alias("layers"), (again | ((n > 0) & (n < needs))).alias("going"), again.alias("whole")))
+    return (state if out is None else out.unionByName(state)).select("root", "layers")
 
 
 def reach_sizes(starts: DataFrame, edges: DataFrame, besides: DataFrame) -> DataFrame:

@@ -2,9 +2,45 @@
 
 import random
 
+import pytest
+
+from graphweft.operators import graph
 from graphweft.streaming import logs
 
 
+def plain_firsts(starts, edges, most, full):
+    ahead, out = {}, set()
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    for root in {r for r, _ in starts}:
+        now, hop, kept = {n for r, n in starts if r == root}, 0, []
+        seen = set(now)
+        while now and len(kept) < full and (most is None or hop <= most):
+            kept += [(root, n, hop) for n in sorted(now)]
+            now, hop = {b for a in now for b in ahead.get(a, ()) if b not in seen}, hop + 1
+            seen |= now
+        out |= set(kept[:full])
+    return out
+
+
+@pytest.mark.parametrize(("even", "slack"), [(True, 3), (False, 3), (True, 0)])
+def test_first_steps_are_a_row_a_flow(spark, monkeypatch, even, slack):
+    """Nodes that lead on evenly, and nodes that lead to late names or bounds that leave too few: a written row is a root or a node."""
+    monkeypatch.setattr(graph, "SLACK", slack, raising=False)
+    written, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: written.append(settle(df)) or written[-1])
+    rnd = random.Random(5)
+    name = lambda low: f"n{rnd.randrange(low, 500):03}"
+    edges = [(name(0), name(0 if even else i % 450)) for i in range(2500)] + [("n001", "n001"), ("n002", "a")]
+    starts = [(f"r{i % 60}", name(0)) for i in range(70)] + [("r0", "nowhere")]
+    e, s = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(starts, "root string, node string")
+    for most, full in ((None, 60), (3, 40), (2, 5), (0, 3)):
+        written.clear()
+        got = [tuple(r) for r in graph.first_reached(s, e, most, full).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_firsts(starts, edges, most, full)
+        assert max(t.count() for t in written) <= 500
+
+
 def test_open_calls_are_a_share_of_a_batch(spark, tmp_path, monkeypatch):
     """Many calls over three batches are few Python calls, and each is answered as by the first of its calls and results."""
     monkeypatch.setattr(logs, "SHARES", 3)
