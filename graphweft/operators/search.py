@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ MATCH, CONTIGUOUS, WORD_START, CAMEL_HUMP, BASENAME, PREFIX, EXACT = 16, 12, 20,
 GAP_OPEN, GAP_EXTEND, GAP_MAX, LATE_START, LATE_START_MAX, MAX_STARTS = -3, -1, -12, -1, -15, 6
 WORD_BREAKS = "/_-.: "
 MASK_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789_/.-:"
+#: Words of 64 entries that an index's step makes at once, which bounds its memory.
+WORDS = 32
 #: How many of a group are shown.
 CAPS, CAP, SCOPED_CAP = {"File": 8, "Folder": 8, "Symbol": 8}, 5, 50
 
@@ -41,10 +46,7 @@ def group_of(kind: Column) -> Column:
 
 def char_mask(lower: Column) -> Column:
     """One bit for each letter, digit and separator that a text has."""
-    place = lambda c: F.position(c, F.lit(MASK_CHARS))
-    powers = F.array(*(F.lit(1 << i).cast("long") for i in range(len(MASK_CHARS))))
-    known = F.filter(F.array_distinct(F.split(lower, "")), lambda c: (c != "") & (place(c) > 0))
-    return F.aggregate(known, F.lit(0).cast("long"), lambda mask, c: mask.bitwiseOR(F.element_at(powers, place(c))))
+    return reduce(Column.bitwiseOR, [F.shiftleft(lower.contains(c).cast("long"), i) for i, c in enumerate(MASK_CHARS)])
 
 
 def mask_of(text: str) -> int:
@@ -104,27 +106,48 @@ def path_points(score: Column | int) -> Column | int:
 
 def prepared(entries: DataFrame) -> DataFrame:
     """entries with their masks; to be written once and searched often."""
-    return entries.withColumns({"name_mask": char_mask(fold_lower(F.col("name"))), "path_mask": char_mask(fold_lower(F.coalesce("path", F.lit(""))))})
-
-
-def _ordered_pairs(text: Column) -> Column:
-    """Every two of MASK_CHARS that stand in a text one behind the other, near or far, once each."""
-    chars = F.filter(F.split(text, ""), lambda c: (c != "") & (F.position(c, F.lit(MASK_CHARS)) > 0))
-    after = lambda c, i: F.transform(F.slice(chars, i + 2, F.size(chars)), lambda d: F.concat(c, d))
-    return F.array_distinct(F.flatten(F.transform(chars, after)))
+    folded = entries.withColumns({"_name": fold_lower(F.col("name")), "_path": fold_lower(F.coalesce("path", F.lit("")))})
+    return folded.withColumns({"name_mask": char_mask(F.col("_name")), "path_mask": char_mask(F.col("_path"))}).drop("_name", "_path")
+
+
+def _pair_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, pair, word, bits) of entries (id, name, path, folded): a pair is in a text if its first character stands before the second one's last."""
+    chars = np.full(256, -1, np.int64)
+    chars[np.frombuffer(MASK_CHARS.encode(), np.uint8)] = np.arange(len(MASK_CHARS))
+    n = len(MASK_CHARS)
+    pairs = pa.array([a + b for a in MASK_CHARS for b in MASK_CHARS])
+    for batch in batches:
+        ids = batch.column("id").to_numpy()
+        words, order = ids >> 6, np.argsort(ids)
+        for field, name in enumerate(("name", "path")):
+            texts = batch.column(name).cast(pa.large_binary())
+            at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            codes = chars[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+            cells, places = np.repeat(np.arange(len(ids)), np.diff(at))[codes >= 0] * n + codes[codes >= 0], np.flatnonzero(codes >= 0)
+            first, last = np.full(len(ids) * n, len(codes)), np.full(len(ids) * n, -1)
+            first[cells[::-1]], last[cells] = places[::-1], places
+            first, last = first.reshape(-1, n), last.reshape(-1, n)
+            own = np.unique(words)
+            for some in (own[i : i + WORDS] for i in range(0, len(own), WORDS)):
+                rows = order[np.searchsorted(words, some[0], "left", order) : np.searchsorted(words, some[-1], "right", order)]
+                held = np.zeros((len(some), 64, n * n), bool)
+                held[np.searchsorted(some, words[rows]), ids[rows] & 63] = (first[rows, :, None] < last[rows, None, :]).reshape(-1, n * n)
+                bits = np.packbits(np.ascontiguousarray(held.swapaxes(1, 2)), axis=2, bitorder="little").view("<i8")[..., 0]
+                pair, word = np.nonzero(bits.T)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), field, np.int32)), pairs.take(pa.array(pair)), pa.array(some[word]), pa.array(bits[word, pair])], ["field", "pair", "word", "bits"])
 
 
 def pair_index(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prepared entries with id; index: field, pair, word, bits), both written: for each ordered pair of characters, bitmaps of the entries that have it.
 
-    A bitmap's word holds 64 entries by their numbers; names and paths are fields of their own. To be made once and
-    searched often (see candidates).
+    A bitmap's word holds 64 entries by their numbers; names and paths are fields of their own. Entries lie in files by
+    their numbers, so a word is made where they are read, without a shuffle; one whose entries are read by two tasks has
+    a row of each. To be made once and searched often (see candidates).
     """
     held = settle(running(prepared(entries), "kind", "name", "key").withColumnRenamed("before", "id"))
-    bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
-    of = lambda field, text: held.select(F.lit(field).alias("field"), F.explode(_ordered_pairs(fold_lower(text))).alias("pair"), F.expr("shiftright(id, 6)").alias("word"), bit.alias("bit"))
-    pairs = of(0, F.col("name")).unionByName(of(1, F.when(F.col("kind").isin(*PATH_KINDS), F.coalesce("path", F.lit(""))).otherwise("")))
-    return held, settle(pairs.groupBy("field", "pair", "word").agg(F.bit_or("bit").alias("bits")))
+    text = lambda c: fold_lower(F.coalesce(c, F.lit("")))
+    texts = held.select("id", text("name").alias("name"), F.when(F.col("kind").isin(*PATH_KINDS), text("path")).otherwise("").alias("path"))
+    return held, settle(texts.mapInArrow(_pair_words, "field int, pair string, word long, bits long"))
 
 
 def candidates(entries: DataFrame, index: DataFrame, query: str) -> DataFrame:
@@ -137,7 +160,8 @@ def candidates(entries: DataFrame, index: DataFrame, query: str) -> DataFrame:
     asked = sorted({a + b for a, b in zip(needle, needle[1:], strict=False) if a in MASK_CHARS and b in MASK_CHARS})
     if not asked:
         return entries
-    met = index.where(F.col("pair").isin(*asked)).groupBy("field", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(asked)) & (F.col("bits") != 0))
+    rows = index.where(F.col("pair").isin(*asked)).groupBy("field", "word", "pair").agg(F.bit_or("bits").alias("bits"))
+    met = rows.groupBy("field", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(asked)) & (F.col("bits") != 0))
     words = met.groupBy("word").agg(F.bit_or("bits").alias("bits"))
     ids = words.select(F.explode(F.expr("filter(transform(sequence(0, 63), i -> if((shiftright(bits, i) & 1) = 1, word * 64 + i, null)), x -> x is not null)")).alias("id"))
     return entries.join(ids, "id", "left_semi")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from graphweft.operators import graph
+from graphweft.operators import graph, search
 from graphweft.streaming import logs
 
 
@@ -69,3 +69,30 @@ def test_open_calls_are_a_share_of_a_batch(spark, tmp_path, monkeypatch):
         called += [o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]]
     assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out").collect()), key=repr) == sorted(want, key=repr)
     assert len(want) > 20 and max(called) <= 3
+
+
+def test_an_index_of_long_texts(spark):
+    """A text of many characters is read once, not a pair at a time; a word that lies in two batches is whole."""
+    rnd = random.Random(4)
+    rows = [("Symbol", "".join(rnd.choice("abc1_é") for _ in range(n)), "", "z" * n + "y", 1, i) for i, n in enumerate([50_000, 0, 3, 1, 2] * 30)]
+    schema = "kind string, name string, detail string, path string, line int, key long"
+    held, index = search.pair_index(spark.createDataFrame(rows, schema))
+    got = {}
+    for r in index.collect():
+        for i in range(64):
+            if r["bits"] >> i & 1:
+                got.setdefault((r["field"], r["word"] * 64 + i), set()).add(r["pair"])
+    for r in held.select("id", "name", "path").collect():
+        for field, text in ((0, r["name"]), (1, r["path"])):
+            known = [c for c in text if c in search.MASK_CHARS]
+            first, last = {c: i for i, c in reversed(list(enumerate(known)))}, {c: i for i, c in enumerate(known)}
+            assert got.pop((field, r["id"]), set()) == {a + b for a in first for b in last if first[a] < last[b]}
+    assert not got
+    for query in ("a1", "zy", "yz", "cab"):
+        want = sum(_within(query, name) or _within(query, path) for _, name, _, path, _, _ in rows)
+        assert search.matches(search.candidates(held, index, query), query).count() == want
+
+
+def _within(query, text):
+    at = iter(text)
+    return all(c in at for c in query)
