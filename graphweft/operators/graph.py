@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphweft.operators.edges import code_flow
 from graphweft.operators.longest import FEW, LONGEST, carried
 from graphweft.operators.order import numbered
+from graphweft.operators.spread import joined
 from graphweft.storage import drop_settled, settle
 
 
@@ -65,6 +66,12 @@ def traced_edges(traced: DataFrame, edges: DataFrame) -> DataFrame:
     return own(side("up")).unionAll(own(side("down"))).distinct()
 
 
+def _between(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that others lead to and on from."""
+    behind = joined(edges, edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    return joined(behind, edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
 def _bypassed(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(edges without some of the nodes with one way out, what was left out: node, onward, into array).
 
@@ -75,12 +82,12 @@ def _bypassed(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     ways = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("onward"))
     single = ways.where("n = 1").select(F.col("src").alias("node"), "onward")
     after = single.select(F.col("node").alias("onward"), F.lit(True).alias("chained"))
-    gone = settle(single.join(after, "onward", "left").where((coin("node") == 0) & (F.col("chained").isNull() | (coin("onward") == 1))).select("node", "onward"))
+    gone = settle(joined(single, after, "onward", "left").where((coin("node") == 0) & (F.col("chained").isNull() | (coin("onward") == 1))).select("node", "onward"))
     at = gone.select(F.col("node").alias("dst"), "onward")
-    kept = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(at, "dst", "left")
+    kept = joined(joined(edges, gone.select(F.col("node").alias("src")), "src", "left_anti"), at, "dst", "left")
     moved = kept.select("src", F.coalesce("onward", "dst").alias("dst"), F.when(F.col("onward").isNotNull(), F.col("dst")).alias("through"))
     moved = settle(moved)
-    left_out = gone.join(moved.where("through is not null").select(F.col("through").alias("node"), F.col("src").alias("into")), "node", "left").select("node", "onward", "into")
+    left_out = joined(gone, moved.where("through is not null").select(F.col("through").alias("node"), F.col("src").alias("into")), "node", "left").select("node", "onward", "into")
     return settle(moved.where("src <> dst").select("src", "dst").distinct()), settle(left_out)
 
 
@@ -120,7 +127,7 @@ def _components_in_one_task(left: DataFrame) -> DataFrame:
 
     named = left.select(F.col("src").alias("node")).unionAll(left.select("dst")).distinct().withColumn("_key", key("node"))
     found = left.select(key("src"), key("dst")).coalesce(1).mapInArrow(run, "_key string, _c string")
-    return named.join(found, "_key").join(named.select(F.col("_key").alias("_c"), F.col("node").alias("c")), "_c").select("node", "c")
+    return joined(joined(named, found, "_key"), named.select(F.col("_key").alias("_c"), F.col("node").alias("c")), "_c").select("node", "c")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -130,13 +137,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
     are bypassed, until few are. On what is left colours (the largest ancestor) spread forwards, and what reaches its
     colour's root backwards inside the colour is a component. A bypassed node belongs to the component behind it if a
     node before it does. Rounds follow the logarithm of chains and cycles, and the width of what has many ways. Once FEW
-    edges are left, one task finishes them.
+    edges are left, one task finishes them. All tables grow with the edges and none is broadcast, so that nothing of them
+    passes through the driver round by round (see joined).
     """
     left = settle(edges.where("src <> dst").select("src", "dst").distinct())
     nodes = settle(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct())
     found, levels, number = [], [], left.count()
     while number > FEW:
-        kept = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        kept = settle(_between(left))
         shorter, left_out = _bypassed(kept, len(levels))
         levels.append(left_out)
         drop_settled(left, kept)
@@ -148,7 +156,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
             found.append(settle(_components_in_one_task(left)))
             break
         while True:  # trim
-            kept = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            kept = settle(_between(left))
             same = kept.count() == left.count()
             left = kept
             if same:
@@ -157,33 +165,33 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         colour = settle(left.select(F.col("src").alias("node")).unionAll(left.select("dst")).distinct().withColumn("c", F.col("node")))
         while True:
-            spread = left.join(colour, left["src"] == colour["node"]).select(F.col("dst").alias("node"), "c").unionAll(colour)
+            spread = joined(left, colour, left["src"] == colour["node"]).select(F.col("dst").alias("node"), "c").unionAll(colour)
             following = settle(spread.groupBy("node").agg(F.max("c").alias("c")))
-            changed = not following.join(colour, ["node", "c"], "left_anti").isEmpty()
+            changed = not joined(following, colour, ["node", "c"], "left_anti").isEmpty()
             drop_settled(colour)
             colour = following
             if not changed:
                 break
         a, b = colour.select(F.col("node").alias("src"), F.col("c").alias("sc")), colour.select(F.col("node").alias("dst"), F.col("c").alias("dc"))
-        inside = settle(left.join(a, "src").join(b, "dst").where("sc = dc").select("src", "dst", F.col("sc").alias("c")))
+        inside = settle(joined(joined(left, a, "src"), b, "dst").where("sc = dc").select("src", "dst", F.col("sc").alias("c")))
         back = reach(colour.where("node = c").select(F.col("c").alias("root"), "node"), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         group = settle(back.select("node", F.col("root").alias("c")))
         found.append(group)
         gone = group.select("node")
-        left = settle(left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, left["dst"] == gone["node"], "left_anti"))
+        left = settle(joined(joined(left, gone, left["src"] == gone["node"], "left_anti"), gone, left["dst"] == gone["node"], "left_anti"))
     groups = nodes.select("node", F.col("node").alias("c")).where("false")
     for g in found:
         groups = groups.unionAll(g)
     for level in reversed(levels):  # (node, c) of the nodes in components so far; others stand alone
         own = lambda name, n: groups.select(F.col("node").alias(name), F.col("c").alias(n))  # noqa: E731, B023
-        met = level.where("into is not null").join(own("onward", "c"), "onward", "left").join(own("into", "d"), "into", "left")
+        ends = joined(joined(level.where("into is not null"), own("onward", "c"), "onward", "left"), own("into", "d"), "into", "left")
         behind, ahead = F.coalesce("c", "onward"), F.coalesce("d", "into")
-        joins = met.where(behind == ahead).select("node", behind.alias("c"), "onward").distinct()
+        joins = ends.where(behind == ahead).select("node", behind.alias("c"), "onward").distinct()
         groups = settle(groups.unionAll(joins.select("node", "c")).unionAll(joins.select(F.col("onward").alias("node"), "c")).distinct())
     groups = settle(groups)
     least = settle(groups.groupBy("c").agg(F.min("node").alias("component")))  # written, so that a component with most nodes can be split in the join
-    named = groups.join(least, "c").select("node", "component")
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    named = joined(groups, least, "c").select("node", "component")
+    return joined(nodes, named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycle_boxes(edges: DataFrame, parent: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one key that one task may get. Of a table of N rows, N / KEY_ROWS keys at most have more.
@@ -14,6 +14,11 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
+def joined(rows: DataFrame, table: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined to table where both are shuffled: a table below the broadcast threshold would pass through the driver, in loops again each round."""
+    return rows.join(table.hint("merge"), on, how)
+
+
 def join_spread(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """rows joined (left or inner) to table, which has one row a key at most.
 

@@ -96,3 +96,23 @@ def test_an_index_of_long_texts(spark):
 def _within(query, text):
     at = iter(text)
     return all(c in at for c in query)
+
+
+def test_components_broadcast_no_table(spark, monkeypatch):
+    """Cycles, chains and lone nodes in rounds and in one task: joins of tables that grow with the edges shuffle both sides."""
+    plans, settle = [], graph.settle
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(graph, "settle", watched)
+    edges = [(i, (i * 7 + i % 5) % 300) for i in range(300)] + [(i, i + 1) for i in range(400, 450)]
+    df, components = spark.createDataFrame(edges, "src long, dst long"), []
+    for few in (60, 1 << 16):
+        monkeypatch.setattr(graph, "FEW", few)
+        found = graph.strong_components(df)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        components.append(sorted(map(tuple, found.collect())))
+    assert components[0] == components[1]
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
