@@ -18,6 +18,8 @@ from graphweft.storage import drop_settled, settle
 
 #: Hops after which the files of a traversal's visited nodes are made one.
 MERGE_HOPS = 8
+#: Hops of colours that one step makes, as a step's start takes longer than a hop of few.
+COLOUR_HOPS = 3
 #: How many times the nodes that a root still needs its bound should leave.
 SLACK = 3
 
@@ -38,8 +40,8 @@ def reach(starts: DataFrame, edges: DataFrame, most: int | None = None, full: in
         if full is not None:
             done = seen.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= full).select("root")
             live = frontier.join(done, "root", "left_anti")
-        onward = live.join(edges, live["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = settle(onward.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        onward = joined(live, edges, live["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+        frontier = settle(joined(onward, seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         parts.append(frontier)
         if len(parts) > MERGE_HOPS:
             whole = settle(seen.unionAll(frontier))
@@ -165,8 +167,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         colour = settle(left.select(F.col("src").alias("node")).unionAll(left.select("dst")).distinct().withColumn("c", F.col("node")))
         while True:
-            spread = joined(left, colour, left["src"] == colour["node"]).select(F.col("dst").alias("node"), "c").unionAll(colour)
-            following = settle(spread.groupBy("node").agg(F.max("c").alias("c")))
+            following = colour
+            for _ in range(COLOUR_HOPS):
+                spread = joined(left, following, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c").unionAll(following)
+                following = spread.groupBy("node").agg(F.max("c").alias("c"))
+            following = settle(following)
             changed = not joined(following, colour, ["node", "c"], "left_anti").isEmpty()
             drop_settled(colour)
             colour = following
